@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysed workload has no streams: every input is a whole-table batch
+read, and no watermark, event-time window or state appears in it. Nothing
+is provided here on purpose; the batch operators are the whole surface.
+"""
