@@ -84,11 +84,20 @@ def null_census(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         "s.column", "s.dtype", "rows", (F.col("rows") - F.col("s.nulls")).alias("non_null"), "s.nulls")
 
 
+def constant_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, n_distinct, dropped): one aggregate pass over all columns;
+    ``dropped`` = at most one distinct non-null value."""
+    columns = list(columns or df.columns)
+    wide = df.agg(*[F.count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(columns)])
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_d{i}").alias("n_distinct"))
+                                for i, c in enumerate(columns)]))
+    return wide.select(stack.alias("s")).select(
+        "s.column", "s.n_distinct", (F.col("s.n_distinct") <= 1).cast("int").alias("dropped"))
+
+
 def drop_constant(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Drop columns with at most one distinct non-null value (one pass)."""
-    columns = list(columns or df.columns)
-    row = df.agg(*[F.count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(columns)]).first()
-    dropped = [c for i, c in enumerate(columns) if row[f"_d{i}"] <= 1]
+    dropped = [r["column"] for r in constant_table(df, columns).where("dropped = 1").collect()]
     return df.drop(*dropped), dropped
 
 
