@@ -73,11 +73,17 @@ class ConstantScorer(Scorer):
     random_label: bool = False
     id_col: str | None = None
     seed: int = 42
+    uniform: object = None   # (id column, seed) -> uniform Column; default hash of the id
 
     def score(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("p", F.lit(float(self.p)))
         if self.random_label:
-            u = lcg_uniform(self.id_col, self.seed) if self.id_col else F.rand(self.seed)
+            if self.id_col is None:
+                u = F.rand(self.seed)
+            elif self.uniform is not None:
+                u = self.uniform(F.col(self.id_col), self.seed)
+            else:
+                u = hash_uniform(self.id_col, seed=self.seed)
             out = out.withColumn("native_pred", (u < F.lit(float(self.p))).cast("int"))
         else:
             out = out.withColumn("native_pred", F.lit(int(self.p >= 0.5)))
