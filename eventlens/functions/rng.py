@@ -32,12 +32,13 @@ def lcg_uniform2(id_col, seed: int = 0, seed2: int = 7) -> Column:
     return lcg_uniform(first, seed2)
 
 
-def lcg_sql(id_sql: str, seed: int = 0) -> str:
-    """The same generator as DuckDB/ANSI SQL text."""
-    return f"(((({id_sql}) % {LCG_M}) * {LCG_A} + {LCG_C + int(seed)}) % {LCG_M}) / {float(LCG_M)}"
+def lcg_sql(id_sql: str, seed: int | str = 0) -> str:
+    """The same generator as DuckDB/ANSI SQL text (``seed`` may be SQL)."""
+    add = LCG_C + seed if isinstance(seed, int) else f"({LCG_C} + {seed})"
+    return f"(((({id_sql}) % {LCG_M}) * {LCG_A} + {add}) % {LCG_M}) / {float(LCG_M)}"
 
 
-def lcg2_sql(id_sql: str, seed: int = 0, seed2: int = 7) -> str:
+def lcg2_sql(id_sql: str, seed: int | str = 0, seed2: int = 7) -> str:
     return lcg_sql(f"CAST(floor({lcg_sql(id_sql, seed)} * {float(LCG_M)}) AS BIGINT)", seed2)
 
 

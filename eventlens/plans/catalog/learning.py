@@ -1 +1,288 @@
-"""(filled in below)"""
+"""Model fits, inference and explanations on the orders model table
+(y = status 'F', train = years before 2000, test = 2000 on).
+
+Fits are iterative, so most keys are checked rows-only; the permutation
+importance and the directional probe use a fixed linear-logistic scorer,
+which makes them exactly reproducible in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import KMeans
+from pyspark.sql import functions as F
+
+from ...functions.rng import lcg2_sql
+from ...operators.corr import vif_prune
+from ...operators.prepare import fit_prepare
+from ...operators.schema_ops import classes_dict, classify_columns
+from ...sources.tables import table
+from .. import explain as X
+from .. import inference as I
+from .. import sweep as SW
+from .. import training as T
+from ..features import ORDER_FEATURES, order_model_table
+from ..registry import query, rounded
+
+CUT = 2000
+THRESHOLDS = [0.3, 0.5, 0.7]
+ID, YEAR, Y = "o_orderkey", "year", "y"
+
+
+def _split(spark, sf, smote_ratio=None):
+    return T.make_split(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, CUT, smote_ratio)
+
+
+def _prepared(spark, sf):
+    """Linear-model view: classify on train, prepare (median/std fit on train)."""
+    b = _split(spark, sf)
+    classes = classes_dict(classify_columns(b.train, ORDER_FEATURES, {"launch_month": 12}))
+    prep = fit_prepare(b.train, classes["continuous"], classes["binary"],
+                       {c: 12 for c in classes["cyclical"]}, classes["sentinel"])
+    keep = [ID, YEAR, Y]
+    return prep.apply(b.train, keep), prep.apply(b.test, keep), prep.names()
+
+
+def _eval(scorer, test, name):
+    return rounded(T.evaluate(scorer, test, Y, THRESHOLDS, name))
+
+
+@query("train_random_forest")
+def q_train_random_forest(spark, sf):
+    b = _split(spark, sf)
+    return _eval(T.fit_random_forest(b.train, b.features, Y, n_trees=40, max_depth=10), b.test, "RandomForest")
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf):
+    b = _split(spark, sf)
+    n0, n1 = [b.train.where(F.col(Y) == v).count() for v in (0, 1)]
+    return _eval(T.fit_gbt(b.train, b.features, Y, n_estimators=20, max_depth=4, scale_pos_weight=n0 / max(n1, 1)),
+                 b.test, "GBT")
+
+
+@query("train_adaboost")
+def q_train_adaboost(spark, sf):
+    b = _split(spark, sf)
+    return _eval(T.fit_boost(b.train, b.features, Y, n_estimators=8, learning_rate=0.5, id_col=ID,
+                             checkpoint_every=4), b.test, "AdaBoost")
+
+
+@query("train_rusboost")
+def q_train_rusboost(spark, sf):
+    b = _split(spark, sf)
+    return _eval(T.fit_boost(b.train, b.features, Y, n_estimators=5, learning_rate=0.5, undersample=True,
+                             id_col=ID), b.test, "RUSBoost")
+
+
+@query("train_logit")
+def q_train_logit(spark, sf):
+    tr, te, feats = _prepared(spark, sf)
+    return _eval(T.fit_logit(tr, feats, Y, C=1.0, penalty="l2"), te, "Logit")
+
+
+@query("train_svm")
+def q_train_svm(spark, sf):
+    tr, te, feats = _prepared(spark, sf)
+    return _eval(T.fit_svm(tr, feats, Y, C=1.0, kernel="rbf", n_components=64, max_iter=50), te, "SVM")
+
+
+@query("train_mlp")
+def q_train_mlp(spark, sf):
+    tr, te, feats = _prepared(spark, sf)
+    return _eval(T.fit_mlp(tr, feats, Y, hidden=(16, 8), max_iter=50), te, "MLP")
+
+
+@query("background_kmeans")
+def q_background_kmeans(spark, sf):
+    """50 k-means centroids of the prepared training rows, cluster sizes as weights."""
+    tr, _, feats = _prepared(spark, sf)
+    data = T.assemble(tr, feats)
+    model = KMeans(k=50, seed=42, featuresCol="features").fit(data)
+    sizes = model.transform(data).groupBy("prediction").agg(F.count(F.lit(1)).alias("weight"))
+    return sizes.select(F.col("prediction").alias("cluster"), "weight")
+
+
+# --- inference -------------------------------------------------------------------
+
+def _logit_input(spark, sf):
+    tr, te, feats = _prepared(spark, sf)
+    return tr, feats
+
+
+@query("vif_prune")
+def q_vif_prune(spark, sf):
+    tr, feats = _logit_input(spark, sf)
+    kept = vif_prune(tr, feats, 10.0)
+    return spark.createDataFrame([(f, int(f in kept)) for f in feats], "feature string, kept int")
+
+
+@query("wald_table")
+def q_wald_table(spark, sf):
+    tr, feats = _logit_input(spark, sf)
+    rows = I.wald_table(tr, feats, Y)
+    return spark.createDataFrame([(r["feature"], r["coef"], r["std_err"], r["z"], r["p_value"]) for r in rows],
+                                 "feature string, coef double, std_err double, z double, p_value double")
+
+
+@query("backward_select")
+def q_backward_select(spark, sf):
+    tr, feats = _logit_input(spark, sf)
+    kept, rows = I.backward_select(tr, feats, Y, 0.05)
+    return spark.createDataFrame([(f, int(f in kept)) for f in feats], "feature string, kept int")
+
+
+@query("odds_ratios")
+def q_odds_ratios(spark, sf):
+    tr, feats = _logit_input(spark, sf)
+    return rounded(I.odds_ratios(spark, I.wald_table(tr, feats, Y)))
+
+
+@query("logit_analysis")
+def q_logit_analysis(spark, sf):
+    """End to end on the unresampled training years."""
+    mt = order_model_table(spark, sf)
+    return rounded(I.logit_analysis(mt, ORDER_FEATURES, Y, YEAR, CUT, cyclical={"launch_month": 12}))
+
+
+@query("svm_weights")
+def q_svm_weights(spark, sf):
+    tr, te, feats = _prepared(spark, sf)
+    svm = T.fit_svm(tr, feats, Y, C=1.0, kernel="linear", max_iter=50)
+    return rounded(spark.createDataFrame(T.linear_weights(svm), "feature string, weight double"))
+
+
+# --- explanations with a fixed linear-logistic scorer (SQL-checkable) ------------------
+
+# Coefficients of the probe scorer.
+PROBE = {"o_totalprice": 4.0e-6, "o_custkey": 2.0e-4, "month": -0.01}
+PROBE_INTERCEPT = -1.0
+_PF = list(PROBE)
+
+
+def _probe_frame(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(ID, F.col("o_totalprice").cast("double").alias("o_totalprice"),
+                    F.col("o_custkey").cast("double").alias("o_custkey"),
+                    F.month("o_orderdate").cast("double").alias("month"),
+                    (F.col("o_orderstatus") == "F").cast("int").alias(Y),
+                    (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("is_urgent"))
+
+
+def _z_sql(p="", names=("o_totalprice", "o_custkey", "month")):
+    terms = " + ".join(f"{PROBE[f]} * ({p}{n})" for f, n in zip(_PF, names))
+    return f"1 / (1 + exp(-({PROBE_INTERCEPT} + {terms})))"
+
+
+_PROBE_SRC = f"""(SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey,
+   CAST(month(o_orderdate) AS DOUBLE) AS month, CAST(o_orderstatus = 'F' AS INTEGER) AS y,
+   CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS is_urgent FROM orders)"""
+
+_REPEATS = 5
+
+
+def _f1_sql(pred, y="y"):
+    tp = f"count(*) FILTER (WHERE {y} = 1 AND {pred})"
+    fp = f"count(*) FILTER (WHERE {y} = 0 AND {pred})"
+    fn = f"count(*) FILTER (WHERE {y} = 1 AND NOT ({pred}))"
+    return f"CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0 ELSE 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) END"
+
+
+_PERM_SQL = f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS ri FROM {_PROBE_SRC}),
+  reps AS (SELECT unnest(range({_REPEATS})) AS rep),
+  h AS (SELECT b.o_orderkey, reps.rep,
+               row_number() OVER (PARTITION BY reps.rep ORDER BY {lcg2_sql('b.o_orderkey', '42 + reps.rep')}, b.o_orderkey) - 1 AS hr
+        FROM b, reps),
+  p AS (SELECT h.rep, b.*, d.o_totalprice AS d_price, d.o_custkey AS d_cust, d.month AS d_month
+        FROM h JOIN b ON h.o_orderkey = b.o_orderkey JOIN b d ON d.ri = h.hr),
+  ev AS (SELECT rep, 'o_totalprice' AS feature, y, {_z_sql(names=('d_price', 'o_custkey', 'month'))} AS p FROM p
+         UNION ALL SELECT rep, 'o_custkey', y, {_z_sql(names=('o_totalprice', 'd_cust', 'month'))} FROM p
+         UNION ALL SELECT rep, 'month', y, {_z_sql(names=('o_totalprice', 'o_custkey', 'd_month'))} FROM p),
+  base AS (SELECT {_f1_sql(f'{_z_sql()} >= 0.5')} AS f1 FROM {_PROBE_SRC}),
+  m AS (SELECT feature, rep, {_f1_sql('p >= 0.5')} AS f1 FROM ev GROUP BY feature, rep),
+  dr AS (SELECT feature, rep, (SELECT f1 FROM base) - f1 AS d FROM m),
+  g AS (SELECT feature, avg(d) AS mean_drop, stddev_pop(d) AS std_drop, count(d) AS n FROM dr GROUP BY feature)
+SELECT feature, round(mean_drop, 4) AS mean_drop, round(std_drop, 4) AS std_drop,
+       round(mean_drop - 1.96 * std_drop / sqrt(n), 4) AS ci_lower, round(mean_drop + 1.96 * std_drop / sqrt(n), 4) AS ci_upper,
+       CAST(mean_drop - 1.96 * std_drop / sqrt(n) > 0 AS INTEGER) AS significant FROM g"""
+
+
+@query("perm_importance", _PERM_SQL)
+def q_perm_importance(spark, sf):
+    """F1 drop per permuted feature, 5 repeats, CI with 1/sqrt(n)."""
+    scorer = X.LinearLogistic(PROBE, PROBE_INTERCEPT)
+    return X.permutation_importance(scorer, _probe_frame(spark, sf), _PF, Y, ID, repeats=_REPEATS, metric="f1",
+                                    threshold=0.5, seed=42)
+
+
+@query("directional_probe", f"""WITH b AS {_PROBE_SRC},
+  s AS (SELECT stddev_pop(o_totalprice) AS sp, stddev_pop(o_custkey) AS sc, avg({_z_sql()}) AS base FROM b)
+SELECT 'o_totalprice' AS feature,
+       round((avg({_z_sql(names=('o_totalprice + sp', 'o_custkey', 'month'))}) - any_value(base)) * 100, 6) AS up_pp,
+       round((avg({_z_sql(names=('o_totalprice - sp', 'o_custkey', 'month'))}) - any_value(base)) * 100, 6) AS down_pp FROM b, s
+UNION ALL SELECT 'o_custkey',
+       round((avg({_z_sql(names=('o_totalprice', 'o_custkey + sc', 'month'))}) - any_value(base)) * 100, 6),
+       round((avg({_z_sql(names=('o_totalprice', 'o_custkey - sc', 'month'))}) - any_value(base)) * 100, 6) FROM b, s
+UNION ALL SELECT 'is_urgent', round((avg({_z_sql()}) - any_value(base)) * 100, 6),
+       round((avg({_z_sql()}) - any_value(base)) * 100, 6) FROM b, s""")
+def q_directional_probe(spark, sf):
+    """+/- one population SD (binary: set 1 / 0), mean change of P(1) in pp.
+    ``is_urgent`` is not used by the scorer, so its change is 0."""
+    scorer = X.LinearLogistic(PROBE, PROBE_INTERCEPT)
+    df = _probe_frame(spark, sf)
+    out = X.directional_probe(scorer, df.select(*_PF, "is_urgent"), ["o_totalprice", "o_custkey", "is_urgent"],
+                              binary=["is_urgent"])
+    return rounded(out)
+
+
+# --- explanations of fitted models (rows-only) -------------------------------------
+
+@query("shapley_sampling")
+def q_shapley_sampling(spark, sf):
+    """Sampling Shapley values of a random forest for every test row."""
+    b = _split(spark, sf)
+    rf = T.fit_random_forest(b.train, b.features, Y, n_trees=20, max_depth=6)
+    bg = X.background_sample(b.train, ID, 50)
+    return rounded(X.sampling_shapley(rf, b.test, bg, b.features, ID, n_perm=2))
+
+
+@query("explain_models")
+def q_explain_models(spark, sf):
+    """Permutation importance (F1, 3 repeats) of two fitted models, side by side."""
+    b = _split(spark, sf)
+    parts = []
+    for name, scorer in (("RandomForest", T.fit_random_forest(b.train, b.features, Y, n_trees=20, max_depth=6)),
+                         ("GBT", T.fit_gbt(b.train, b.features, Y, n_estimators=10, max_depth=3))):
+        imp = X.permutation_importance(scorer, b.test, b.features, Y, ID, repeats=3)
+        parts.append(imp.select(F.lit(name).alias("model"), "feature", F.col("mean_drop").alias("v")))
+    from ...operators.reshape import importance_pivot, union_results
+    return rounded(importance_pivot(union_results(parts), "feature", "model", "v", ["RandomForest", "GBT"]))
+
+
+# --- sweeps ------------------------------------------------------------------------
+
+_SMALL = {"cut_year": CUT, "apply_smote": False, "rf_n_estimators": 20, "rf_max_depth": 6, "xgb_n_estimators": 10,
+          "xgb_max_depth": 3, "ada_n_estimators": 4, "rus_n_estimators": 3, "logit_C": 1.0}
+
+
+@query("one_shot")
+def q_one_shot(spark, sf):
+    """One configuration, several models, one split."""
+    return rounded(SW.run_config(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, _SMALL,
+                                 ["Baseline_Majority", "Baseline_PriorRate", "RandomForest", "XGBoost", "Logit"],
+                                 THRESHOLDS))
+
+
+@query("grid_sweep")
+def q_grid_sweep(spark, sf):
+    """Grid over forest size and threshold: de-duplicated runs, thresholds as data."""
+    grid = {"rf_n_estimators": [10, 20], "rf_max_depth": [4, 6], "threshold": [0.4, 0.5]}
+    results, best = SW.grid_sweep(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, grid,
+                                  ["Baseline_Majority", "RandomForest"], _SMALL)
+    return rounded(best)
+
+
+@query("per_model_configs")
+def q_per_model_configs(spark, sf):
+    cfgs = {"rf": dict(_SMALL, rf_n_estimators=15), "logit": dict(_SMALL, logit_C=0.1, logit_penalty="l1"),
+            "ada": dict(_SMALL, ada_n_estimators=3)}
+    return rounded(SW.per_model_configs(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, cfgs))

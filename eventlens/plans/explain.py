@@ -152,9 +152,10 @@ def directional_probe(scorer, df: DataFrame, features: Sequence[str], binary: Se
             up, down = F.col(f) + F.lit(sd), F.col(f) - F.lit(sd)
         moves += [F.struct(F.lit(f).alias("feature"), F.lit("up").alias("dir"), up.cast("double").alias("v")),
                   F.struct(F.lit(f).alias("feature"), F.lit("down").alias("dir"), down.cast("double").alias("v"))]
-    ex = df.select(*features, F.explode(F.array(*moves)).alias("m"))
+    ex = df.select(*df.columns, F.explode(F.array(*moves)).alias("m"))
     ex = ex.select(*[F.when(F.col("m.feature") == f, F.col("m.v")).otherwise(F.col(f).cast("double")).alias(f)
-                     for f in features], F.col("m.feature").alias("feature"), F.col("m.dir").alias("dir"))
+                     if f in features else F.col(f) for f in df.columns],
+                   F.col("m.feature").alias("feature"), F.col("m.dir").alias("dir"))
     means = scorer.score(ex).groupBy("feature").agg(
         F.avg(F.when(F.col("dir") == "up", F.col("p"))).alias("_up"),
         F.avg(F.when(F.col("dir") == "down", F.col("p"))).alias("_down"))

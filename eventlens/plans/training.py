@@ -321,3 +321,59 @@ def undersample_majority(df: DataFrame, y: str, id_col: str, seed: int) -> DataF
     ranked = global_rank(maj, [F.col("_h"), F.col(id_col)], "_r")
     picked = ranked.where(F.col("_r") < n_min).drop("_h", "_r")
     return df.where(F.col(y) == minority).unionByName(picked)
+
+
+# --- evaluation and split bundle -------------------------------------------------
+
+def evaluate(scorer: Scorer, test: DataFrame, y: str, thresholds: Sequence[float] = (0.5,),
+             name: str | None = None) -> DataFrame:
+    """Metric rows (model, threshold, metrics...) of one scorer on a test
+    frame: one scoring pass, every threshold in the same aggregate."""
+    from ..operators.metrics import metrics_table
+    scored = scorer.score(test)
+    return metrics_table(scored, y, "p", thresholds).select(F.lit(name or scorer.name).alias("model"), "*")
+
+
+@dataclass
+class SplitBundle:
+    train: DataFrame
+    test: DataFrame
+    features: list
+    y: str
+    id_col: str
+
+    def unpersist(self):
+        self.train.unpersist()
+        self.test.unpersist()
+
+
+def make_split(df: DataFrame, features: Sequence[str], y: str, id_col: str, year_col: str, cut_year: int,
+               smote_ratio: float | None = None, k: int = 5, seed: int = 42, cache: bool = True) -> SplitBundle:
+    """Temporal split, optional SMOTE of the training side only, cached.
+    Synthetic rows get ids above every real id."""
+    from ..operators.sampling import smote, smote_count, temporal_split
+    train, test = temporal_split(df.select(id_col, year_col, y, *features), year_col, cut_year)
+    if smote_ratio:
+        counts = {r[y]: r["n"] for r in train.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if len(counts) == 2:
+            minority = min(counts, key=lambda c: (counts[c], c))
+            n_new = smote_count(counts[minority], sum(counts.values()) - counts[minority], smote_ratio)
+            if n_new > 0:
+                mino = train.where(F.col(y) == minority).select(
+                    id_col, F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
+                syn = smote(mino, id_col, "_v", n_new, k, seed)
+                max_id = train.agg(F.max(id_col)).first()[0] or 0
+                syn = syn.select((F.col("sample_id") + F.lit(int(max_id) + 1)).alias(id_col),
+                                 F.lit(None).cast(dict(train.dtypes)[year_col]).alias(year_col),
+                                 F.lit(minority).cast(dict(train.dtypes)[y]).alias(y),
+                                 *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
+                train = train.unionByName(syn)
+    if cache:
+        train, test = train.cache(), test.cache()
+    return SplitBundle(train, test, list(features), y, id_col)
+
+
+def materialize_result(df: DataFrame) -> DataFrame:
+    """Write a (small) result table to the shared folder and read it back,
+    so later unions do not re-run the fits and the split caches can go."""
+    return materialize(df, "results")
