@@ -1,11 +1,10 @@
 """Pearson correlations (pairwise complete), greedy correlation pruning and
 variance-inflation pruning.
 
-Correlations are built from population moments inside one aggregate per
-batch of column pairs (pairs are batched so a wide table does not produce
-one enormous generated method). A constant column gives NULL, never a
-division error. Everything after the aggregate is k x k and lives on the
-driver.
+Correlations come from pairwise-complete moment matrices reduced per Arrow
+batch with numpy and summed per pair by Spark (one pass, O(k^2) rows out
+of the scan). A constant column gives NULL, never a division error. The
+greedy pruning and VIF steps are k x k and run on the driver.
 """
 
 from __future__ import annotations
@@ -16,52 +15,85 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIRS_PER_JOB = 96
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pairwise-complete moments for every ordered pair (a, b) in ONE pass.
 
-
-def _pair_r(a: str, b: str):
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    den = F.stddev_pop(xs) * F.stddev_pop(ys)
-    return F.try_divide(F.covar_pop(xs, ys), F.when(den > 0, den))
+    Each Arrow batch is reduced with numpy to k x k matrices (rows where
+    both a and b are present): n, sum a, sum a^2, sum a*b - on values shifted
+    by a first-pass mean for numerical stability - emitted as k^2 rows and
+    summed per pair by a grouped aggregate. Work per row is O(k^2) inside
+    one matrix product; nothing is gathered in one task.
+    Output: (a, b, n, s_a, s_aa, s_ab) with a, b column indexes.
+    """
+    import pandas as pd
+    k = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    ia, ib = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+
+    def moments(batches):
+        for pdf in batches:
+            X = pdf.to_numpy(dtype=float, na_value=np.nan)
+            M = ~np.isnan(X)
+            X0 = np.where(M, X - shift, 0.0)
+            Mf = M.astype(float)
+            n = Mf.T @ Mf
+            s1 = X0.T @ Mf
+            s2 = (X0 * X0).T @ Mf
+            s11 = X0.T @ X0
+            yield pd.DataFrame({"a": ia.ravel(), "b": ib.ravel(), "n": n.ravel(), "s_a": s1.ravel(),
+                                "s_aa": s2.ravel(), "s_ab": s11.ravel()})
+
+    part = src.mapInPandas(moments, "a int, b int, n double, s_a double, s_aa double, s_ab double")
+    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "s_a", "s_aa", "s_ab")])
+
+
+def _r_from_moments(m: DataFrame) -> DataFrame:
+    """r for pairs a < b from ``pair_moments`` (NULL when undefined).
+
+    The (a, b) row holds sums of a, the (b, a) row sums of b, both over the
+    rows where a and b are present; one aggregate over the k^2 rows pairs them."""
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    fwd = F.col("a") < F.col("b")
+    g = m.where(F.col("a") != F.col("b")).groupBy(lo.alias("a"), hi.alias("b")).agg(
+        F.max(F.when(fwd, F.col("n"))).alias("n"), F.max(F.when(fwd, F.col("s_ab"))).alias("s_ab"),
+        F.max(F.when(fwd, F.col("s_a"))).alias("s_a"), F.max(F.when(fwd, F.col("s_aa"))).alias("s_aa"),
+        F.max(F.when(~fwd, F.col("s_a"))).alias("s_b"), F.max(F.when(~fwd, F.col("s_aa"))).alias("s_bb"))
+    n = F.col("n")
+    cov = n * F.col("s_ab") - F.col("s_a") * F.col("s_b")
+    va = n * F.col("s_aa") - F.col("s_a") * F.col("s_a")
+    vb = n * F.col("s_bb") - F.col("s_b") * F.col("s_b")
+    den = F.sqrt(va * vb)
+    r = F.when((n > 1) & (va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / den)))
+    return g.select("a", "b", r.alias("r"))
+
+
+def _names(df: DataFrame, cols: Sequence[str], ca: str, cb: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("a") + 1)
+    other = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("b") + 1)
+    return df.select(name.alias(ca), other.alias(cb), "r")
 
 
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """r for every pair i < j (None when undefined)."""
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    """r for every pair i < j (None when undefined); k^2 numbers reach the driver."""
     out: dict[tuple[str, str], float | None] = {}
-    for s in range(0, len(pairs), PAIRS_PER_JOB):
-        batch = pairs[s:s + PAIRS_PER_JOB]
-        row = df.agg(*[_pair_r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(batch)]).first()
-        for i, p in enumerate(batch):
-            v = row[f"r{i}"]
-            out[p] = None if v is None or np.isnan(v) else float(v)
+    for row in _r_from_moments(pair_moments(df, cols)).collect():
+        v = row["r"]
+        out[(cols[row["a"]], cols[row["b"]])] = None if v is None or np.isnan(v) else float(v)
     return out
 
 
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, r) for i < j as a DataFrame, one aggregate per batch."""
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    parts = []
-    for s in range(0, len(pairs), PAIRS_PER_JOB):
-        batch = pairs[s:s + PAIRS_PER_JOB]
-        wide = df.agg(*[_pair_r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        parts.append(wide.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(batch)])).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(col_a, col_b, r) for i < j as a DataFrame."""
+    return _names(_r_from_moments(pair_moments(df, cols)), cols, "col_a", "col_b")
 
 
 def target_corr(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """(feature, r, abs_r): correlation of each feature with the target."""
-    wide = df.agg(*[_pair_r(c, target).alias(f"r{i}") for i, c in enumerate(cols)])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"))
-                                           for i, c in enumerate(cols)])).alias("s")).select(
-        "s.feature", "s.r", F.abs("s.r").alias("abs_r"))
+    allc = list(cols) + [target]
+    r = _r_from_moments(pair_moments(df, allc)).where(F.col("b") == len(cols))
+    return _names(r, allc, "feature", "_t").select("feature", "r", F.abs("r").alias("abs_r"))
 
 
 def matrix(cols: Sequence[str], pairs: dict) -> np.ndarray:
