@@ -1,10 +1,15 @@
 """Pearson correlations (pairwise complete), greedy correlation pruning and
 variance-inflation pruning.
 
-Correlations come from pairwise-complete moment matrices reduced per Arrow
-batch with numpy and summed per pair by Spark (one pass, O(k^2) rows out
-of the scan). A constant column gives NULL, never a division error. The
-greedy pruning and VIF steps are k x k and run on the driver.
+Correlations are pairwise complete (a pair uses the rows where both values
+are present). Up to ``JVM_PAIR_LIMIT`` columns they are one JVM aggregate
+of ``count``/``covar_pop``/``stddev_pop`` per pair (numerically stable
+co-moment updates, partial aggregation per task, no Python). For wider
+matrices, moment matrices are reduced per Arrow batch with numpy and summed
+per pair by Spark (one pass, O(k^2) rows out of the scan), which keeps the
+plan size linear in k^2 rows instead of k^2 aggregate expressions. A
+constant column gives NULL, never a division error. The greedy pruning and
+VIF steps are k x k and run on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +20,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Widest column list whose pair statistics are plain JVM aggregates
+#: (4 per pair: 480 expressions at 16 columns).
+JVM_PAIR_LIMIT = 16
+
+
+def _present(c):
+    x = F.col(c).cast("double")
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def _pair_r_jvm(df: DataFrame, cols: Sequence[str], only_with: int | None = None) -> DataFrame:
+    """(a, b, r) for column indexes a < b from one aggregate (only pairs
+    whose ``b`` is ``only_with`` when given)."""
+    k = len(cols)
+    aggs, pairs = [], []
+    for i in range(k):
+        for j in range(i + 1, k):
+            if only_with is not None and j != only_with:
+                continue
+            both = _present(cols[i]) & _present(cols[j])
+            xi, xj = F.when(both, F.col(cols[i]).cast("double")), F.when(both, F.col(cols[j]).cast("double"))
+            aggs += [F.count(xi).alias(f"n_{i}_{j}"), F.covar_pop(xi, xj).alias(f"c_{i}_{j}"),
+                     F.stddev_pop(xi).alias(f"sa_{i}_{j}"), F.stddev_pop(xj).alias(f"sb_{i}_{j}")]
+            pairs.append((i, j))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a int, b int, r double")
+    wide = df.agg(*aggs)
+
+    def r(i, j):
+        n, c, sa, sb = (F.col(f"{p}_{i}_{j}") for p in ("n", "c", "sa", "sb"))
+        return F.when((n > 1) & (sa > 0) & (sb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c / (sa * sb))))
+
+    rows = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), r(i, j).cast("double").alias("r"))
+                     for i, j in pairs])
+    return wide.select(F.explode(rows).alias("s")).select("s.a", "s.b", "s.r")
+
+
+def _pair_r(df: DataFrame, cols: Sequence[str], only_with: int | None = None) -> DataFrame:
+    if len(cols) <= JVM_PAIR_LIMIT or only_with is not None:
+        return _pair_r_jvm(df, cols, only_with)
+    return _r_from_moments(pair_moments(df, cols))
+
+
 def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete moments for every ordered pair (a, b) in ONE pass.
 
@@ -78,7 +126,7 @@ def _names(df: DataFrame, cols: Sequence[str], ca: str, cb: str) -> DataFrame:
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float | None]:
     """r for every pair i < j (None when undefined); k^2 numbers reach the driver."""
     out: dict[tuple[str, str], float | None] = {}
-    for row in _r_from_moments(pair_moments(df, cols)).collect():
+    for row in _pair_r(df, cols).collect():
         v = row["r"]
         out[(cols[row["a"]], cols[row["b"]])] = None if v is None or np.isnan(v) else float(v)
     return out
@@ -86,13 +134,13 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str
 
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(col_a, col_b, r) for i < j as a DataFrame."""
-    return _names(_r_from_moments(pair_moments(df, cols)), cols, "col_a", "col_b")
+    return _names(_pair_r(df, cols), cols, "col_a", "col_b")
 
 
 def target_corr(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """(feature, r, abs_r): correlation of each feature with the target."""
     allc = list(cols) + [target]
-    r = _r_from_moments(pair_moments(df, allc)).where(F.col("b") == len(cols))
+    r = _pair_r(df, allc, only_with=len(cols))
     return _names(r, allc, "feature", "_t").select("feature", "r", F.abs("r").alias("abs_r"))
 
 

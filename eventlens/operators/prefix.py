@@ -130,9 +130,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .alias("kv")
     ).select("kv.name", "kv.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    ns = {r["name"]: r["n"] for r in vc.groupBy("name").agg(F.sum("c").alias("n")).collect()}
+    # one action: rows per column and the number of distinct (column, value) rows
+    st = vc.groupBy("name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()
+    ns = {r["name"]: r["n"] for r in st}
+    blocks = max(1, math.ceil(sum(r["d"] for r in st) / max(1, rows_per_block)))
     cum = running_totals(vc, [F.col("v").asc()], ["c"], ["name"], count_name="_k",
-                         rows_per_block=rows_per_block)
+                         rows_per_block=rows_per_block, blocks=blocks)
     # targets per column: floor/ceil of q*(n-1)
     conds = []
     targets: dict[str, list[tuple[float, int, int]]] = {}
