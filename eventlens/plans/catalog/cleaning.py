@@ -42,10 +42,11 @@ def q_sink_roundtrip(spark, sf):
 
 @query("versioned_sink", _ORDERS_SQL.replace("FROM orders", ", 'v2' AS run_ts FROM orders"))
 def q_versioned_sink(spark, sf):
-    """Two versions appended under run_ts partitions; the latest is read back."""
+    """Two versions appended under run_ts partitions (v1: finished orders
+    only, v2: all orders); the latest is read back."""
     path = scratch_path(spark, "versions")
     o = table(spark, sf, "orders")
-    files.write_versioned(o.where(F.col("o_orderkey") % 2 == 0), path, "v1")
+    files.write_versioned(o.where(F.col("o_orderstatus") == "F"), path, "v1")
     files.write_versioned(o, path, "v2")
     return rounded(files.read_versioned(spark, path, schema=ORDERS_SCHEMA + ", run_ts STRING"))
 

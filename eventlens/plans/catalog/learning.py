@@ -214,6 +214,15 @@ def q_perm_importance(spark, sf):
                                     threshold=0.5, seed=42)
 
 
+@query("perm_ci", _PERM_SQL.replace(" / sqrt(n)", ""))
+def q_perm_ci(spark, sf):
+    """Permutation importance with the per-model report's interval: F1 drop
+    +/- 1.96 population sigma, without the 1/sqrt(n) factor."""
+    scorer = X.LinearLogistic(PROBE, PROBE_INTERCEPT)
+    return X.permutation_importance(scorer, _probe_frame(spark, sf), _PF, Y, ID, repeats=_REPEATS, metric="f1",
+                                    threshold=0.5, seed=42, sqrt_n=False)
+
+
 @query("directional_probe", f"""WITH b AS {_PROBE_SRC},
   s AS (SELECT stddev_pop(o_totalprice) AS sp, stddev_pop(o_custkey) AS sc, avg({_z_sql()}) AS base FROM b)
 SELECT 'o_totalprice' AS feature,

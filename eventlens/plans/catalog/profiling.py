@@ -284,16 +284,16 @@ def q_imbalance_ratio(spark, sf):
 SELECT o.o_orderkey, c.c_mktsegment AS c_mktsegment_cu, n.n_name AS n_name_na, r.r_name AS r_name_re,
        li.line_count, round(li.total_price, 6) AS total_price, pr.prio_orders
 FROM orders o
-LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON o.o_custkey = c.c_custkey
+LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN li ON o.o_orderkey = li.l_orderkey
 LEFT JOIN pr ON o.o_orderpriority = pr.prio""")
 def q_star_join(spark, sf):
-    """orders -> customer (filtered) -> nation -> region, + lineitem rollup + a
-    per-priority table derived from orders; fact row count preserved."""
+    """orders -> customer (in good standing) -> nation -> region, + lineitem
+    rollup + a per-priority table derived from orders; fact row count preserved."""
     o = table(spark, sf, "orders")
-    cust = table(spark, sf, "customer").where(F.col("c_custkey") % 10 != 0).select(
+    cust = table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(
         "c_custkey", "c_mktsegment", "c_nationkey")
     prio = o.groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
     dims = [
@@ -307,3 +307,48 @@ def q_star_join(spark, sf):
     out = star_join(o, dims, check_rows=False)
     return rounded(out.select("o_orderkey", "c_mktsegment_cu", "n_name_na", "r_name_re", "line_count", "total_price",
                               "prio_orders"))
+
+
+_PIPE_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+              "c_name_cu", "c_mktsegment_cu", "c_acctbal_cu", "n_name_na", "r_name_re", "total_qty", "total_price",
+              "line_count", "lines_missing", "prio_orders"]
+
+
+@query("star_join_pipeline", """WITH li AS (SELECT l_orderkey, coalesce(sum(l_quantity), 0) AS total_qty,
+                    coalesce(sum(l_extendedprice), 0) AS total_price, count(l_linenumber) AS line_count
+             FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1),
+  pr AS (SELECT o_orderpriority AS prio, count(*) AS prio_orders FROM orders GROUP BY 1)
+SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, round(o.o_totalprice, 6) AS o_totalprice, o.o_orderdate,
+       o.o_orderpriority, c.c_name AS c_name_cu, c.c_mktsegment AS c_mktsegment_cu,
+       round(c.c_acctbal, 6) AS c_acctbal_cu, n.n_name AS n_name_na, r.r_name AS r_name_re,
+       round(coalesce(li.total_qty, 0), 6) AS total_qty, round(coalesce(li.total_price, 0), 6) AS total_price,
+       coalesce(li.line_count, 0) AS line_count,
+       CAST(CASE WHEN li.line_count IS NULL THEN 1 ELSE 0 END AS INTEGER) AS lines_missing, pr.prio_orders
+FROM orders o
+LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o.o_custkey = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+LEFT JOIN li ON o.o_orderkey = li.l_orderkey
+LEFT JOIN pr ON o.o_orderpriority = pr.prio""")
+def q_star_join_pipeline(spark, sf):
+    """The whole wide-table build: customer (in good standing) -> nation ->
+    region, the pre-aggregated lineitem child with its no-lines flag and
+    zero fills, and a per-priority table; the fact row count is verified
+    (a duplicated dimension key raises instead of silently fanning out)."""
+    from ...operators.clean import join_miss_flag_fill
+    o = table(spark, sf, "orders")
+    cust = table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(
+        "c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    prio = o.groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
+    dims = [
+        Dim(cust, "o_custkey", "c_custkey", suffix="_cu"),
+        Dim(table(spark, sf, "nation"), "c_nationkey_cu", "n_nationkey", suffix="_na", bounded=True),
+        Dim(table(spark, sf, "region"), "n_regionkey_na", "r_regionkey", suffix="_re", bounded=True),
+        Dim(table(spark, sf, "lineitem"), "o_orderkey", "l_orderkey",
+            rollup={"total_qty": "l_quantity", "total_price": "l_extendedprice"}, count_col="l_linenumber",
+            count_name="line_count"),
+        Dim(prio, "o_orderpriority", "prio"),
+    ]
+    out = join_miss_flag_fill(star_join(o, dims, check_rows=True), "line_count", "lines_missing",
+                              ["total_qty", "total_price", "line_count"])
+    return rounded(out.select(*_PIPE_COLS))

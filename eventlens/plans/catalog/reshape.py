@@ -147,14 +147,17 @@ def q_importance_pivot(spark, sf):
 _AXIS_KEYS = {"len97": {"threshold"}, "id13": {"threshold"}, "const": {"threshold"}, "Baseline x": {"threshold"}}
 
 
-@query("sensitivity_axis", f"""{MODELS_SQL},
+_F1_BY_T_SQL = f"""{MODELS_SQL},
   r AS (SELECT model, t AS threshold,
                CASE WHEN 2 * count(*) FILTER (WHERE y = 1 AND score >= t) + count(*) FILTER (WHERE y = 0 AND score >= t)
                          + count(*) FILTER (WHERE y = 1 AND score < t) = 0 THEN 0
                     ELSE 2.0 * count(*) FILTER (WHERE y = 1 AND score >= t)
                          / (2 * count(*) FILTER (WHERE y = 1 AND score >= t) + count(*) FILTER (WHERE y = 0 AND score >= t)
                             + count(*) FILTER (WHERE y = 1 AND score < t)) END AS f1
-        FROM m, (VALUES (0.3), (0.5), (0.7)) th(t) GROUP BY model, t),
+        FROM m, (VALUES (0.3), (0.5), (0.7)) th(t) GROUP BY model, t)"""
+
+
+@query("sensitivity_axis", f"""{_F1_BY_T_SQL},
   pv AS (SELECT model, 'threshold' AS param, CAST(CAST(threshold AS DOUBLE) AS VARCHAR) AS value, max(f1) AS best_metric
          FROM r GROUP BY ALL),
   ax AS (SELECT model, param, arg_max(value, (best_metric, value)) AS bv FROM pv GROUP BY ALL HAVING count(*) >= 2)
@@ -164,3 +167,16 @@ def q_sensitivity_axis(spark, sf):
     """F1 by threshold per scorer (only pairs with >= 2 values), best marked."""
     res = M.metrics_table(scored(spark, sf), "y", "score", [0.3, 0.5, 0.7], ["model"])
     return rounded(SW.sensitivity_axis(res, ["threshold"], model_keys=_AXIS_KEYS))
+
+
+@query("typed_config", f"""{_F1_BY_T_SQL}
+SELECT model, 'sweep' AS run_id, CAST(threshold AS DOUBLE) AS threshold, round(f1, 6) AS f1
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold) AS rn FROM r) WHERE rn = 1""")
+def q_typed_config(spark, sf):
+    """Best result row per scorer (F1; ties -> lowest threshold) turned into a
+    typed configuration struct, then read back field by field."""
+    res = M.metrics_table(scored(spark, sf), "y", "score", [0.3, 0.5, 0.7], ["model"]).withColumn(
+        "run_id", F.lit("sweep"))
+    best = SW.best_configs(res).select("model", "run_id", "threshold", "f1")
+    cfg = SW.typed_config(best, "run_id string, threshold double, f1 double")
+    return rounded(cfg.select("model", "config.run_id", "config.threshold", "config.f1"))
