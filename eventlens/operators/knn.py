@@ -3,7 +3,8 @@
 Both sides are hashed into blocks of at most ``block_rows`` rows. Every
 (query block, reference block) pair is one cogroup task that computes the
 block's distance matrix with numpy and keeps each query's ``k`` best
-candidates - pairs are computed, never emitted as rows. Each query then has
+candidates (exactly ``k``, ties broken by rounded distance then id) - pairs
+are computed, never emitted as rows. Each query then has
 ``k * reference blocks`` candidates, merged with a window over that bounded
 set. Work is quadratic (exact kNN is), memory per task is bounded by
 ``block_rows**2``, and no side is broadcast.
@@ -46,18 +47,24 @@ def knn_join(query: DataFrame, ref: DataFrame, id_col: str, vec_col: str, k: int
         if exclude_self:
             d = np.where(qid[:, None] == rid[None, :], np.inf, d)
         kk = min(k, R.shape[0])
-        # every candidate within a hair of the k-th distance is kept, so ties
-        # are resolved exactly (by rounded exact distance, then id) in the merge
+        # candidates within a hair of the k-th (fast, cancellation-prone)
+        # distance; their distances are then recomputed exactly
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        mask = d <= (kth + 1e-7 * (1.0 + np.abs(kth)))[:, None]
+        mask = (d <= (kth + 1e-7 * (1.0 + np.abs(kth)))[:, None]) & np.isfinite(d)
         rows_q, cols_r = np.nonzero(mask)
-        exact = ((Q[rows_q] - R[cols_r]) ** 2).sum(1)
-        keep = np.isfinite(d[rows_q, cols_r])
-        return pd.DataFrame({"qid": qid[rows_q][keep], "nn_id": rid[cols_r][keep], "dist2": exact[keep]})
+        key = np.round(((Q[rows_q] - R[cols_r]) ** 2).sum(1), digits)
+        # exactly k per query and block, by (rounded exact distance, id) - the
+        # merge orders by the same key, so ties never multiply the rows emitted
+        order = np.lexsort((rid[cols_r], key, rows_q))
+        rows_q, cols_r, key = rows_q[order], cols_r[order], key[order]
+        pos = np.arange(rows_q.size)
+        first = np.r_[True, rows_q[1:] != rows_q[:-1]] if rows_q.size else np.zeros(0, bool)
+        rank = pos - np.maximum.accumulate(np.where(first, pos, 0)) if rows_q.size else pos
+        sel = rank < k
+        return pd.DataFrame({"qid": qid[rows_q][sel], "nn_id": rid[cols_r][sel], "dist2": key[sel]})
 
     cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
         lambda left, right: block_topk(left, right), "qid long, nn_id long, dist2 double")
-    cand = cand.withColumn("dist2", F.round("dist2", digits))
     w = Window.partitionBy("qid").orderBy("dist2", "nn_id")  # at most k * reference blocks rows per query
     return (cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
             .select(F.col("qid").alias(id_col), "nn_id", "rank", "dist2"))

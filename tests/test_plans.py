@@ -24,6 +24,23 @@ def test_knn_matches_bruteforce_multi_block(spark):
         assert [got[(i, r)] for r in (1, 2, 3)] == order
 
 
+def test_knn_hot_duplicate_vector(spark):
+    """A third of the rows share one vector: every query still gets exactly
+    k neighbours, ties broken by id, as in brute force."""
+    rng = np.random.default_rng(7)
+    V = rng.normal(size=(90, 3)).round(2)
+    V[::3] = V[0]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(V)], "id long, v array<double>")
+    res = knn_join(df, df, "id", "v", 4, block_rows=20).collect()
+    assert len(res) == 90 * 4
+    got = {(r["id"], r["rank"]): r["nn_id"] for r in res}
+    for i in range(90):
+        d = ((V - V[i]) ** 2).sum(1).round(6)
+        d[i] = np.inf
+        order = sorted(range(90), key=lambda j: (d[j], j))[:4]
+        assert [got[(i, r)] for r in (1, 2, 3, 4)] == order
+
+
 def test_smote_rows_on_segment(spark):
     e = spark.read.parquet(f"{SF001}/embeddings.parquet").where("label = 0")
     out = S.smote(e, "vec_id", "embedding", 40, k=5, seed=1)
