@@ -119,15 +119,33 @@ def _re_escape(s: str) -> str:
 
 
 def rolling_centered_mean(df: DataFrame, order: str, value: str, width: int = 5,
-                          name: str = "rolling") -> DataFrame:
-    """Centred rolling mean over ``width`` rows, null unless the window is full.
-
-    Meant for an already aggregated, small table (one row per year): the
-    window has no partition key, so it runs in one task.
+                          name: str = "rolling", rows_per_block: int | None = None) -> DataFrame:
+    """Centred rolling mean over ``width`` rows (in ``order``, which should be
+    a total order), null unless all ``width`` values are present.
+
+    A table of at most ``rows_per_block`` rows (e.g. one row per year) uses a
+    window without partition key - one task over a bounded input. A larger
+    one is ranked with the blocked prefix sum, each row is sent to the
+    ``width`` window positions it belongs to, and every position aggregates
+    its (at most ``width``) rows: a distributed shuffle, no single task.
     """
+    from .prefix import ROWS_PER_BLOCK, global_rank
+    import math
     half = width // 2
-    w = Window.orderBy(order).rowsBetween(-half, half)
-    return df.withColumn(name, F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    rows_per_block = rows_per_block or ROWS_PER_BLOCK
+    n = df.count()
+    if n <= rows_per_block:
+        w = Window.orderBy(order).rowsBetween(-half, half)
+        return df.withColumn(name, F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    ranked = global_rank(df, [F.col(order)], "_el_r", rows_per_block=rows_per_block,
+                         blocks=math.ceil(n / rows_per_block))
+    spread = ranked.select("_el_r", F.col(value).alias("_el_v"),
+                           F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_el_o")).select(
+        (F.col("_el_r") + F.col("_el_o")).alias("_el_t"), "_el_v")
+    agg = spread.groupBy("_el_t").agg(F.count("_el_v").alias("_el_c"), F.avg("_el_v").alias("_el_m"))
+    out = ranked.join(agg, ranked["_el_r"] == agg["_el_t"], "left")
+    return out.withColumn(name, F.when(F.col("_el_c") == width, F.col("_el_m"))).drop(
+        "_el_r", "_el_t", "_el_c", "_el_m")
 
 
 def reindex(labels: DataFrame, stats: DataFrame, key: str) -> DataFrame:
