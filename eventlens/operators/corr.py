@@ -2,12 +2,12 @@
 variance-inflation pruning.
 
 Correlations are pairwise complete (a pair uses the rows where both values
-are present). Up to ``JVM_PAIR_LIMIT`` columns they are one JVM aggregate
+are present). Up to ``JVM_MAX_PAIRS`` pairs they are one JVM aggregate
 of ``count``/``covar_pop``/``stddev_pop`` per pair (numerically stable
 co-moment updates, partial aggregation per task, no Python). For wider
-matrices, moment matrices are reduced per Arrow batch with numpy and summed
-per pair by Spark (one pass, O(k^2) rows out of the scan), which keeps the
-plan size linear in k^2 rows instead of k^2 aggregate expressions. A
+matrices, moment matrices are reduced per Arrow batch with numpy (one
+matrix product per batch) and summed per pair by Spark: one pass, k^2 rows
+out of each batch, and a plan whose size does not grow with k^2. A
 constant column gives NULL, never a division error. The greedy pruning and
 VIF steps are k x k and run on the driver.
 """
@@ -20,9 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Widest column list whose pair statistics are plain JVM aggregates
-#: (4 per pair: 480 expressions at 16 columns).
-JVM_PAIR_LIMIT = 16
+#: Most pairs computed as plain JVM aggregates. Each pair holds ~11
+#: aggregation buffer fields (count, co-moment, two second moments); past
+#: ~100 fields Spark turns whole-stage codegen off for the aggregate and
+#: the interpreted path is several times slower than the Arrow Gramian.
+JVM_MAX_PAIRS = 8
 
 
 def _present(c):
@@ -58,9 +60,12 @@ def _pair_r_jvm(df: DataFrame, cols: Sequence[str], only_with: int | None = None
 
 
 def _pair_r(df: DataFrame, cols: Sequence[str], only_with: int | None = None) -> DataFrame:
-    if len(cols) <= JVM_PAIR_LIMIT or only_with is not None:
+    k = len(cols)
+    n_pairs = only_with if only_with is not None else k * (k - 1) // 2
+    if n_pairs <= JVM_MAX_PAIRS:
         return _pair_r_jvm(df, cols, only_with)
-    return _r_from_moments(pair_moments(df, cols))
+    r = _r_from_moments(pair_moments(df, cols))
+    return r if only_with is None else r.where(F.col("b") == only_with)
 
 
 def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
