@@ -22,12 +22,14 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def lcg_uniform(id_col, seed: int = 0) -> Column:
+def lcg_uniform(id_col, seed: int | Column = 0) -> Column:
+    """``seed`` may be a column (e.g. a repeat number), as in ``lcg_sql``."""
     x = F.pmod(_c(id_col).cast("bigint"), F.lit(LCG_M))
-    return F.pmod(x * F.lit(LCG_A) + F.lit(LCG_C + int(seed)), F.lit(LCG_M)).cast("double") / F.lit(float(LCG_M))
+    add = F.lit(LCG_C) + seed.cast("bigint") if isinstance(seed, Column) else F.lit(LCG_C + int(seed))
+    return F.pmod(x * F.lit(LCG_A) + add, F.lit(LCG_M)).cast("double") / F.lit(float(LCG_M))
 
 
-def lcg_uniform2(id_col, seed: int = 0, seed2: int = 7) -> Column:
+def lcg_uniform2(id_col, seed: int | Column = 0, seed2: int = 7) -> Column:
     first = F.floor(lcg_uniform(id_col, seed) * F.lit(float(LCG_M))).cast("bigint")
     return lcg_uniform(first, seed2)
 

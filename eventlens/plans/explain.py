@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import sigmoid
 from ..functions.rng import hash_uniform, lcg_uniform2
 from ..operators.metrics import cells_to_metrics, cum_confusion, auc_ap
-from ..operators.prefix import global_rank
+from ..operators.prefix import ROWS_PER_BLOCK, global_rank
 from ..operators.reshape import importance_pivot
 
 
@@ -67,20 +67,19 @@ def permuted_frame(df: DataFrame, features: Sequence[str], id_col: str, repeats:
     which holds the value of the row at the permuted position.
 
     Row rank r(i) is the rank by id; the permutation for repeat k sends row
-    i to position h_k(i) = rank of ``uniform(id, seed + k)``; row i takes the
-    feature values of the row with r = h_k(i).
+    i to position h_k(i) = rank of ``uniform(id, seed + k)`` among repeat
+    k's rows; row i takes the feature values of the row with r = h_k(i).
+    All repeats are ranked in one skew-safe pass partitioned by repeat.
+    ``uniform(id_column, seed_column)`` must accept a column seed.
     """
     uniform = uniform or (lambda c, s: lcg_uniform2(c, s))
-    ranked = global_rank(df, [F.col(id_col)], "_r")
+    n = df.count()
+    ranked = global_rank(df, [F.col(id_col)], "_r", blocks=max(1, math.ceil(n / ROWS_PER_BLOCK)))
     donors = ranked.select(F.col("_r").alias("_dr"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    parts = []
-    for k in range(repeats):
-        h = global_rank(df.select(id_col).withColumn("_u", uniform(F.col(id_col), seed + k)),
-                        [F.col("_u"), F.col(id_col)], "_h")
-        parts.append(h.select(id_col, "_h", F.lit(k).alias("repeat")))
-    hs = parts[0]
-    for p in parts[1:]:
-        hs = hs.unionByName(p)
+    reps = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    reps = reps.withColumn("_u", uniform(F.col(id_col), F.col("repeat") + F.lit(int(seed))))
+    hs = global_rank(reps, [F.col("_u"), F.col(id_col)], "_h", partition_by=["repeat"],
+                     blocks=max(1, math.ceil(n * repeats / ROWS_PER_BLOCK))).select(id_col, "_h", "repeat")
     joined = df.join(hs, id_col).join(donors, F.col("_h") == F.col("_dr"))
     arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_d_{f}").cast("double").alias("v"))
                     for f in features])
