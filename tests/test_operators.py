@@ -234,3 +234,19 @@ def test_rolling_centered_blocked_equals_window(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-12
+
+
+def test_histogram_edges(spark):
+    from eventlens.operators.profile import histogram
+    # min = max: every value in bucket 1; nulls counted in the null bucket
+    df = spark.createDataFrame([(2.0,)] * 5 + [(None,)], "x double")
+    got = {r["bucket"]: r["n"] for r in histogram(df, "x", 30).collect()}
+    assert got == {1: 5, None: 1}
+    # the maximum falls in the last bucket (closed), the minimum in the first
+    df = spark.createDataFrame([(float(v),) for v in range(31)], "x double")
+    rows = {r["bucket"]: (r["n"], r["lo"], r["hi"]) for r in histogram(df, "x", 30).collect()}
+    assert sum(v[0] for v in rows.values()) == 31 and rows[30][0] == 2 and rows[1][0] == 1
+    assert rows[1][1] == 0.0 and abs(rows[30][2] - 30.0) < 1e-12
+    # all null: one null bucket
+    df = spark.createDataFrame([(None,)] * 3, "x double")
+    assert [(r["bucket"], r["n"]) for r in histogram(df, "x", 30).collect()] == [(None, 3)]
