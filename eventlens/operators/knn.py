@@ -23,10 +23,12 @@ BLOCK_ROWS = 4096
 
 
 def knn_join(query: DataFrame, ref: DataFrame, id_col: str, vec_col: str, k: int = 5,
-             exclude_self: bool = True, block_rows: int = BLOCK_ROWS, digits: int = 6) -> DataFrame:
+             exclude_self: bool = True, block_rows: int = BLOCK_ROWS, digits: int = 6,
+             sizes: tuple[int, int] | None = None) -> DataFrame:
     """(id, nn_id, rank, dist2): the ``k`` nearest reference rows of every
-    query row by squared Euclidean distance; ties by (rounded distance, id)."""
-    nq, nr = query.count(), ref.count()
+    query row by squared Euclidean distance; ties by (rounded distance, id).
+    ``sizes`` = (query rows, reference rows) when already known."""
+    nq, nr = sizes if sizes is not None else (query.count(), ref.count())
     bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
     q = query.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qv")) \
         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int")) \
