@@ -116,61 +116,53 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    rows_per_block: int = ROWS_PER_BLOCK) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``).
+def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as a
+    lazy DataFrame ``(name, qi, q, value)``; ``qi`` indexes ``probs``.
 
     No group of values is gathered in one place: values are counted per
-    distinct value (map-side combine), positions come from
-    :func:`running_totals`, and only the <= 2 values around each requested
-    position reach the driver.
+    distinct value (map-side combine), cumulative positions come from
+    :func:`running_totals`, and each row is matched against the target
+    positions ``floor/ceil(q * (n - 1))`` of its column - a broadcast table
+    of ``len(cols) * len(probs)`` rows. Only the <= 2 rows around each
+    target survive; the interpolation runs in Spark. The single eager step
+    is a row count that sizes the prefix-sum blocks (an upper bound on the
+    distinct values).
     """
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]))
         .alias("kv")
     ).select("kv.name", "kv.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    # one action: rows per column and the number of distinct (column, value) rows
-    st = vc.groupBy("name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()
-    ns = {r["name"]: r["n"] for r in st}
-    blocks = max(1, math.ceil(sum(r["d"] for r in st) / max(1, rows_per_block)))
+    blocks = max(1, math.ceil(df.count() * len(cols) / max(1, rows_per_block)))
     cum = running_totals(vc, [F.col("v").asc()], ["c"], ["name"], count_name="_k",
                          rows_per_block=rows_per_block, blocks=blocks)
-    # targets per column: floor/ceil of q*(n-1)
-    conds = []
-    targets: dict[str, list[tuple[float, int, int]]] = {}
-    for c in cols:
-        n = ns.get(c, 0)
-        if not n:
-            continue
-        targets[c] = []
-        for q in probs:
-            pos = q * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            targets[c].append((pos, lo, hi))
-            for t in {lo, hi}:
-                conds.append((F.col("name") == c) & (F.col("prior_c") <= t) & (F.col("prior_c") + F.col("c") > t))
+    pos = F.col("_q") * (F.col("_n") - 1)
+    targets = vc.groupBy(F.col("name").alias("_name")).agg(F.sum("c").alias("_n")).select(
+        "_name", "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("_q"))
+                                           for i, q in enumerate(probs)])).alias("t")).select(
+        "_name", "_n", "t.qi", "t._q", pos.alias("_pos"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
+
+    def covers(t):
+        return (F.col("prior_c") <= F.col(t)) & (F.col(t) < F.col("prior_c") + F.col("c"))
+
+    # bounded by len(cols) * len(probs) rows: broadcast
+    hit = cum.join(F.broadcast(targets), (F.col("name") == F.col("_name")) & (covers("_lo") | covers("_hi")))
+    g = hit.groupBy("name", "qi", "_q", "_pos", "_lo").agg(
+        F.max(F.when(covers("_lo"), F.col("v"))).alias("_a"), F.max(F.when(covers("_hi"), F.col("v"))).alias("_b"))
+    return g.select("name", "qi", F.col("_q").alias("q"),
+                    (F.col("_a") + (F.col("_pos") - F.col("_lo")) * (F.col("_b") - F.col("_a"))).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    rows_per_block: int = ROWS_PER_BLOCK) -> dict[str, list[float | None]]:
+    """:func:`quantile_frame` collected: ``{column: [value per prob]}``
+    (``None`` for a column without values); at most len(cols) * len(probs)
+    numbers reach the driver."""
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if not conds:
-        return out
-    cond = conds[0]
-    for x in conds[1:]:
-        cond = cond | x
-    rows = cum.where(cond).select("name", "v", "prior_c", "c").collect()
-    by_name: dict[str, list] = {}
-    for r in rows:
-        by_name.setdefault(r["name"], []).append((r["prior_c"], r["prior_c"] + r["c"], r["v"]))
-
-    def value_at(name, t):
-        for lo, hi, v in by_name[name]:
-            if lo <= t < hi:
-                return v
-        raise AssertionError("quantile position not found")
-
-    for c, ts in targets.items():
-        for i, (pos, lo, hi) in enumerate(ts):
-            a, b = value_at(c, lo), value_at(c, hi)
-            out[c][i] = a + (pos - lo) * (b - a)
+    for r in quantile_frame(df, cols, probs, rows_per_block).collect():
+        out[r["name"]][r["qi"]] = r["value"]
     return out
 
 

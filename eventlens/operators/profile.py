@@ -1,7 +1,7 @@
 """Column profiles: describe, value counts, histograms, distinct counts.
 
 Moments come from one aggregate over all columns. Quartiles are exact and
-distributed (``exact_quantiles``); the most frequent value is a
+distributed (``quantile_frame``); the most frequent value is a
 ``min(struct(-count, value))`` over per-value counts, so no column's values
 are ever gathered into one task (Spark's ``mode``/``percentile`` would hold
 every distinct value of a column in one aggregation buffer).
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import exact_quantiles
+from .prefix import quantile_frame
 
 
 def _long(df: DataFrame, cols: Sequence[str], cast: str | None) -> DataFrame:
@@ -24,17 +24,10 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str | None) -> DataFrame:
                      .alias("kv")).select("kv.column", "kv.v")
 
 
-def _lit_by_column(values: dict[str, float | None], cols: Sequence[str]):
-    expr = F.lit(None).cast("double")
-    for c in cols:
-        val = values.get(c)
-        expr = F.when(F.col("column") == c, F.lit(val).cast("double")).otherwise(expr)
-    return expr
-
-
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max); std is the
-    sample std, quartiles interpolate linearly (pandas ``describe``)."""
+    sample std, quartiles interpolate linearly (pandas ``describe``). One
+    lazy plan: the moments aggregate joined to the quartile frame."""
     wide = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"n{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"),
         F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}"),
@@ -43,11 +36,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
                  F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    return long.select("column", "count", "mean", "std", "min",
-                       _lit_by_column({c: q[c][0] for c in cols}, cols).alias("p25"),
-                       _lit_by_column({c: q[c][1] for c in cols}, cols).alias("p50"),
-                       _lit_by_column({c: q[c][2] for c in cols}, cols).alias("p75"), "max")
+    q = quantile_frame(df, cols, [0.25, 0.5, 0.75]).groupBy(F.col("name").alias("column")).agg(
+        *[F.max(F.when(F.col("qi") == i, F.col("value"))).alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
+    # both sides hold one row per described column
+    return long.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75",
+                                                 "max")
 
 
 def describe_string(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -53,3 +53,17 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
     q = exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0])["x"]
     assert np.allclose(q, np.quantile(np.array(vals), [0, .25, .5, .75, 1.0]))
+
+
+def test_exact_quantiles_blocked_two_columns(spark):
+    """Blocked prefix sums (tiny blocks), a hot value, two columns, one all-null."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    a = [float(x) for x in rng.integers(0, 50, size=400)] + [7.0] * 200
+    b = [float(x) for x in rng.normal(size=600)]
+    df = spark.createDataFrame([(x, y, None) for x, y in zip(a, b)], "a double, b double, z double")
+    probs = [0.1, 0.25, 0.5, 0.9]
+    q = exact_quantiles(df, ["a", "b", "z"], probs, rows_per_block=97)
+    assert np.allclose(q["a"], np.quantile(np.array(a), probs))
+    assert np.allclose(q["b"], np.quantile(np.array(b), probs))
+    assert q["z"] == [None] * 4
