@@ -25,12 +25,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
 from ..functions.rng import hash_uniform, lcg_uniform
-from ..operators.prefix import global_rank
+from ..operators.prefix import ROWS_PER_BLOCK, global_rank
 from ..session import materialize
 
 FEATURES = "features"
@@ -283,42 +284,64 @@ def fit_boost(train: DataFrame, features: Sequence[str], y: str, n_estimators: i
     df = (balanced_weight(train, y) if balanced else train.withColumn("w", F.lit(1.0)))
     total = df.agg(F.sum("w")).first()[0] or 1.0
     df = materialize(df.select(id_col, y, *features, (F.col("w") / F.lit(total)).alias("w")), "boost")
+    # labels never change between rounds: count the classes once (RUSBoost)
+    counts = ({r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
+              if undersample else None)
     stages = []
-    for m in range(n_estimators):
-        fit_df = undersample_majority(df, y, id_col, seed + m) if undersample else df
-        tree = _pipeline(features, DecisionTreeClassifier(featuresCol=FEATURES, labelCol=y, weightCol="w",
-                                                          maxDepth=depth, seed=seed + m))
-        model = tree.fit(fit_df)
-        pred = model.transform(df).select(id_col, y, *features, "w", F.col("prediction").alias("_pr"))
-        miss = (F.col("_pr") != F.col(y)).cast("double")
-        err_row = pred.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()
-        err = float(err_row["e"] or 0.0)
-        if err >= 0.5:
-            if not stages:
-                stages.append((1.0, model))
-            break
-        err = max(err, 1e-10)
-        alpha = learning_rate * math.log((1 - err) / err)
-        stages.append((alpha, model))
-        if err <= 1e-10:
-            break
-        # weights sum to 1, so the new sum is known from err: (1 - err) + err * e^alpha
-        new_total = (1 - err) + err * math.exp(alpha)
-        nxt = pred.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss) / F.lit(new_total)).drop("_pr")
-        df = materialize(nxt, "boost") if (m + 1) % checkpoint_every == 0 else nxt
+    cached: list[DataFrame] = []   # weights of recent rounds (between lineage cuts)
+    try:
+        for m in range(n_estimators):
+            fit_df = undersample_majority(df, y, id_col, seed + m, counts) if undersample else df
+            tree = _pipeline(features, DecisionTreeClassifier(featuresCol=FEATURES, labelCol=y, weightCol="w",
+                                                              maxDepth=depth, seed=seed + m))
+            model = tree.fit(fit_df)
+            pred = model.transform(df).select(id_col, y, *features, "w", F.col("prediction").alias("_pr"))
+            miss = (F.col("_pr") != F.col(y)).cast("double")
+            err_row = pred.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()
+            # this round's weights are computed and cached now; older ones can go
+            for c in cached[:-1]:
+                c.unpersist()
+            cached = cached[-1:]
+            err = float(err_row["e"] or 0.0)
+            if err >= 0.5:
+                if not stages:
+                    stages.append((1.0, model))
+                break
+            err = max(err, 1e-10)
+            alpha = learning_rate * math.log((1 - err) / err)
+            stages.append((alpha, model))
+            if err <= 1e-10:
+                break
+            # weights sum to 1, so the new sum is known from err: (1 - err) + err * e^alpha
+            new_total = (1 - err) + err * math.exp(alpha)
+            nxt = pred.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss) / F.lit(new_total)).drop("_pr")
+            if (m + 1) % checkpoint_every == 0:
+                df = materialize(nxt, "boost")   # lineage cut in the shared folder
+            else:
+                # cached (spills to disk; a lost block is recomputed from the last cut), so a round
+                # never recomputes the rounds before it
+                df = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+                cached.append(df)
+    finally:
+        for c in cached:
+            c.unpersist()
     return BoostScorer("RUSBoost" if undersample else "AdaBoost", stages)
 
 
-def undersample_majority(df: DataFrame, y: str, id_col: str, seed: int) -> DataFrame:
+def undersample_majority(df: DataFrame, y: str, id_col: str, seed: int,
+                         counts: dict | None = None) -> DataFrame:
     """All minority rows plus as many majority rows, picked by the rank of a
-    seeded hash (exact count, distributed rank - no single-task sort)."""
-    counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
+    seeded hash (exact count, distributed rank - no single-task sort).
+    ``counts`` (rows per class) may be passed when already known."""
+    if counts is None:
+        counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return df
     minority = min(counts, key=lambda k: (counts[k], k))
     n_min = counts[minority]
+    n_maj = sum(v for k, v in counts.items() if k != minority)
     maj = df.where(F.col(y) != minority).withColumn("_h", hash_uniform(id_col, seed=seed))
-    ranked = global_rank(maj, [F.col("_h"), F.col(id_col)], "_r")
+    ranked = global_rank(maj, [F.col("_h"), F.col(id_col)], "_r", blocks=max(1, math.ceil(n_maj / ROWS_PER_BLOCK)))
     picked = ranked.where(F.col("_r") < n_min).drop("_h", "_r")
     return df.where(F.col(y) == minority).unionByName(picked)
 
