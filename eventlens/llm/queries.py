@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import chat, mix, packing, quality, token_files
+from . import chat, mix, ngram_join, packing, pii, quality, shard, token_files, url_model
 from . import sql as oracle
 
 
@@ -18,6 +18,18 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_model.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score_bin")
+
+
+def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard.shard_documents(docs).select(
+        "doc_id", shard.row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
@@ -61,6 +73,20 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *COUNTS, base.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_mix_sources, op5_pack_online, op6_chat_round_trip, op7_quality_cascade)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+#: The key is the operator's parameter; in production it comes from a secret store.
+PII_KEY = "pseudonym-key-1"
+
+
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, found_col="n_replaced")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_ratio, op2_histogram_shards, op3_token_files, op4_mix_sources, op5_pack_online,
+                                   op6_chat_round_trip, op7_quality_cascade, op9_ngram_jaccard, op10_feistel_pseudonyms)}
 
-ORACLES = {"op4_mix_sources": oracle.MIX, "op6_chat_round_trip": oracle.CHAT, "op7_quality_cascade": oracle.QUALITY}
+ORACLES = {"op1_url_ratio": oracle.URLS, "op4_mix_sources": oracle.MIX, "op6_chat_round_trip": oracle.CHAT, "op7_quality_cascade": oracle.QUALITY}

@@ -93,3 +93,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT ({' OR '.join(r.sql for r in RULES)}) AS kept
 FROM s
 """
+
+
+def _url_model() -> str:
+    from .url_model import BINS, CALIBRATION, ORDER, RULES as URL_RULES, UNIFORM
+
+    fits = []
+    for name, verdict in sorted(URL_RULES, key=lambda r: -len(r[0])):
+        own, prefix = name.split("/", 1)
+        fits.append((f"((host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{prefix}'))", name, verdict))
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
+    parts = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    levels = []
+    for k in range(ORDER + 1):
+        lower_a, lower_r = ("l.la", "l.lr") if k else (f"{UNIFORM}", f"{UNIFORM}")
+        join = f"JOIN p{k - 1} l ON l.gram = substr(g.gram, 2, {k})" if k else ""
+        levels.append(f"""
+g{k} AS (SELECT substr(win, {ORDER + 1 - k}, {k + 1}) AS gram, substr(win, {ORDER + 1 - k}, {k}) AS ctx, sum(a) AS a, sum(r) AS r FROM seen GROUP BY ALL),
+c{k} AS (SELECT ctx, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr, count(*) FILTER (r > 0) AS tr FROM g{k} GROUP BY ctx),
+p{k} AS (SELECT g.gram, CASE WHEN na > 0 THEN (a + ta * {lower_a}) / (na + ta) ELSE {lower_a} END AS la,
+                CASE WHEN nr > 0 THEN (r + tr * {lower_r}) / (nr + tr) ELSE {lower_r} END AS lr
+         FROM g{k} g JOIN c{k} USING (ctx) {join}),""")
+    start = " || ".join(["chr(2)"] * ORDER)
+    return f"""
+WITH pg AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '{parts}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages),
+ruled AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM pg),
+urls AS (
+  SELECT DISTINCT url, CASE by_rule WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END AS label, contains('{CALIBRATION}', substr(md5(url), 1, 1)) AS held
+  FROM ruled WHERE url IS NOT NULL),
+wins AS (
+  SELECT url, label, held, substr({start} || url, i, {ORDER + 1}) AS win
+  FROM (SELECT *, unnest(range(1, length(url) + 1)) AS i FROM urls WHERE length(url) > 0)),
+seen AS (SELECT win, count(*) FILTER (label = 1 AND NOT held) AS a, count(*) FILTER (label = 0 AND NOT held) AS r FROM wins GROUP BY win),
+{''.join(levels)}
+sc AS (
+  SELECT url, any_value(label) AS label, any_value(held) AS held,
+         CAST(floor(sum(CAST(floor((ln(la) - ln(lr)) * 1000000 + 0.5) AS BIGINT)) / (count(*) * {1_000_000.0 / BINS})) AS BIGINT) AS bin
+  FROM wins JOIN p{ORDER} ON gram = win GROUP BY url),
+h AS (SELECT label, bin FROM sc WHERE held AND label IS NOT NULL),
+e AS (SELECT DISTINCT bin AS t FROM h UNION SELECT 0 UNION SELECT greatest(max(bin), 0) + 1 FROM h),
+cost AS (
+  SELECT t, count(*) FILTER (label = 1 AND bin < t) / CAST(any_value(ng) AS DOUBLE) + count(*) FILTER (label = 0 AND bin >= t) / CAST(any_value(nb) AS DOUBLE) AS c
+  FROM e, h, (SELECT count(*) FILTER (label = 1) AS ng, count(*) FILTER (label = 0) AS nb FROM h) GROUP BY t),
+thr AS (SELECT CASE WHEN (SELECT count(DISTINCT label) FROM h) < 2 THEN 0 ELSE (SELECT t FROM cost ORDER BY c, abs(t), t LIMIT 1) END AS t)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN sc.bin >= thr.t THEN 'allow' ELSE 'block' END) AS verdict, sc.bin AS score_bin
+FROM ruled CROSS JOIN thr LEFT JOIN sc ON sc.url = ruled.url
+"""
+
+
+URLS = _url_model()

@@ -1,0 +1,101 @@
+"""Pseudonyms: formats, linkage, bijections, and what must stay."""
+
+import re
+
+import pytest
+from llm_fixtures import HARD_TEXTS, SF0001, documents, long_text  # noqa: F401
+from pyspark.sql import functions as F
+
+from eventlens.llm import pii
+from eventlens.llm.queries import QUERIES
+
+
+def luhn(s):
+    d = [int(x) for x in reversed(s)]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def run(spark, texts, key="k"):
+    df = pii.pseudonymise(documents(spark, list(enumerate(texts)), ["n", "p"]), key, found_col="n_replaced")
+    return [(r.text, r.n_replaced) for r in df.orderBy("doc_id").collect()]
+
+
+VALUES = {
+    "4111111111111111": r"4\d{15}", "5500 0000 0000 0004": r"5\d{3} \d{4} \d{4} \d{4}", "3782-822463-10005": None, "4000-0000-0000-0002": r"4\d{3}-\d{4}-\d{4}-\d{4}",
+    "4111111111111112": None, "+1 (013) 555-6503": r"\+1 \(\d{3}\) \d{3}-\d{4}", "(279) 555-0216": r"\(\d{3}\) \d{3}-\d{4}", "279-555-0216": r"\d{3}-\d{3}-\d{4}",
+    "233.233.171.252": r"(\d{1,3}\.){3}\d{1,3}", "256.1.1.1": None, "1.2.3": None, "123-45-6789": r"\d{3}-\d{2}-\d{4}", "000-45-6789": None, "666-45-6789": None,
+    "2024-02-29": r"\d{4}-\d\d-\d\d", "2023-02-29": None, "12/31/1999": r"\d\d/\d\d/\d{4}", "31.12.1999": r"\d\d\.\d\d\.\d{4}", "1850-01-01": None,
+    "DE89370400440532013000": r"DE\d{20}", "GB82WEST12345698765432": r"GB\d\d[A-Z]{4}\d{14}", "DE89370400440532013001": None,
+    "enbest.54@mail3.example.com": r"[a-z]{6}\.\d\d@mail3\.example\.com", "X.Y+1@A.org": r"[A-Z]\.[A-Z]\+\d@A\.org",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"': r'token = "[0-9a-f]{40}"', 'TOKEN = "24BE64439E3E49CF46B2D7C9"': r'TOKEN = "[0-9A-F]{24}"',
+    "Version 2.0.": None, "3.14159": None, "1234567": None,
+}
+
+
+@pytest.mark.parametrize("around", [("", ""), ("é ", ","), ("x: ", "### y\n")])
+def test_values_keep_their_format(spark, around):
+    values = [v for v in VALUES if "." not in v[-1:] or around[1] == ""]
+    got = run(spark, [around[0] + v + around[1] for v in values])
+    for v, (text, n) in zip(values, got):
+        new = text[len(around[0]) : len(text) - len(around[1])]
+        assert text.startswith(around[0]) and text.endswith(around[1])
+        if VALUES[v] is None:
+            assert (new, n) == (v, 0)
+        else:
+            assert re.fullmatch(VALUES[v], new) and new != v and n == 1, (v, new)
+            digits = re.sub(r"\D", "", v)
+            if len(digits) == 16 and v[0] in "45":
+                assert luhn(re.sub(r"\D", "", new))
+            if v[:2] in ("DE", "GB"):
+                assert mod97(new[4:] + new[:4]) == 1
+
+
+def test_linked_across_documents_and_keyed(spark):
+    texts = ["a 233.233.171.252 b", "233.233.171.252", "x 4111111111111111 4111111111111111 y", "4111111111111111", "1999-12-31 31.12.1999 12/31/1999"]
+    one, two = run(spark, texts, "k"), run(spark, texts, "other")
+    assert one[0][0].split()[1] == one[1][0] and one[2][0].split()[1] == one[2][0].split()[2] == one[3][0] and one[2][1] == 2
+    y, d, u = one[4][0].split()
+    assert (y[:4], y[5:7], y[8:]) == (d[6:], d[3:5], d[:2]) == (u[6:], u[:2], u[3:5])
+    assert all(a[0] != b[0] for a, b in zip(one, two))
+
+
+def test_bijections(spark):
+    ids = spark.range(7 * 11)
+    p = pii.feistel(F.expr("id div 11"), F.expr("id % 11"), F.lit(7), F.lit(11), "k", "t")
+    rows = ids.select(p.alias("p")).collect()
+    assert {(r.p.l, r.p.r) for r in rows} == {(a, b) for a in range(7) for b in range(11)}
+    got = ids.select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).distinct().count()
+    assert got == 77
+    days = spark.range(4000).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    new = days.select(pii.pseudonym(F.col("d"), "k").alias("n"))
+    assert new.distinct().count() == 4000
+    words = spark.range(26 * 26).select(F.concat(F.chr(97 + F.expr("id div 26")), F.chr(97 + F.expr("id % 26")), F.lit("é-")).alias("w"))
+    out = [r.x for r in words.select(pii.permute_text(F.col("w"), "k", "t", pii.LETTERS).alias("x")).collect()]
+    assert len(set(out)) == 676 and all(re.fullmatch("[a-z]{2}é-", x) for x in out)
+
+
+def test_hard_texts_stay(spark, long_text):
+    texts = [t for t in HARD_TEXTS if t != "12,345.67 (€) 😀😀"] + ["a" * 300_000 + "1", "1" * 300_000, "a@" * 100_000 + "1", "1." * 100_000]
+    assert [t for t, _ in run(spark, texts)] == texts
+    marked = long_text[:200_000] + " 233.233.171.252 " + long_text[200_000:]
+    (new, n), = run(spark, [marked])
+    assert n == 1 and new != marked and len(new) >= len(marked) - 8 and new.startswith(long_text[:200_000])
+    assert run(spark, []) == []
+
+
+def test_query_leaves_no_value(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()}
+    found = 0
+    for r in QUERIES["op10_feistel_pseudonyms"](spark, SF0001).collect():
+        old = docs[r.doc_id]
+        values = re.findall(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)", old)
+        values += [c for c in re.findall(r"\b\d{16}\b", old) if luhn(c)]
+        found += len(values)
+        assert not any(v in r.text for v in values)
+        assert (r.text == old) == (r.n_replaced == 0)
+        assert re.sub(r"\S*[\d@]\S*", "", r.text) == re.sub(r"\S*[\d@]\S*", "", old) or "token" in old.lower()
+    assert found > 20
