@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import table
-from . import chat, mix, ngram_join, packing, pii, quality, shard, token_files, url_model
+from . import chat, mix, ngram_join, packing, pii, quality, shard, token_files, url_model, vector_dedup
 from . import sql as oracle
 
 
@@ -73,6 +73,10 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *COUNTS, base.alias("base_failed"), "kept")
 
 
+def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,6 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_ratio, op2_histogram_shards, op3_token_files, op4_mix_sources, op5_pack_online,
-                                   op6_chat_round_trip, op7_quality_cascade, op9_ngram_jaccard, op10_feistel_pseudonyms)}
+                                   op6_chat_round_trip, op7_quality_cascade, op8_hnsw_dedup, op9_ngram_jaccard, op10_feistel_pseudonyms)}
 
 ORACLES = {"op1_url_ratio": oracle.URLS, "op4_mix_sources": oracle.MIX, "op6_chat_round_trip": oracle.CHAT, "op7_quality_cascade": oracle.QUALITY}
