@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .components import connected
 from .quality import slices
-from .words import mix64, string_hashes, window_hashes, words_of
+from .words import mix64, plain, string_hashes, window_hashes, words_of
 
 WIDTH = 5
 PERCENT = 75
@@ -54,7 +54,7 @@ SLICE_BYTES = 2 << 20
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of every text, sorted inside each, and
     the offsets of each text's."""
-    w = words_of(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    w = words_of(pc.ascii_lower(plain(texts)))
     hashes = string_hashes(w.vocabulary)[w.codes]
     counts = np.diff(w.offsets)
     found, starts = window_hashes(hashes, w.offsets, width)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix64, window_hashes, words_of
+from .words import Words, mix64, plain, window_hashes, words_of
 
 #: Rows of the sample on which cost and selectivity are measured (at most about so many).
 SAMPLE_ROWS = 2000
@@ -56,7 +56,7 @@ class Batch:
     """Texts with counts that are made when asked for, for chosen rows."""
 
     def __init__(self, texts: pa.Array):
-        self.texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        self.texts = plain(texts)
         self._rows: np.ndarray | None = None
         self._words: Words | None = None
 
