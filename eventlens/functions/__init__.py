@@ -17,11 +17,11 @@ from .columns import (
     sigmoid,
     round6,
 )
-from .rng import lcg_uniform, lcg_uniform2, hash_uniform
+from .rng import hash_uniform, uniform
 
 __all__ = [
     "parse_currency", "parse_unit", "parse_percent", "try_numeric", "try_long", "try_timestamp",
     "binary_target", "flag", "structural_zero", "composite_key", "null_flag", "safe_ratio",
     "utilisation_ratio", "sentinel_to_null", "cyclical", "decade", "slug", "sigmoid", "round6",
-    "lcg_uniform", "lcg_uniform2", "hash_uniform",
+    "uniform", "hash_uniform",
 ]

@@ -1,10 +1,9 @@
 """Deterministic per-row uniforms.
 
-``lcg_uniform`` is one linear-congruential step of the row id, so the same
-value can be recomputed by any SQL engine (used where results are checked
-against an independent SQL oracle). It is evenly spaced for consecutive ids;
-``lcg_uniform2`` feeds the first draw back with a second seed so the order
-looks random. ``hash_uniform`` (xxhash64) is the Spark-only choice.
+``uniform`` takes 52 bits of md5 of seed and id, so any SQL engine can repeat
+the draw (used where results are checked against an independent SQL oracle)
+and draws of different seeds, or of neighbouring ids, have nothing to do with
+each other. ``hash_uniform`` (xxhash64) is the Spark-only choice.
 """
 
 from __future__ import annotations
@@ -12,36 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The classic C-library LCG multiplier/increment, modulus 2^31.
-LCG_A = 1103515245
-LCG_C = 12345
-LCG_M = 2147483648
+#: Hex digits used, and how many values they have.
+DIGITS = 13
+RANGE = float(16**DIGITS)
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def lcg_uniform(id_col, seed: int | Column = 0) -> Column:
-    """``seed`` may be a column (e.g. a repeat number), as in ``lcg_sql``."""
-    x = F.pmod(_c(id_col).cast("bigint"), F.lit(LCG_M))
-    add = F.lit(LCG_C) + seed.cast("bigint") if isinstance(seed, Column) else F.lit(LCG_C + int(seed))
-    return F.pmod(x * F.lit(LCG_A) + add, F.lit(LCG_M)).cast("double") / F.lit(float(LCG_M))
+def uniform(id_col, seed: int | Column = 0) -> Column:
+    """``seed`` may be a column (e.g. a repeat number), as in ``uniform_sql``."""
+    s = seed if isinstance(seed, Column) else F.lit(int(seed))
+    digest = F.md5(F.concat_ws(":", s.cast("bigint").cast("string"), _c(id_col).cast("bigint").cast("string")))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("bigint").cast("double") / F.lit(RANGE)
 
 
-def lcg_uniform2(id_col, seed: int | Column = 0, seed2: int = 7) -> Column:
-    first = F.floor(lcg_uniform(id_col, seed) * F.lit(float(LCG_M))).cast("bigint")
-    return lcg_uniform(first, seed2)
-
-
-def lcg_sql(id_sql: str, seed: int | str = 0) -> str:
-    """The same generator as DuckDB/ANSI SQL text (``seed`` may be SQL)."""
-    add = LCG_C + seed if isinstance(seed, int) else f"({LCG_C} + {seed})"
-    return f"(((({id_sql}) % {LCG_M}) * {LCG_A} + {add}) % {LCG_M}) / {float(LCG_M)}"
-
-
-def lcg2_sql(id_sql: str, seed: int | str = 0, seed2: int = 7) -> str:
-    return lcg_sql(f"CAST(floor({lcg_sql(id_sql, seed)} * {float(LCG_M)}) AS BIGINT)", seed2)
+def uniform_sql(id_sql: str, seed: int | str = 0) -> str:
+    """The same draw as DuckDB SQL text (``seed`` may be SQL)."""
+    text = f"CAST(CAST({seed} AS BIGINT) AS VARCHAR) || ':' || CAST(CAST({id_sql} AS BIGINT) AS VARCHAR)"
+    return f"(CAST(CAST('0x' || substr(md5({text}), 1, {DIGITS}) AS BIGINT) AS DOUBLE) / {RANGE})"
 
 
 def hash_uniform(*cols, seed: int = 42) -> Column:

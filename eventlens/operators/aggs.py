@@ -69,11 +69,9 @@ def rate_by_bins(df: DataFrame, value: str, edges: Sequence[float], labels: Sequ
     """Mean outcome and count per right-closed bin; empty bins are absent
     (``observed=True``), out-of-range rows are dropped. ``bin_order`` keeps
     the label order sortable."""
-    order = {lab: i for i, lab in enumerate(labels)}
     b = right_closed_bin(value, edges, labels)
     o = right_closed_bin(value, edges, [str(i) for i in range(len(labels))]).cast("int")
     staged = df.select(b.alias(bin_name), o.alias("bin_order"), F.col(target))
-    del order
     return (staged.where(F.col(bin_name).isNotNull()).groupBy(bin_name, "bin_order")
             .agg(F.avg(_y(target)).alias("success_rate"), F.count(F.lit(1)).alias("n")))
 
@@ -119,26 +117,17 @@ def _re_escape(s: str) -> str:
 
 
 def rolling_centered_mean(df: DataFrame, order: str, value: str, width: int = 5,
-                          name: str = "rolling", rows_per_block: int | None = None) -> DataFrame:
+                          name: str = "rolling") -> DataFrame:
     """Centred rolling mean over ``width`` rows (in ``order``, which should be
     a total order), null unless all ``width`` values are present.
 
-    A table of at most ``rows_per_block`` rows (e.g. one row per year) uses a
-    window without partition key - one task over a bounded input. A larger
-    one is ranked with the blocked prefix sum, each row is sent to the
+    Rows are ranked with the blocked prefix sum, each row is sent to the
     ``width`` window positions it belongs to, and every position aggregates
     its (at most ``width``) rows: a distributed shuffle, no single task.
     """
-    from .prefix import ROWS_PER_BLOCK, global_rank
-    import math
+    from .prefix import global_rank
     half = width // 2
-    rows_per_block = rows_per_block or ROWS_PER_BLOCK
-    n = df.count()
-    if n <= rows_per_block:
-        w = Window.orderBy(order).rowsBetween(-half, half)
-        return df.withColumn(name, F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
-    ranked = global_rank(df, [F.col(order)], "_el_r", rows_per_block=rows_per_block,
-                         blocks=math.ceil(n / rows_per_block))
+    ranked = global_rank(df, [F.col(order)], "_el_r")
     spread = ranked.select("_el_r", F.col(value).alias("_el_v"),
                            F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_el_o")).select(
         (F.col("_el_r") + F.col("_el_o")).alias("_el_t"), "_el_v")

@@ -2,14 +2,11 @@
 variance-inflation pruning.
 
 Correlations are pairwise complete (a pair uses the rows where both values
-are present). Up to ``JVM_MAX_PAIRS`` pairs they are one JVM aggregate
-of ``count``/``covar_pop``/``stddev_pop`` per pair (numerically stable
-co-moment updates, partial aggregation per task, no Python). For wider
-matrices, moment matrices are reduced per Arrow batch with numpy (one
-matrix product per batch) and summed per pair by Spark: one pass, k^2 rows
-out of each batch, and a plan whose size does not grow with k^2. A
-constant column gives NULL, never a division error. The greedy pruning and
-VIF steps are k x k and run on the driver.
+are present). Moment matrices are added up per partition with numpy (one
+matrix product per Arrow batch) and summed per pair by Spark: one pass, one
+row per pair out of each partition, and a plan whose size does not grow with
+the columns. A constant column gives NULL, never a division error. The
+pruning steps are k x k and run on the driver.
 """
 
 from __future__ import annotations
@@ -20,83 +17,48 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most pairs computed as plain JVM aggregates. Each pair holds ~11
-#: aggregation buffer fields (count, co-moment, two second moments); past
-#: ~100 fields Spark turns whole-stage codegen off for the aggregate and
-#: the interpreted path is several times slower than the Arrow Gramian.
-JVM_MAX_PAIRS = 8
-
-
-def _present(c):
-    x = F.col(c).cast("double")
-    return x.isNotNull() & ~F.isnan(x)
-
-
-def _pair_r_jvm(df: DataFrame, cols: Sequence[str], only_with: int | None = None) -> DataFrame:
-    """(a, b, r) for column indexes a < b from one aggregate (only pairs
-    whose ``b`` is ``only_with`` when given)."""
-    k = len(cols)
-    aggs, pairs = [], []
-    for i in range(k):
-        for j in range(i + 1, k):
-            if only_with is not None and j != only_with:
-                continue
-            both = _present(cols[i]) & _present(cols[j])
-            xi, xj = F.when(both, F.col(cols[i]).cast("double")), F.when(both, F.col(cols[j]).cast("double"))
-            aggs += [F.count(xi).alias(f"n_{i}_{j}"), F.covar_pop(xi, xj).alias(f"c_{i}_{j}"),
-                     F.stddev_pop(xi).alias(f"sa_{i}_{j}"), F.stddev_pop(xj).alias(f"sb_{i}_{j}")]
-            pairs.append((i, j))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a int, b int, r double")
-    wide = df.agg(*aggs)
-
-    def r(i, j):
-        n, c, sa, sb = (F.col(f"{p}_{i}_{j}") for p in ("n", "c", "sa", "sb"))
-        return F.when((n > 1) & (sa > 0) & (sb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c / (sa * sb))))
-
-    rows = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), r(i, j).cast("double").alias("r"))
-                     for i, j in pairs])
-    return wide.select(F.explode(rows).alias("s")).select("s.a", "s.b", "s.r")
+#: Eigenvalues of a correlation matrix below this count as zero.
+TOLERANCE = 1e-10
 
 
 def _pair_r(df: DataFrame, cols: Sequence[str], only_with: int | None = None) -> DataFrame:
-    k = len(cols)
-    n_pairs = only_with if only_with is not None else k * (k - 1) // 2
-    if n_pairs <= JVM_MAX_PAIRS:
-        return _pair_r_jvm(df, cols, only_with)
-    r = _r_from_moments(pair_moments(df, cols))
-    return r if only_with is None else r.where(F.col("b") == only_with)
+    return _r_from_moments(pair_moments(df, cols, only_with))
 
 
-def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete moments for every ordered pair (a, b) in ONE pass.
+def pair_moments(df: DataFrame, cols: Sequence[str], only_with: int | None = None) -> DataFrame:
+    """Pairwise-complete moments for every ordered pair (a, b), or those with
+    the column ``only_with``, in one pass.
 
-    Each Arrow batch is reduced with numpy to k x k matrices (rows where
-    both a and b are present): n, sum a, sum a^2, sum a*b - on values shifted
-    by a first-pass mean for numerical stability - emitted as k^2 rows and
-    summed per pair by a grouped aggregate. Work per row is O(k^2) inside
-    one matrix product; nothing is gathered in one task.
+    Each Arrow batch adds to k x k matrices (rows where both a and b are
+    present): n, sum a, sum a^2, sum a*b - on values shifted by a first-pass
+    mean for numerical stability. A partition gives one row per pair, summed
+    per pair by a grouped aggregate; nothing is gathered in one task.
     Output: (a, b, n, s_a, s_aa, s_ab) with a, b column indexes.
     """
     import pandas as pd
     k = len(cols)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
     src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     ia, ib = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+    wanted = (ia == only_with) | (ib == only_with) if only_with is not None else np.ones((k, k), bool)
 
     def moments(batches):
+        sums = np.zeros((4, k, k))
         for pdf in batches:
             X = pdf.to_numpy(dtype=float, na_value=np.nan)
             M = ~np.isnan(X)
             X0 = np.where(M, X - shift, 0.0)
             Mf = M.astype(float)
-            n = Mf.T @ Mf
-            s1 = X0.T @ Mf
-            s2 = (X0 * X0).T @ Mf
-            s11 = X0.T @ X0
-            yield pd.DataFrame({"a": ia.ravel(), "b": ib.ravel(), "n": n.ravel(), "s_a": s1.ravel(),
-                                "s_aa": s2.ravel(), "s_ab": s11.ravel()})
+            if only_with is None:
+                sums += np.stack([Mf.T @ Mf, X0.T @ Mf, (X0 * X0).T @ Mf, X0.T @ X0])
+            else:
+                t = only_with
+                sums[:, :, t] += np.stack([Mf.T @ Mf[:, t], X0.T @ Mf[:, t], (X0 * X0).T @ Mf[:, t], X0.T @ X0[:, t]])
+                row = np.stack([Mf[:, t] @ Mf, X0[:, t] @ Mf, (X0[:, t] ** 2) @ Mf, X0[:, t] @ X0])
+                row[:, t] = 0.0  # in the column already
+                sums[:, t, :] += row
+        yield pd.DataFrame({"a": ia[wanted], "b": ib[wanted], **{n: s[wanted] for n, s in zip(("n", "s_a", "s_aa", "s_ab"), sums)}})
 
     part = src.mapInPandas(moments, "a int, b int, n double, s_a double, s_aa double, s_ab double")
     return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "s_a", "s_aa", "s_ab")])
@@ -182,22 +144,22 @@ def greedy_prune(cols: Sequence[str], pairs: dict, threshold: float = 0.85, stri
     once ``a`` is dropped the inner loop still compares against it (so a
     dropped column can drop others); ``strict=True`` skips dropped ones.
     """
-    cent = centrality(cols, pairs)
-    dropped: list[str] = []
-    for i, a in enumerate(cols):
-        if a in dropped:
-            continue
-        for b in cols[i + 1:]:
-            if b in dropped or (strict and a in dropped):
-                continue
-            r = pairs.get((a, b))
-            if r is None or abs(r) <= threshold:
-                continue
-            ca, cb = cent[a], cent[b]
-            drop = b if (ca is not None and cb is not None and ca >= cb) else a
-            if drop not in dropped:
-                dropped.append(drop)
-    return dropped
+    k = len(cols)
+    r = matrix(cols, pairs)
+    with np.errstate(invalid="ignore"):
+        over = np.triu(np.abs(r) > threshold, 1)  # undefined pairs compare false
+    score = np.array([np.nan if c is None else c for c in centrality(cols, pairs).values()]) if k else np.zeros(0)
+    wins = score[:, None] >= score[None, :]
+    alive, order = np.ones(k, bool), []
+    for i in range(k):
+        rivals = np.flatnonzero(over[i] & alive) if alive[i] else np.zeros(0, int)
+        beaten = rivals[~wins[i, rivals]][:1]  # the first rival that drops this column
+        if strict and len(beaten):
+            rivals = rivals[rivals <= beaten[0]]
+        lost = [(int(b), int(b)) for b in rivals[wins[i, rivals]]] + [(int(b), i) for b in beaten]
+        order += [c for _, c in sorted(lost)]
+        alive[[c for _, c in lost]] = False
+    return [cols[c] for c in order]
 
 
 def corr_prune(df: DataFrame, cols: Sequence[str], threshold: float = 0.85, forced: Sequence[str] = (),
@@ -215,26 +177,26 @@ def corr_prune(df: DataFrame, cols: Sequence[str], threshold: float = 0.85, forc
 
 
 def vif_prune(df: DataFrame, cols: Sequence[str], threshold: float = 10.0) -> list[str]:
-    """Iteratively drop the column with the largest VIF above ``threshold``.
-
-    The correlation matrix is computed once in Spark; each step inverts the
-    remaining k x k sub-matrix on the driver (pseudo-inverse if singular).
-    VIF_i = [R^-1]_ii. Exact when the columns have no nulls.
+    """Drop the column with the largest VIF while one is above ``threshold``.
+
+    VIF_i = [R^-1]_ii of the correlation matrix, which is computed once in
+    Spark. Columns inside an exact linear dependence (eigenvalue below
+    ``TOLERANCE``) have no finite VIF and go first, the one with the largest
+    part in the dependences at a time. The rest is inverted once; leaving a
+    column out is a rank-one downdate of the inverse. Exact when the columns
+    have no nulls.
     """
-    cols = list(cols)
-    if len(cols) < 2:
-        return cols
-    m = matrix(cols, pair_correlations(df, cols))
-    keep = [i for i in range(len(cols)) if not np.isnan(m[i, i])]
-    while len(keep) >= 2:
-        sub = np.nan_to_num(m[np.ix_(keep, keep)], nan=0.0)
-        try:
-            inv = np.linalg.inv(sub)
-        except np.linalg.LinAlgError:
-            inv = np.linalg.pinv(sub)
-        vif = np.diag(inv)
-        worst = int(np.argmax(vif))
-        if vif[worst] <= threshold:
-            break
-        keep.pop(worst)
-    return [cols[i] for i in keep]
+    m = matrix(list(cols), pair_correlations(df, list(cols))) if len(cols) > 1 else np.eye(len(cols))
+    left = np.array([i for i in range(len(cols)) if not np.isnan(m[i, i])], int)
+    r = np.nan_to_num(m[np.ix_(left, left)], nan=0.0)
+    values, vectors = np.linalg.eigh(r)
+    while len(left) > 1 and values[0] < TOLERANCE:
+        out = int(np.argmax((vectors[:, values < TOLERANCE] ** 2).sum(axis=1)))
+        left, r = np.delete(left, out), np.delete(np.delete(r, out, 0), out, 1)
+        values, vectors = np.linalg.eigh(r)
+    inverse = (vectors / values) @ vectors.T
+    while len(left) > 1 and inverse.diagonal().max() > threshold:
+        out = int(np.argmax(inverse.diagonal()))
+        rest = inverse - np.outer(inverse[:, out], inverse[out]) / inverse[out, out]
+        left, inverse = np.delete(left, out), np.delete(np.delete(rest, out, 0), out, 1)
+    return [cols[i] for i in left]

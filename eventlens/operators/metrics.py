@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import ROWS_PER_BLOCK, running_totals
+from .prefix import running_totals
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -67,15 +67,14 @@ def threshold_confusion(df: DataFrame, y: str, score: str, thresholds: Sequence[
     return wide.select(*group_cols, F.explode(arr).alias("c")).select(*group_cols, "c.*")
 
 
-def cum_confusion(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
-                  rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def cum_confusion(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct score (descending): tp, fp at that score and
     cumulative ctp, cfp of all scores >= it, plus group totals P, N."""
     yc = F.col(y).cast("bigint")
     g = df.where(F.col(score).isNotNull()).groupBy(*group_cols, F.col(score).alias("score")).agg(
         F.sum(yc).alias("tp"), F.sum(1 - yc).alias("fp"))
     cum = running_totals(g, [F.col("score").desc()], ["tp", "fp"], group_cols, inclusive=True,
-                         count_name="_k", prefix="c", rows_per_block=rows_per_block)
+                         count_name="_k", prefix="c")
     tot = g.groupBy(*group_cols).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     out = _attach_totals(cum, tot, group_cols)
     return out.select(*group_cols, "score", "tp", "fp", F.col("ctp"), F.col("cfp"), "P", "N")

@@ -16,13 +16,12 @@ not end up in a single task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import ROWS_PER_BLOCK, running_totals
+from .prefix import running_totals
 
 
 def global_rate(df: DataFrame, target: str) -> float:
@@ -40,17 +39,11 @@ def prior_experience(
     prefix: str,
     base_rate: float | None = None,
     first_flag: bool = True,
-    rows_per_block: int = ROWS_PER_BLOCK,
     blocks: int | None = None,
 ) -> DataFrame:
     ties = [tie] if isinstance(tie, str) else list(tie)
-    if base_rate is None or blocks is None:
-        # one scalar aggregate gives both the base rate and the block count
-        st = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(target).cast("double")).alias("m")).first()
-        if base_rate is None:
-            base_rate = float(st["m"]) if st["m"] is not None else 0.0
-        if blocks is None:
-            blocks = max(1, math.ceil(st["n"] / max(1, rows_per_block)))
+    if base_rate is None:
+        base_rate = global_rate(df, target)
     n_col, s_col = f"{prefix}_prior_launches", f"{prefix}_prior_successes"
     tmp_y = f"_el_y_{prefix}"
     staged = df.withColumn(tmp_y, F.coalesce(F.col(target).cast("bigint"), F.lit(0)))
@@ -61,7 +54,6 @@ def prior_experience(
         [entity],
         count_name=n_col,
         prefix="_el_prior_",
-        rows_per_block=rows_per_block,
         blocks=blocks,
     )
     has_key = F.col(entity).isNotNull()

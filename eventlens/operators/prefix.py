@@ -17,13 +17,13 @@ one entity holds a third of the rows, that task holds a third of the data.
 4. join the offsets back on (entity, block) and finish with a local window
    ``PARTITION BY entity, block`` whose groups are at most one block.
 
-With fewer rows than ``rows_per_block`` the plain window is used (a single
-group is then bounded by ``rows_per_block``).
+The plan is the same at every size. There are as many blocks as
+``spark.sql.shuffle.partitions``, the setting that follows the size of the
+data, so no pass counts rows first.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,9 +31,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Rows per block of the two-level prefix sum. A block is the largest unit
-#: one task sorts and scans in a window.
-ROWS_PER_BLOCK = 2_000_000
 _BLK = "_el_blk"
 
 
@@ -41,9 +38,8 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def n_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> int:
-    n = df.count()
-    return max(1, math.ceil(n / max(1, rows_per_block)))
+def n_blocks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def running_totals(
@@ -54,7 +50,6 @@ def running_totals(
     inclusive: bool = False,
     count_name: str = "prior_n",
     prefix: str = "prior_",
-    rows_per_block: int = ROWS_PER_BLOCK,
     blocks: int | None = None,
 ) -> DataFrame:
     """Add the count of earlier rows and the sums of ``values`` over them.
@@ -67,8 +62,7 @@ def running_totals(
     order = [_col(o) for o in order]
     part = list(partition_by)
     end = Window.currentRow if inclusive else -1
-    if blocks is None:
-        blocks = n_blocks(df, rows_per_block)
+    blocks = blocks or n_blocks(df)
 
     def local(frame_df: DataFrame, keys: list, offsets: dict[str, Column]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
@@ -78,9 +72,6 @@ def running_totals(
             cols[prefix + v] = s + offsets.get(prefix + v, F.lit(0))
         return frame_df.withColumns(cols)
 
-    if blocks <= 1:
-        return local(df, part, {})
-
     tagged = materialize(
         df.repartitionByRange(blocks, *order).withColumn(_BLK, F.spark_partition_id()), "blocks"
     )
@@ -108,16 +99,15 @@ def running_totals(
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank",
-                partition_by: Sequence[str] = (), rows_per_block: int = ROWS_PER_BLOCK,
-                blocks: int | None = None) -> DataFrame:
+                partition_by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
     """0-based row number in ``order`` (a total order), without a one-task window."""
     out = running_totals(df, order, (), partition_by, inclusive=False, count_name=name,
-                         rows_per_block=rows_per_block, blocks=blocks)
+                         blocks=blocks)
     return out
 
 
 def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                   blocks: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) as a
     lazy DataFrame ``(name, qi, q, value)``; ``qi`` indexes ``probs``.
 
@@ -126,18 +116,15 @@ def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     :func:`running_totals`, and each row is matched against the target
     positions ``floor/ceil(q * (n - 1))`` of its column - a broadcast table
     of ``len(cols) * len(probs)`` rows. Only the <= 2 rows around each
-    target survive; the interpolation runs in Spark. The single eager step
-    is a row count that sizes the prefix-sum blocks (an upper bound on the
-    distinct values).
+    target survive; the interpolation runs in Spark.
     """
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]))
         .alias("kv")
     ).select("kv.name", "kv.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    blocks = max(1, math.ceil(df.count() * len(cols) / max(1, rows_per_block)))
     cum = running_totals(vc, [F.col("v").asc()], ["c"], ["name"], count_name="_k",
-                         rows_per_block=rows_per_block, blocks=blocks)
+                         blocks=blocks)
     pos = F.col("_q") * (F.col("_n") - 1)
     targets = vc.groupBy(F.col("name").alias("_name")).agg(F.sum("c").alias("_n")).select(
         "_name", "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("_q"))
@@ -156,12 +143,12 @@ def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    rows_per_block: int = ROWS_PER_BLOCK) -> dict[str, list[float | None]]:
+                    blocks: int | None = None) -> dict[str, list[float | None]]:
     """:func:`quantile_frame` collected: ``{column: [value per prob]}``
     (``None`` for a column without values); at most len(cols) * len(probs)
     numbers reach the driver."""
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for r in quantile_frame(df, cols, probs, rows_per_block).collect():
+    for r in quantile_frame(df, cols, probs, blocks).collect():
         out[r["name"]][r["qi"]] = r["value"]
     return out
 

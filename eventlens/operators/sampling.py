@@ -16,20 +16,14 @@ def temporal_split(df: DataFrame, year_col: str, cut: int = 2010) -> tuple[DataF
     return df.where(y < cut), df.where(y >= cut)
 
 
-def _blocks(n: int) -> int:
-    from .prefix import ROWS_PER_BLOCK
-    return max(1, math.ceil(n / ROWS_PER_BLOCK))
-
-
-def uniform_rank(df: DataFrame, id_col: str, seed: int, uniform=None, name: str = "_rank",
-                 blocks: int | None = None) -> DataFrame:
+def uniform_rank(df: DataFrame, id_col: str, seed: int, uniform=None, name: str = "_rank") -> DataFrame:
     """0-based rank of a seeded per-row uniform (ties by id) - a random
-    order that is the same on every run and every engine (LCG default)."""
-    from ..functions.rng import lcg_uniform2
+    order that is the same on every run and every engine ."""
+    from ..functions.rng import uniform as seeded_uniform
     from .prefix import global_rank
-    uniform = uniform or (lambda c, s: lcg_uniform2(c, s))
+    uniform = uniform or seeded_uniform
     return global_rank(df.withColumn("_u", uniform(F.col(id_col), seed)), [F.col("_u"), F.col(id_col)],
-                       name, blocks=blocks).drop("_u")
+                       name).drop("_u")
 
 
 def undersample(df: DataFrame, y: str, id_col: str, seed: int = 42, ratio: float = 1.0, uniform=None) -> DataFrame:
@@ -41,8 +35,7 @@ def undersample(df: DataFrame, y: str, id_col: str, seed: int = 42, ratio: float
         return df
     minority = min(counts, key=lambda c: (counts[c], c))
     keep = int(math.floor(ratio * counts[minority]))
-    n_maj = sum(v for c, v in counts.items() if c != minority)
-    maj = uniform_rank(df.where(F.col(y) != minority), id_col, seed, uniform, blocks=_blocks(n_maj))
+    maj = uniform_rank(df.where(F.col(y) != minority), id_col, seed, uniform)
     return df.where(F.col(y) == minority).unionByName(maj.where(F.col("_rank") < keep).drop("_rank"))
 
 
@@ -53,9 +46,8 @@ def permute_column(df: DataFrame, col: str, id_col: str, seed: int = 42, name: s
     A bijection, computed with two distributed ranks and one equi-join."""
     from .prefix import global_rank
     name = name or col
-    blocks = _blocks(df.count())  # one count sizes both ranks
-    by_id = global_rank(df, [F.col(id_col)], "_ri", blocks=blocks)
-    shuffled = uniform_rank(df.select(id_col), id_col, seed, uniform, "_h", blocks=blocks)
+    by_id = global_rank(df, [F.col(id_col)], "_ri")
+    shuffled = uniform_rank(df.select(id_col), id_col, seed, uniform, "_h")
     donors = by_id.select(F.col("_ri").alias("_dr"), F.col(col).alias("_dv"))
     out = by_id.drop(col).join(shuffled, id_col).join(donors, F.col("_h") == F.col("_dr"))
     return out.drop("_ri", "_h", "_dr").withColumnRenamed("_dv", name)
@@ -69,18 +61,18 @@ def smote(minority: DataFrame, id_col: str, vec_col: str, n_new: int, k: int = 5
 
     Sample s picks base index floor(u1 * n_min) (rows ranked by id),
     neighbour rank floor(u2 * k) + 1 and gap u3, with seeded per-sample
-    uniforms (LCG by default, so a SQL engine can repeat the draw).
+    uniforms that any SQL engine can repeat.
     Returns (sample_id, base_id, nn_id, gap, <vec_col>).
     """
-    from ..functions.rng import lcg_uniform2
+    from ..functions.rng import uniform as seeded_uniform
     from .knn import knn_join
     from .prefix import global_rank
-    uniform = uniform or (lambda c, s: lcg_uniform2(c, s))
+    uniform = uniform or seeded_uniform
     spark = minority.sparkSession
-    n_min = minority.count()  # one count sizes the rank and both kNN sides
+    n_min = minority.count()  # one count sizes both kNN sides
     if n_new <= 0 or n_min < 2:
         return spark.createDataFrame([], f"sample_id long, base_id long, nn_id long, gap double, {vec_col} array<double>")
-    ranked = global_rank(minority.select(id_col, vec_col), [F.col(id_col)], "_i", blocks=_blocks(n_min))
+    ranked = global_rank(minority.select(id_col, vec_col), [F.col(id_col)], "_i")
     nn = knn if knn is not None else knn_join(minority, minority, id_col, vec_col, k, sizes=(n_min, n_min))
     kk = min(k, n_min - 1)
     s = spark.range(n_new).withColumnRenamed("id", "sample_id")

@@ -14,10 +14,10 @@ from ...sources.tables import table
 from ..registry import query, rounded
 from .common import Y_SQL, lines, orders_y
 
-# Experience bin edges (right-closed) of the two summaries.
-ROCKET_EDGES = [-1, 0, 4, 9, 24, 999]
+# Experience bin edges (right-closed) of the two summaries; the last bin has no end.
+ROCKET_EDGES = [-1, 0, 4, 9, 24, float("inf")]
 ROCKET_LABELS = ["1st", "2-5", "6-10", "11-25", "25+"]
-ORG_EDGES = [-1, 0, 9, 24, 49, 99, 9999]
+ORG_EDGES = [-1, 0, 9, 24, 49, 99, float("inf")]
 ORG_LABELS = ["1st", "2-10", "11-25", "26-50", "51-100", "100+"]
 
 ROLLUP = {"total_qty": "l_quantity", "total_price": "l_extendedprice"}
@@ -34,13 +34,17 @@ def customer_experience(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return prior_experience(order_facts(spark, sf), "o_custkey", "o_orderdate", "o_orderkey", "y", "cust", **kw)
 
 
+def _upto(col: str, edge) -> str:
+    return "" if edge == float("inf") else f" AND {col} <= {edge}"
+
+
 def _case_bins(col: str, edges, labels) -> str:
-    parts = [f"WHEN {col} > {edges[i]} AND {col} <= {edges[i+1]} THEN '{labels[i]}'" for i in range(len(labels))]
+    parts = [f"WHEN {col} > {edges[i]}{_upto(col, edges[i + 1])} THEN '{labels[i]}'" for i in range(len(labels))]
     return "CASE " + " ".join(parts) + " END"
 
 
 def _case_order(col: str, edges) -> str:
-    parts = [f"WHEN {col} > {edges[i]} AND {col} <= {edges[i+1]} THEN {i}" for i in range(len(edges) - 1)]
+    parts = [f"WHEN {col} > {edges[i]}{_upto(col, edges[i + 1])} THEN {i}" for i in range(len(edges) - 1)]
     return "CAST(CASE " + " ".join(parts) + " END AS INTEGER)"
 
 
@@ -183,7 +187,7 @@ WITH f AS ({entity_sql_from}),
   p AS (SELECT *, {_prior_sql(entity)} FROM f)
 SELECT {_case_bins('n', edges, labels)} AS bin, {_case_order('n', edges)} AS bin_order,
        round(avg(y), 6) AS success_rate, count(*) AS n
-FROM p WHERE n > {edges[0]} AND n <= {edges[-1]} AND {entity} IS NOT NULL GROUP BY ALL"""
+FROM p WHERE n > {edges[0]}{_upto("n", edges[-1])} AND {entity} IS NOT NULL GROUP BY ALL"""
 
 
 @query("rate_by_bins", _bins_sql(f"SELECT *, {Y_SQL} AS y FROM orders", "o_custkey", ROCKET_EDGES, ROCKET_LABELS))
@@ -208,25 +212,25 @@ def q_learning_curve(spark, sf):
 @query("left_join_renamed_key", """
 SELECT o.o_orderkey, o.o_custkey, c.c_custkey AS c_custkey_cu, c.c_mktsegment AS c_mktsegment_cu,
        round(c.c_acctbal, 6) AS c_acctbal_cu
-FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'HOUSEHOLD') c ON o.o_custkey = c.c_custkey""")
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders) o
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
 def q_left_join_renamed_key(spark, sf):
-    """Fact left-join a filtered dimension (non-household customers) whose
-    columns get a suffix; orders of household customers find no match."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, sf, "customer").where(F.col("c_mktsegment") != "HOUSEHOLD").select("c_custkey", "c_mktsegment",
-                                                                                "c_acctbal")
+    """Fact left-join a dimension whose columns get a suffix; orders with a
+    null key find no match."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     return rounded(left_join(o, c, "o_custkey", "c_custkey", suffix="_cu"))
 
 
 @query("snowflake_join", """
 SELECT c.c_custkey, n.n_name AS n_name_na, n.n_regionkey AS n_regionkey_na, r.r_name AS r_name_re
-FROM customer c
-LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) n ON c.c_nationkey = n.n_nationkey
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer) c
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def q_snowflake_join(spark, sf):
     """customer -> nation -> region; the second key comes from the first join."""
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf, "nation").where(F.col("n_nationkey") != 3)
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey"))
+    n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
     j = left_join(c, n, "c_nationkey", "n_nationkey", suffix="_na", bounded=True)  # nation: 25 rows
     j = left_join(j, r, "n_regionkey_na", "r_regionkey", suffix="_re", bounded=True)  # region: 5 rows

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
-from ...functions.rng import lcg2_sql
+from ...functions.rng import uniform_sql
 from ...operators.corr import vif_prune
 from ...operators.prepare import fit_prepare
 from ...operators.schema_ops import classes_dict, classify_columns
@@ -177,7 +177,7 @@ _PROBE_SRC = f"""(SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalpric
    CAST(month(o_orderdate) AS DOUBLE) AS month, CAST(o_orderstatus = 'F' AS INTEGER) AS y,
    CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS is_urgent FROM orders)"""
 
-_REPEATS = 5
+_REPEATS = 30
 
 
 def _f1_sql(pred, y="y"):
@@ -188,15 +188,15 @@ def _f1_sql(pred, y="y"):
 
 
 _PERM_SQL = f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS ri FROM {_PROBE_SRC}),
-  reps AS (SELECT unnest(range({_REPEATS})) AS rep),
-  h AS (SELECT b.o_orderkey, reps.rep,
-               row_number() OVER (PARTITION BY reps.rep ORDER BY {lcg2_sql('b.o_orderkey', '42 + reps.rep')}, b.o_orderkey) - 1 AS hr
+  reps AS (SELECT rep, j FROM range({_REPEATS}) r(rep), range(3) f(j)),
+  h AS (SELECT b.o_orderkey, reps.rep, reps.j,
+               row_number() OVER (PARTITION BY reps.rep, reps.j ORDER BY {uniform_sql('b.o_orderkey', 'reps.rep + reps.j * 1000003 + 42')}, b.o_orderkey) - 1 AS hr
         FROM b, reps),
-  p AS (SELECT h.rep, b.*, d.o_totalprice AS d_price, d.o_custkey AS d_cust, d.month AS d_month
+  p AS (SELECT h.rep, h.j, b.*, CASE WHEN h.j = 0 THEN d.o_totalprice ELSE b.o_totalprice END AS n_price,
+               CASE WHEN h.j = 1 THEN d.o_custkey ELSE b.o_custkey END AS n_cust, CASE WHEN h.j = 2 THEN d.month ELSE b.month END AS n_month
         FROM h JOIN b ON h.o_orderkey = b.o_orderkey JOIN b d ON d.ri = h.hr),
-  ev AS (SELECT rep, 'o_totalprice' AS feature, y, {_z_sql(names=('d_price', 'o_custkey', 'month'))} AS p FROM p
-         UNION ALL SELECT rep, 'o_custkey', y, {_z_sql(names=('o_totalprice', 'd_cust', 'month'))} FROM p
-         UNION ALL SELECT rep, 'month', y, {_z_sql(names=('o_totalprice', 'o_custkey', 'd_month'))} FROM p),
+  ev AS (SELECT rep, CASE j WHEN 0 THEN 'o_totalprice' WHEN 1 THEN 'o_custkey' ELSE 'month' END AS feature, y,
+                {_z_sql(names=('n_price', 'n_cust', 'n_month'))} AS p FROM p),
   base AS (SELECT {_f1_sql(f'{_z_sql()} >= 0.5')} AS f1 FROM {_PROBE_SRC}),
   m AS (SELECT feature, rep, {_f1_sql('p >= 0.5')} AS f1 FROM ev GROUP BY feature, rep),
   dr AS (SELECT feature, rep, (SELECT f1 FROM base) - f1 AS d FROM m),
@@ -208,7 +208,7 @@ SELECT feature, round(mean_drop, 4) AS mean_drop, round(std_drop, 4) AS std_drop
 
 @query("perm_importance", _PERM_SQL)
 def q_perm_importance(spark, sf):
-    """F1 drop per permuted feature, 5 repeats, CI with 1/sqrt(n)."""
+    """F1 drop per permuted feature, 30 repeats, CI with 1/sqrt(n)."""
     scorer = X.LinearLogistic(PROBE, PROBE_INTERCEPT)
     return X.permutation_importance(scorer, _probe_frame(spark, sf), _PF, Y, ID, repeats=_REPEATS, metric="f1",
                                     threshold=0.5, seed=42)
@@ -269,7 +269,7 @@ def q_explain_models(spark, sf):
 
 # --- sweeps ------------------------------------------------------------------------
 
-_SMALL = {"cut_year": CUT, "apply_smote": False, "rf_n_estimators": 20, "rf_max_depth": 6, "xgb_n_estimators": 10,
+_SMALL = {"cut_year": CUT, "rf_n_estimators": 20, "rf_max_depth": 6, "xgb_n_estimators": 10,
           "xgb_max_depth": 3, "ada_n_estimators": 4, "rus_n_estimators": 3, "logit_C": 1.0}
 
 

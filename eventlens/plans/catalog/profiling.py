@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.columns import flag
-from ...functions.rng import lcg_sql, lcg_uniform
+from ...functions.rng import uniform, uniform_sql
 from ...operators import aggs as A
 from ...operators import corr as CR
 from ...operators import profile as PR
@@ -185,14 +185,14 @@ def _corr_frame(spark, sf):
     return li.select(
         nul("l_orderkey", "l_quantity", 7).alias("l_quantity"), "l_extendedprice",
         nul("l_linenumber", "l_discount", 3).alias("l_discount"), "l_tax",
-        (F.col("l_quantity") + lcg_uniform(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 5) * 4).alias("qty_noisy"),
+        (F.col("l_quantity") + uniform(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 5) * 4).alias("qty_noisy"),
         (F.col("l_extendedprice") / 1000).alias("price_k"), (1 - F.col("l_discount")).alias("inv_disc"),
         F.lit(1.0).alias("const"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
 
 
 _CORR_SRC = f"""(SELECT {nul_sql('l_orderkey', 'l_quantity', 7)} AS l_quantity, l_extendedprice,
     {nul_sql('l_linenumber', 'l_discount', 3)} AS l_discount, l_tax,
-    l_quantity + {lcg_sql('l_orderkey * 8 + l_linenumber', 5)} * 4 AS qty_noisy,
+    l_quantity + {uniform_sql('l_orderkey * 8 + l_linenumber', 5)} * 4 AS qty_noisy,
     l_extendedprice / 1000 AS price_k, 1 - l_discount AS inv_disc, 1.0 AS const,
     CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
 

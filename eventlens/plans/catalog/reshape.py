@@ -170,13 +170,13 @@ def q_sensitivity_axis(spark, sf):
 
 
 @query("typed_config", f"""{_F1_BY_T_SQL}
-SELECT model, 'sweep' AS run_id, CAST(threshold AS DOUBLE) AS threshold, round(f1, 6) AS f1
+SELECT model, CAST(0 AS BIGINT) AS run, CAST(threshold AS DOUBLE) AS threshold, round(f1, 6) AS f1
 FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold) AS rn FROM r) WHERE rn = 1""")
 def q_typed_config(spark, sf):
     """Best result row per scorer (F1; ties -> lowest threshold) turned into a
     typed configuration struct, then read back field by field."""
     res = M.metrics_table(scored(spark, sf), "y", "score", [0.3, 0.5, 0.7], ["model"]).withColumn(
-        "run_id", F.lit("sweep"))
-    best = SW.best_configs(res).select("model", "run_id", "threshold", "f1")
-    cfg = SW.typed_config(best, "run_id string, threshold double, f1 double")
-    return rounded(cfg.select("model", "config.run_id", "config.threshold", "config.f1"))
+        "run", F.lit(0).cast("bigint"))
+    best = SW.best_configs(res).select("model", "run", "threshold", "f1")
+    cfg = SW.typed_config(best, "run bigint, threshold double, f1 double")
+    return rounded(cfg.select("model", "config.run", "config.threshold", "config.f1"))

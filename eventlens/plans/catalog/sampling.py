@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions.rng import lcg2_sql
+from ...functions.rng import uniform_sql
 from ...operators import sampling as S
 from ...operators.knn import knn_join
 from ...sources.tables import table
@@ -37,8 +37,8 @@ def _smote_n_sql(ratio=0.3):
 @query("smote", f"""WITH {_DIST_SQL},
   mn AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n FROM {_EMB_MIN_SQL}),
   s AS (SELECT unnest(range(cnt)) AS sample_id FROM (SELECT {_smote_n_sql()} AS cnt)),
-  draw AS (SELECT sample_id, CAST(floor({lcg2_sql('sample_id', 42)} * (SELECT max(n) FROM mn)) AS BIGINT) AS idx,
-                  CAST(floor({lcg2_sql('sample_id', 43)} * 5) + 1 AS INTEGER) AS rank, {lcg2_sql('sample_id', 44)} AS gap FROM s),
+  draw AS (SELECT sample_id, CAST(floor({uniform_sql('sample_id', 42)} * (SELECT max(n) FROM mn)) AS BIGINT) AS idx,
+                  CAST(floor({uniform_sql('sample_id', 43)} * 5) + 1 AS INTEGER) AS rank, {uniform_sql('sample_id', 44)} AS gap FROM s),
   j AS (SELECT draw.*, mn.vec_id AS base_id, nn.nn_id FROM draw JOIN mn USING (idx) JOIN nn ON nn.vec_id = mn.vec_id AND nn.rank = draw.rank),
   v AS (SELECT j.sample_id, j.base_id, j.nn_id, j.gap, x.i,
                x.v + j.gap * (z.v - x.v) AS nv
@@ -60,7 +60,7 @@ def q_smote(spark, sf):
 
 @query("undersample", f"""WITH o AS (SELECT o_orderkey, {Y_SQL} AS y FROM orders),
   c AS (SELECT count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM o),
-  maj AS (SELECT o_orderkey, y, row_number() OVER (ORDER BY {lcg2_sql('o_orderkey', 42)}, o_orderkey) - 1 AS r
+  maj AS (SELECT o_orderkey, y, row_number() OVER (ORDER BY {uniform_sql('o_orderkey', 42)}, o_orderkey) - 1 AS r
           FROM o WHERE y = CASE WHEN (SELECT n1 FROM c) <= (SELECT n0 FROM c) THEN 0 ELSE 1 END)
 SELECT o_orderkey, y FROM o WHERE y = CASE WHEN (SELECT n1 FROM c) <= (SELECT n0 FROM c) THEN 1 ELSE 0 END
 UNION ALL SELECT o_orderkey, y FROM maj WHERE r < (SELECT least(n1, n0) FROM c)""")
@@ -70,21 +70,21 @@ def q_undersample(spark, sf):
 
 
 @query("permute_column", f"""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS ri,
-                  row_number() OVER (ORDER BY {lcg2_sql('o_orderkey', 42)}, o_orderkey) - 1 AS h FROM orders)
+                  row_number() OVER (ORDER BY {uniform_sql('o_orderkey', 42)}, o_orderkey) - 1 AS h FROM orders)
 SELECT a.o_orderkey, round(b.o_totalprice, 6) AS o_totalprice FROM o a JOIN o b ON a.h = b.ri""")
 def q_permute_column(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return rounded(S.permute_column(o, "o_totalprice", "o_orderkey", seed=42).select("o_orderkey", "o_totalprice"))
 
 
-@query("background_sample", f"""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY {lcg2_sql('o_orderkey', 42)}, o_orderkey) - 1
+@query("background_sample", f"""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY {uniform_sql('o_orderkey', 42)}, o_orderkey) - 1
   AS INTEGER) AS bg_idx FROM orders QUALIFY bg_idx < 500""")
 def q_background_sample(spark, sf):
     """The 500-row background for Shapley values (the limit is the operator)."""
     from ..explain import background_sample
-    from ...functions.rng import lcg_uniform2
+    from ...functions.rng import uniform
     o = table(spark, sf, "orders").select("o_orderkey")
-    return background_sample(o, "o_orderkey", 500, 42, uniform=lambda c, s: lcg_uniform2(c, s)).select(
+    return background_sample(o, "o_orderkey", 500, 42, uniform=uniform).select(
         "o_orderkey", "bg_idx")
 
 
@@ -106,11 +106,11 @@ def q_baseline_majority(spark, sf):
 
 
 @query("baseline_prior", f"""WITH tr AS (SELECT avg(quality) AS p FROM labels WHERE doc_id % 2 = 0)
-SELECT doc_id, round(p, 6) AS p, CAST({lcg2_sql('doc_id', 42)} < p AS INTEGER) AS native_pred
+SELECT doc_id, round(p, 6) AS p, CAST({uniform_sql('doc_id', 42)} < p AS INTEGER) AS native_pred
 FROM labels, tr WHERE doc_id % 2 = 1""")
 def q_baseline_prior(spark, sf):
-    from ...functions.rng import lcg_uniform2
+    from ...functions.rng import uniform
     lab = table(spark, sf, "labels")
     m = fit_prior(lab.where("doc_id % 2 = 0"), "quality", id_col="doc_id", seed=42)
-    m.uniform = lambda c, s: lcg_uniform2(c, s)
+    m.uniform = uniform
     return rounded(m.score(lab.where("doc_id % 2 = 1").select("doc_id")))

@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
-from ..functions.rng import hash_uniform, lcg_uniform2
+from ..functions.rng import hash_uniform, uniform as seeded_uniform
 from ..operators.metrics import cells_to_metrics, cum_confusion, auc_ap
-from ..operators.prefix import ROWS_PER_BLOCK, global_rank
+from ..operators.prefix import global_rank
 from ..operators.reshape import importance_pivot
 
 
@@ -66,28 +66,33 @@ def permuted_frame(df: DataFrame, features: Sequence[str], id_col: str, repeats:
     """Rows x (feature, repeat): all columns as in ``df`` except ``feature``,
     which holds the value of the row at the permuted position.
 
-    Row rank r(i) is the rank by id; the permutation for repeat k sends row
-    i to position h_k(i) = rank of ``uniform(id, seed + k)`` among repeat
-    k's rows; row i takes the feature values of the row with r = h_k(i).
-    All repeats are ranked in one skew-safe pass partitioned by repeat.
-    ``uniform(id_column, seed_column)`` must accept a column seed.
+    Row rank r(i) is the rank by id; the permutation for feature j and
+    repeat k sends row i to position h(i) = rank of ``uniform(id, seed of
+    (j, k))`` among all rows; row i takes the feature's value from the row
+    with r = h(i). All permutations are ranked in one skew-safe pass
+    partitioned by feature and repeat. ``uniform(id_column, seed_column)``
+    must accept a column seed.
     """
-    uniform = uniform or (lambda c, s: lcg_uniform2(c, s))
-    n = df.count()
-    ranked = global_rank(df, [F.col(id_col)], "_r", blocks=max(1, math.ceil(n / ROWS_PER_BLOCK)))
-    donors = ranked.select(F.col("_r").alias("_dr"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    reps = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    reps = reps.withColumn("_u", uniform(F.col(id_col), F.col("repeat") + F.lit(int(seed))))
-    hs = global_rank(reps, [F.col("_u"), F.col(id_col)], "_h", partition_by=["repeat"],
-                     blocks=max(1, math.ceil(n * repeats / ROWS_PER_BLOCK))).select(id_col, "_h", "repeat")
-    joined = df.join(hs, id_col).join(donors, F.col("_h") == F.col("_dr"))
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_d_{f}").cast("double").alias("v"))
-                    for f in features])
-    exploded = joined.select(*df.columns, "repeat", F.explode(arr).alias("_fv"))
-    return exploded.select(
-        *[F.when(F.col("_fv.feature") == f, F.col("_fv.v")).otherwise(F.col(f).cast("double")).alias(f)
-          if f in features else F.col(f) for f in df.columns],
-        "repeat", F.col("_fv.feature").alias("feature"))
+    uniform = uniform or seeded_uniform
+    ranked = global_rank(df, [F.col(id_col)], "_r")
+    donors = ranked.select(F.col("_r").alias("_dr"), F.array(*[F.col(f).cast("double") for f in features]).alias("_dv"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_j")
+    reps = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select("*", each)
+    reps = reps.withColumn("_u", uniform(F.col(id_col), permutation_seed(F.col("_j"), F.col("repeat"), seed)))
+    hs = global_rank(reps, [F.col("_u"), F.col(id_col)], "_h", partition_by=["_j", "repeat"]).select(id_col, "_h", "repeat", "_j")
+    moved = hs.join(donors, F.col("_h") == F.col("_dr")).select(
+        id_col, "repeat", "_j", F.element_at("_dv", F.col("_j") + 1).alias("_v"))
+    joined = df.join(moved, id_col)
+    place = {f: j for j, f in enumerate(features)}
+    return joined.select(
+        *[F.when(F.col("_j") == place[f], F.col("_v")).otherwise(F.col(f).cast("double")).alias(f)
+          if f in place else F.col(f) for f in df.columns],
+        "repeat", F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_j") + 1).alias("feature"))
+
+
+def permutation_seed(feature_index, repeat, seed: int):
+    """The seed of one permutation (columns or SQL numbers)."""
+    return repeat + feature_index * 1_000_003 + seed
 
 
 def _metric(scored: DataFrame, y: str, metric: str, threshold: float, group_cols: Sequence[str]) -> DataFrame:

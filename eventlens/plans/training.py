@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
-from ..functions.rng import hash_uniform, lcg_uniform
-from ..operators.prefix import ROWS_PER_BLOCK, global_rank
+from ..functions.rng import hash_uniform, uniform as seeded_uniform
+from ..operators.prefix import global_rank
 from ..session import materialize
 
 FEATURES = "features"
@@ -124,12 +124,18 @@ def _pipeline(features: Sequence[str], est, pre=()) -> Pipeline:
                                                  handleInvalid="keep"), est])
 
 
+def _check_depth(depth: int | None) -> None:
+    if depth is not None and depth > 30:
+        raise ValueError(f"depth {depth}: the trees of this learner have at most 30 levels; None grows them fully")
+
+
 def fit_random_forest(train: DataFrame, features: Sequence[str], y: str, n_trees: int = 300,
                       max_depth: int | None = None, min_leaf: int = 2, balanced: bool = True, seed: int = 42):
     """``max_depth=None`` (grow fully) maps to MLlib's maximum, 30."""
+    _check_depth(max_depth)
     df = balanced_weight(train, y) if balanced else train
     est = RandomForestClassifier(featuresCol=FEATURES, labelCol=y, numTrees=n_trees,
-                                 maxDepth=30 if max_depth is None else min(int(max_depth), 30),
+                                 maxDepth=30 if max_depth is None else int(max_depth),
                                  minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
                                  **({"weightCol": "w"} if balanced else {}))
     return MLlibScorer("RandomForest", _pipeline(features, est).fit(df))
@@ -140,19 +146,20 @@ def fit_gbt(train: DataFrame, features: Sequence[str], y: str, n_estimators: int
             scale_pos_weight: float | None = None, seed: int = 42):
     """Gradient-boosted trees; ``scale_pos_weight`` weights the positive
     class (default 1)."""
+    _check_depth(max_depth)
     df = train
     wkw = {}
     if scale_pos_weight is not None:
         df = df.withColumn("w", F.when(F.col(y) == 1, F.lit(float(scale_pos_weight))).otherwise(F.lit(1.0)))
         wkw = {"weightCol": "w"}
-    est = GBTClassifier(featuresCol=FEATURES, labelCol=y, maxIter=n_estimators, maxDepth=min(max_depth, 30),
+    est = GBTClassifier(featuresCol=FEATURES, labelCol=y, maxIter=n_estimators, maxDepth=max_depth,
                         stepSize=learning_rate, subsamplingRate=subsample,
                         featureSubsetStrategy=str(colsample) if colsample < 1 else "all", seed=seed, **wkw)
     return MLlibScorer("GBT", _pipeline(features, est).fit(df))
 
 
 def fit_logit(train: DataFrame, features: Sequence[str], y: str, C: float = 1.0, penalty: str = "l2",
-              balanced: bool = True, max_iter: int = 200):
+              balanced: bool = False, max_iter: int = 200):
     """Penalised logistic regression with scikit-learn's ``C`` convention:
     regParam = 1 / (C * sum of weights), elastic-net 0 (l2) / 1 (l1);
     ``penalty='none'`` fits unpenalised. Features should be prepared
@@ -167,15 +174,41 @@ def fit_logit(train: DataFrame, features: Sequence[str], y: str, C: float = 1.0,
 
 
 def fit_mlp(train: DataFrame, features: Sequence[str], y: str, hidden: Sequence[int] = (64, 32),
-            learning_rate: float = 0.01, max_iter: int = 200, seed: int = 42):
+            max_iter: int = 200, seed: int = 42):
     """MLlib perceptron (sigmoid hidden layers, softmax output, L-BFGS).
-    L2 ``alpha``, adam and early stopping have no MLlib equivalent."""
+    L2 ``alpha``, adam with its learning rate, other activations and early
+    stopping have no MLlib equivalent."""
     layers = [len(features), *hidden, 2]
-    est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=y, layers=layers, stepSize=learning_rate,
+    est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=y, layers=layers,
                                          maxIter=max_iter, seed=seed)
     return MLlibScorer("MLP", _pipeline(features, est).fit(train))
 
 
+@dataclass
+class PreparedScorer(Scorer):
+    """A scorer together with the preparation it was fitted on; it scores
+    frames with the raw features."""
+    name: str
+    inner: object
+    prepared: object
+
+    def score(self, df: DataFrame) -> DataFrame:
+        whole = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns]))
+        return self.inner.score(self.prepared.apply(whole, keep=["_row"])).select("_row.*", "p", "native_pred")
+
+
+def fit_prepared(train: DataFrame, features: Sequence[str], y: str, fit) -> PreparedScorer:
+    """``fit(prepared train, prepared features)`` behind the preparation of
+    linear models: columns with other values than 0 and 1 are imputed and
+    standardised with the training side's statistics."""
+    from ..operators.prepare import fit_prepare
+    other = train.agg(*[F.max(F.when(F.col(f).isin(0, 1), 0).otherwise(1)).alias(f"f{i}") for i, f in enumerate(features)]).first()
+    continuous = [f for i, f in enumerate(features) if other[f"f{i}"] != 0]
+    prepared = fit_prepare(train, continuous, [f for f in features if f not in continuous])
+    inner = fit(prepared.apply(train, keep=[y]), prepared.names())
+    return PreparedScorer(inner.name, inner, prepared)
+
+
 # --- SVM: linear, or RBF via random Fourier features --------------------------
 
 def rff_columns(df: DataFrame, features: Sequence[str], n_components: int, gamma: float, seed: int = 42,
@@ -235,7 +268,7 @@ def fit_svm(train: DataFrame, features: Sequence[str], y: str, C: float = 1.0, k
     feats = rff_columns(base, features, **rff) if rff else assemble(base, features, "rff")
     n = base.agg(F.sum("w")).first()[0]
     model = LinearSVC(featuresCol="rff", labelCol=y, weightCol="w", regParam=1.0 / (C * n),
-                      maxIter=max_iter).fit(feats)
+                      standardization=False, maxIter=max_iter).fit(feats)
     margins = model.transform(feats).select(F.col(y).cast("double").alias("label"),
                                             vector_to_array("rawPrediction")[1].alias("m"))
     platt_model = LogisticRegression(featuresCol="mv", labelCol="label", regParam=0.0).fit(
@@ -339,9 +372,8 @@ def undersample_majority(df: DataFrame, y: str, id_col: str, seed: int,
         return df
     minority = min(counts, key=lambda k: (counts[k], k))
     n_min = counts[minority]
-    n_maj = sum(v for k, v in counts.items() if k != minority)
     maj = df.where(F.col(y) != minority).withColumn("_h", hash_uniform(id_col, seed=seed))
-    ranked = global_rank(maj, [F.col("_h"), F.col(id_col)], "_r", blocks=max(1, math.ceil(n_maj / ROWS_PER_BLOCK)))
+    ranked = global_rank(maj, [F.col("_h"), F.col(id_col)], "_r")
     picked = ranked.where(F.col("_r") < n_min).drop("_h", "_r")
     return df.where(F.col(y) == minority).unionByName(picked)
 

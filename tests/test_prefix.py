@@ -63,7 +63,7 @@ def test_exact_quantiles_blocked_two_columns(spark):
     b = [float(x) for x in rng.normal(size=600)]
     df = spark.createDataFrame([(x, y, None) for x, y in zip(a, b)], "a double, b double, z double")
     probs = [0.1, 0.25, 0.5, 0.9]
-    q = exact_quantiles(df, ["a", "b", "z"], probs, rows_per_block=97)
+    q = exact_quantiles(df, ["a", "b", "z"], probs, blocks=7)
     assert np.allclose(q["a"], np.quantile(np.array(a), probs))
     assert np.allclose(q["b"], np.quantile(np.array(b), probs))
     assert q["z"] == [None] * 4
