@@ -21,6 +21,7 @@ date         a day from 1900-01-01 on, 73,000 days     the day; its notation sta
 email        local part at a domain                    letters and digits of the
                                                        local part, class by class
 secret       16 or more hex digits named as such       the hex digits
+access key   AKIA or ASIA, 16 capitals and digits      those 16
 ============ ========================================= ===========================
 
 What fails its validation stays as it is. Defined cases: null text stays
@@ -39,7 +40,8 @@ FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
-SECRET = r"(?<![\p{L}\p{N}])(?i:token|secret|password|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}\"[0-9A-Fa-f]{16,}+\""
+SECRET = r"(?<![\p{L}\p{N}])(?i:token|secret|password|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}\"?[0-9A-Fa-f]{16,}+(?![\p{L}\p{N}])"
+ACCESS_KEY = r"(?<![\p{L}\p{N}])A[KS]IA[A-Z0-9]{16}(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}+(])(?:\+1[ .-]?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])|\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
 IPV4 = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
@@ -47,7 +49,7 @@ DATE = (r"(?<![\p{L}\p{N}-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}-])|(?<![\p{
         r"|(?<![\p{L}\p{N}.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\p{L}\p{N}])")
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![\p{L}\p{N}])"
 CARD = (r"(?<![\p{L}\p{N}])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{13,19}+)(?![\p{L}\p{N}])")
-KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "date": DATE, "ipv4": IPV4}
+KINDS = {"email": EMAIL, "secret": SECRET, "access key": ACCESS_KEY, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "date": DATE, "ipv4": IPV4}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -197,17 +199,20 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    at = F.instr(m, '"')
-    value = F.substr(m, at + 1, F.length(m) - at - 1)
-    lower = permute_text(value, key, "secret", HEX)
-    upper = permute_text(value, key, "secret", HEX_UPPER)
-    return F.concat(F.substr(m, F.lit(1), at), F.when(value.rlike("[a-f]"), lower).otherwise(upper), F.lit('"'))
+    value = F.regexp_extract(m, "[0-9A-Fa-f]+$", 0)
+    name = F.substr(m, F.lit(1), F.length(m) - F.length(value))
+    return F.concat(name, F.when(value.rlike("[a-f]"), permute_text(value, key, "secret", HEX)).otherwise(permute_text(value, key, "secret", HEX_UPPER)))
+
+
+def _access_key(m: Column, key: str) -> Column:
+    return F.concat(F.substr(m, F.lit(1), F.lit(4)), permute_text(F.substr(m, F.lit(5)), key, "access key", {"upper": LETTERS["upper"], "digit": LETTERS["digit"]}))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """What stands for the found value ``m``; its shape tells its kind."""
-    return (F.when(F.contains(m, F.lit('"')), _secret(m, key))
+    return (F.when(m.rlike("[=:]"), _secret(m, key))
             .when(F.contains(m, F.lit("@")), _email(m, key))
+            .when(m.rlike("^A[KS]IA"), _access_key(m, key))
             .when(m.rlike("^[A-Z]"), _iban(m, key))
             .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key))
             .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$"), _date(m, key))
@@ -220,7 +225,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     """``docs`` with ``text_col`` rewritten and, if named, ``found_col``: how
     many values were replaced."""
     text = F.col(f"`{text_col}`")
-    suspect = text.rlike("[0-9@]")  # every pattern has a digit or an @
+    suspect = text.rlike("[0-9@]|A[KS]IA")  # every pattern has one of these
     src = docs.withColumn("_pii_found", F.when(suspect, F.regexp_extract_all(text, F.lit(ANY), 0)))
     src = src.withColumn("_pii_new", F.transform("_pii_found", lambda m: pseudonym(m, key)))
     pieces = F.split(text, ANY, -1)
