@@ -33,7 +33,7 @@ WIDTH = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose leftovers one task packs again.
 FAN = 32
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 
 PIECES = "doc_id bigint, start bigint, length int, ids binary, doc_tokens bigint, sequence_id bigint, offset int, done boolean, part bigint"
 
@@ -107,9 +107,10 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "byte_level", end_id:
             texts = pc.fill_null(b.column(1), "")
             for at, n in slices(texts, SLICE_BYTES):
                 rows = []
-                for doc, ids in zip(b.column(0).slice(at, n).to_pylist(), enc.encode(texts.slice(at, n).to_pylist()), strict=True):
-                    ids += end
-                    tokens = len(ids) // 4
+                values, offsets = enc.encode(texts.slice(at, n))
+                for doc, a, e in zip(b.column(0).slice(at, n).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    ids = values[a:e].tobytes() + end
+                    tokens = e - a + 1
                     for start in range(0, tokens, width):
                         length = min(width, tokens - start)
                         rows += packer.add((doc, start, length, ids[4 * start : 4 * (start + length)], tokens))

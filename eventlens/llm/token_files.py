@@ -33,7 +33,7 @@ from .tokens import encoder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 512
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 
 FORMAT = {
     "compression": "zstd",
@@ -62,12 +62,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, kind: str = "w
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             for at, rows in slices(texts, SLICE_BYTES):
-                end = np.array([end_id], "<u4").tobytes()
-                ids = [x + end for x in enc.encode(texts.slice(at, rows).to_pylist())]
-                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, rows)
-                upto = np.concatenate([[0], np.cumsum(counts)])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values)
+                ids, offsets = enc.encode(texts.slice(at, rows))
+                ids = np.insert(ids, offsets[1:], np.uint32(end_id)).view(np.int32)
+                upto = offsets + np.arange(rows + 1)
+                counts = np.diff(upto)
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(at, rows), "file": pa.array(np.full(rows, number, np.int32)), "file_start": pa.array(before + upto[:-1]), "n_tokens": pa.array(counts), "ids": lists})
                 before += int(upto[-1])
 
