@@ -55,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, kind: str = "w
     (``spark.sql.shuffle.partitions`` unless given)."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    by_id = F.col("doc_id").asc_nulls_first()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number, before = encoder(tokenizer_path, kind), TaskContext.get().partitionId(), 0
@@ -70,7 +70,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, kind: str = "w
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(at, rows), "file": pa.array(np.full(rows, number, np.int32)), "file_start": pa.array(before + upto[:-1]), "n_tokens": pa.array(counts), "ids": lists})
                 before += int(upto[-1])
 
-    ordered = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered = src.repartitionByRange(n, by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
     ordered.mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
 
 
