@@ -15,13 +15,12 @@ from .columns import (
     decade,
     slug,
     sigmoid,
-    round6,
 )
 from .rng import hash_uniform, uniform
 
 __all__ = [
     "parse_currency", "parse_unit", "parse_percent", "try_numeric", "try_long", "try_timestamp",
     "binary_target", "flag", "structural_zero", "composite_key", "null_flag", "safe_ratio",
-    "utilisation_ratio", "sentinel_to_null", "cyclical", "decade", "slug", "sigmoid", "round6",
+    "utilisation_ratio", "sentinel_to_null", "cyclical", "decade", "slug", "sigmoid",
     "uniform", "hash_uniform",
 ]

@@ -80,7 +80,3 @@ def slug(name: str) -> str:
 
 def sigmoid(c: str | Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(c)))
-
-
-def round6(c: str | Column) -> Column:
-    return F.round(_c(c).cast("double"), 6)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import flag, slug
 from .prefix import exact_quantiles
 
-#: Largest category count ``one_hot`` accepts: the categories become
-#: columns, so they must stay few.
+#: Default of ``max_categories``, the most that ``one_hot`` accepts: the
+#: categories become columns, so they must stay few.
 MAX_CATEGORIES = 1000
 
 
@@ -52,16 +52,18 @@ class OneHot:
         return out.drop(self.column) if drop else out
 
 
-def fit_one_hot(df: DataFrame, column: str, prefix: str | None = None, suffix: str = "") -> OneHot:
+def fit_one_hot(df: DataFrame, column: str, prefix: str | None = None, suffix: str = "",
+                max_categories: int = MAX_CATEGORIES) -> OneHot:
     cats = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
-            .orderBy(column).limit(MAX_CATEGORIES + 1).collect()]
-    if len(cats) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories; one-hot would be too wide")
+            .orderBy(column).limit(max_categories + 1).collect()]
+    if len(cats) > max_categories:
+        raise ValueError(f"{column} has more than {max_categories} categories; one-hot would be too wide")
     return OneHot(column, prefix or column, tuple(cats), suffix)
 
 
-def one_hot(df: DataFrame, column: str, prefix: str | None = None, suffix: str = "", drop: bool = False) -> DataFrame:
-    return fit_one_hot(df, column, prefix, suffix).apply(df, drop)
+def one_hot(df: DataFrame, column: str, prefix: str | None = None, suffix: str = "", drop: bool = False,
+            max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    return fit_one_hot(df, column, prefix, suffix, max_categories).apply(df, drop)
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int]:
@@ -85,14 +87,13 @@ def null_census(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def constant_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, n_distinct, dropped): one aggregate pass over all columns;
-    ``dropped`` = at most one distinct non-null value."""
+    """(column, dropped): ``dropped`` = at most one distinct non-null value,
+    that is no minimum or the same maximum; one aggregate of constant size."""
     columns = list(columns or df.columns)
-    wide = df.agg(*[F.count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(columns)])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_d{i}").alias("n_distinct"))
+    wide = df.agg(*[F.min(F.col(c)).eqNullSafe(F.max(F.col(c))).alias(f"_d{i}") for i, c in enumerate(columns)])
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_d{i}").cast("int").alias("dropped"))
                                 for i, c in enumerate(columns)]))
-    return wide.select(stack.alias("s")).select(
-        "s.column", "s.n_distinct", (F.col("s.n_distinct") <= 1).cast("int").alias("dropped"))
+    return wide.select(stack.alias("s")).select("s.*")
 
 
 def drop_constant(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:

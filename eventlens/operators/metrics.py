@@ -136,8 +136,3 @@ def metrics_table(df: DataFrame, y: str, score: str, thresholds: Sequence[float]
     else:
         out = _attach_totals(cells, aa, [])
     return out.select(*group_cols, "threshold", *METRIC_COLUMNS)
-
-
-def comparison_report(metrics: DataFrame, by: str = "f1") -> DataFrame:
-    """Rows sorted by ``by`` descending (then model) - the comparison report."""
-    return metrics.orderBy(F.col(by).desc(), *[c for c in ("model", "threshold") if c in metrics.columns])

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from .prefix import quantile_frame
 
 
+def _number(c: str):
+    """As double; NaN is a missing value."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def _long(df: DataFrame, cols: Sequence[str], cast: str | None) -> DataFrame:
     def v(c):
         return F.col(c).cast(cast) if cast else F.col(c)
@@ -29,9 +34,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     sample std, quartiles interpolate linearly (pandas ``describe``). One
     lazy plan: the moments aggregate joined to the quartile frame."""
     wide = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"n{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-        F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}"),
-        F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))])
+        F.count(_number(c)).alias(f"n{i}"), F.avg(_number(c)).alias(f"m{i}"), F.stddev_samp(_number(c)).alias(f"s{i}"),
+        F.min(_number(c)).alias(f"lo{i}"), F.max(_number(c)).alias(f"hi{i}"))])
     long = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
                  F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
@@ -74,8 +78,8 @@ def value_counts_topn(df: DataFrame, col: str, top_n: int = 15, cardinality_thre
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over [min, max], last bin closed, plus a row
-    with a null bucket counting null values. Columns: bucket, lo, hi, n."""
-    x = F.col(col).cast("double")
+    with a null bucket counting null and NaN values. Columns: bucket, lo, hi, n."""
+    x = _number(col)
     mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     lo, hi = mm["lo"], mm["hi"]
     if lo is None:
@@ -86,7 +90,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
         width = 0.0
     else:
         width = (hi - lo) / bins
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
+        b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(width)) + 1, F.lit(bins)).cast("int"))
     counted = df.select(b.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     lo_l = F.lit(lo if lo is not None else None).cast("double")
     return counted.select(

@@ -26,7 +26,7 @@ def feature_cols(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> lis
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long table: column, non01 (values outside {0,1}), n0, n1, nulls,
-    minus_one (count of -1), min, n_distinct - one pass over ``df``."""
+    minus_one (count of -1), min, max - one pass over ``df``."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -37,13 +37,13 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.count_if(x.isNull()).alias(f"d{i}"),
             F.count_if(x == -1.0).alias(f"e{i}"),
             F.min(x).alias(f"f{i}"),
-            F.count_distinct(x).alias(f"g{i}"),
+            F.max(x).alias(f"g{i}"),
         ]
     wide = df.agg(*aggs)
     stack = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("non01"), F.col(f"b{i}").alias("n0"),
                  F.col(f"c{i}").alias("n1"), F.col(f"d{i}").alias("nulls"), F.col(f"e{i}").alias("minus_one"),
-                 F.col(f"f{i}").alias("min"), F.col(f"g{i}").alias("n_distinct"))
+                 F.col(f"f{i}").alias("min"), F.col(f"g{i}").alias("max"))
         for i, c in enumerate(cols)]))
     return wide.select(stack.alias("s")).select("s.*")
 
@@ -86,6 +86,21 @@ def drop_rare_binary(df: DataFrame, binary_cols: Sequence[str], min_count: int =
     return [c for c in df.columns if c not in drop]
 
 
+def varied_columns(df: DataFrame, cols: Sequence[str], at_least: int) -> list[str]:
+    """Columns with ``at_least`` distinct values. Two of them are the extremes;
+    each further one is the least value above the last, one pass each."""
+    top = {r["column"]: r for r in column_stats(df, cols).collect()}  # one row per column
+    low = {c: r["min"] for c, r in top.items()}
+    left = [c for c in cols if low[c] is not None] if at_least > 0 else list(cols)
+    for _ in range(1, at_least):
+        left = [c for c in left if low[c] < top[c]["max"]]
+        if not left:
+            break
+        row = df.agg(*[F.min(F.when(F.col(c).cast("double") > low[c], F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(left)]).first()
+        low = {c: row[f"m{i}"] for i, c in enumerate(left)}
+    return left
+
+
 def select_by_variance(df: DataFrame, importance: DataFrame, requested: Sequence[str], n: int,
                        min_unique: int = 3) -> DataFrame:
     """Pick up to ``n`` features with >= ``min_unique`` distinct values:
@@ -93,13 +108,12 @@ def select_by_variance(df: DataFrame, importance: DataFrame, requested: Sequence
     descending (ties by name). ``importance`` is (feature, importance).
     Returns (feature, position)."""
     feats = [r["feature"] for r in importance.select("feature").collect()]
-    st = column_stats(df, feats).select(F.col("column").alias("feature"), "n_distinct")
+    varied = varied_columns(df, feats, min_unique)
     req = {f: i for i, f in enumerate(requested)}
     req_expr = F.lit(None).cast("int")
     for f, i in req.items():
         req_expr = F.when(F.col("feature") == f, F.lit(i)).otherwise(req_expr)
-    j = (importance.join(st, "feature").where(F.col("n_distinct") >= min_unique)
-         .withColumn("_req", req_expr))
+    j = importance.where(F.col("feature").isin(varied) if varied else F.lit(False)).withColumn("_req", req_expr)
     from pyspark.sql import Window
     w = Window.orderBy(F.col("_req").asc_nulls_last(), F.col("importance").desc(), F.col("feature"))
     # one row per feature: a no-partition window over a table bounded by the column count

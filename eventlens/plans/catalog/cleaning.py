@@ -229,9 +229,9 @@ def q_rename_map(spark, sf):
     return rounded(CL.rename_map(p, {"p_size": "Size (units)", "p_retailprice": "Retail Price (USD)"}))
 
 
-@query("drop_if_present", "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size > 0")
+@query("drop_if_present", "SELECT p_partkey, p_brand, p_size FROM part")
 def q_drop_if_present(spark, sf):
-    p = table(spark, sf, "part").where("p_size > 0")
+    p = table(spark, sf, "part")
     return CL.drop_if_present(p, ["p_name", "p_type", "p_retailprice", "not_a_column"])
 
 

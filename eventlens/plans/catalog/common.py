@@ -32,12 +32,3 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 # Score table for the evaluation queries: y = document quality, score from
 # the document length (a plain arithmetic score shared with the oracle).
-SCORES_SQL = """(SELECT l.doc_id, l.quality AS y, CAST(d.n_chars % 97 AS DOUBLE) / 96.0 AS score
-   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
-
-
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    lab = table(spark, sf, "labels")
-    doc = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return lab.join(doc, "doc_id").select(
-        "doc_id", F.col("quality").alias("y"), ((F.col("n_chars") % 97).cast("double") / F.lit(96.0)).alias("score"))

@@ -113,13 +113,11 @@ _SEGS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 @query("rate_by_onehot", f"""SELECT c.c_mktsegment AS category, count(*) AS total, round(avg(y), 6) AS success_rate,
        CAST(sum(1 - y) AS BIGINT) AS failures
 FROM (SELECT *, {Y_SQL} AS y FROM orders) o JOIN customer c ON o.o_custkey = c.c_custkey
-WHERE c.c_mktsegment IS NOT NULL AND (c.c_custkey % 97 <> 0 OR c.c_mktsegment <> 'BUILDING')
+WHERE c.c_mktsegment IS NOT NULL
 GROUP BY 1 HAVING count(*) >= 10""")
 def q_rate_by_onehot(spark, sf):
     """Category recovered from one-hot columns (support >= 10)."""
-    c = table(spark, sf, "customer").select(
-        "c_custkey", F.when((F.col("c_custkey") % 97 == 0) & (F.col("c_mktsegment") == "BUILDING"), None)
-        .otherwise(F.col("c_mktsegment")).alias("seg"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
     c = one_hot(c, "seg", "Segment", "_co", drop=True)
     f = orders_y(spark, sf).join(c, F.col("o_custkey") == F.col("c_custkey"))
     cols = [x for x in c.columns if x.startswith("Segment_")]
@@ -163,12 +161,11 @@ def q_rate_by_flags(spark, sf):
 
 @query("reindex_join", """WITH labels AS (SELECT * FROM (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'),
       ('HOUSEHOLD'), ('MACHINERY'), ('UNKNOWN')) t(c_mktsegment)),
-  stats AS (SELECT c_mktsegment, count(*) AS customers, round(avg(c_acctbal), 6) AS avg_acctbal FROM customer
-            WHERE c_mktsegment <> 'FURNITURE' GROUP BY 1)
+  stats AS (SELECT c_mktsegment, count(*) AS customers, round(avg(c_acctbal), 6) AS avg_acctbal FROM customer GROUP BY 1)
 SELECT labels.c_mktsegment, stats.customers, stats.avg_acctbal FROM labels LEFT JOIN stats USING (c_mktsegment)""")
 def q_reindex_join(spark, sf):
-    """Stats aligned to a fixed label list: an absent label and an unseen one get nulls."""
-    c = table(spark, sf, "customer").where(F.col("c_mktsegment") != "FURNITURE")
+    """Stats aligned to a fixed label list: a label without rows gets nulls."""
+    c = table(spark, sf, "customer")
     stats = c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"),
                                           F.avg("c_acctbal").alias("avg_acctbal"))
     labels = spark.createDataFrame([(s,) for s in _SEGS + ["UNKNOWN"]], "c_mktsegment string")
@@ -278,23 +275,27 @@ def q_imbalance_ratio(spark, sf):
 
 # --- star join ------------------------------------------------------------------
 
+def _orders_some_anonymous(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")))
+
+
 @query("star_join", f"""WITH li AS (SELECT l_orderkey, count(l_linenumber) AS line_count,
                     coalesce(sum(l_extendedprice), 0) AS total_price FROM lineitem GROUP BY 1),
   pr AS (SELECT o_orderpriority AS prio, count(*) AS prio_orders FROM orders GROUP BY 1)
 SELECT o.o_orderkey, c.c_mktsegment AS c_mktsegment_cu, n.n_name AS n_name_na, r.r_name AS r_name_re,
        li.line_count, round(li.total_price, 6) AS total_price, pr.prio_orders
-FROM orders o
-LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o.o_custkey = c.c_custkey
+FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders) o
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN li ON o.o_orderkey = li.l_orderkey
 LEFT JOIN pr ON o.o_orderpriority = pr.prio""")
 def q_star_join(spark, sf):
-    """orders -> customer (in good standing) -> nation -> region, + lineitem
+    """orders (some without a customer) -> customer -> nation -> region, + lineitem
     rollup + a per-priority table derived from orders; fact row count preserved."""
-    o = table(spark, sf, "orders")
-    cust = table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(
-        "c_custkey", "c_mktsegment", "c_nationkey")
+    o = _orders_some_anonymous(spark, sf)
+    cust = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     prio = o.groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
     dims = [
         Dim(cust, "o_custkey", "c_custkey", suffix="_cu"),
@@ -324,20 +325,20 @@ SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, round(o.o_totalprice, 6) AS o
        round(coalesce(li.total_qty, 0), 6) AS total_qty, round(coalesce(li.total_price, 0), 6) AS total_price,
        coalesce(li.line_count, 0) AS line_count,
        CAST(CASE WHEN li.line_count IS NULL THEN 1 ELSE 0 END AS INTEGER) AS lines_missing, pr.prio_orders
-FROM orders o
-LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o.o_custkey = c.c_custkey
+FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders) o
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 LEFT JOIN li ON o.o_orderkey = li.l_orderkey
 LEFT JOIN pr ON o.o_orderpriority = pr.prio""")
 def q_star_join_pipeline(spark, sf):
-    """The whole wide-table build: customer (in good standing) -> nation ->
+    """The whole wide-table build: customer (null for some orders) -> nation ->
     region, the pre-aggregated lineitem child with its no-lines flag and
     zero fills, and a per-priority table; the fact row count is verified
     (a duplicated dimension key raises instead of silently fanning out)."""
     from ...operators.clean import join_miss_flag_fill
-    o = table(spark, sf, "orders")
-    cust = table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(
+    o = _orders_some_anonymous(spark, sf)
+    cust = table(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
     prio = o.groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
     dims = [
