@@ -16,7 +16,8 @@ least ``PERCENT`` / 100. The matrix is never multiplied out:
    ``n - ceil(t n) + 1`` of both (prefix bound); sizes and the places of the
    shared shingle bound the overlap further. First every set is paired only
    with one leader per shared shingle, verified and united; then the pairs
-   that are left *between different components* are verified. Pairs inside a
+   that are left *between different components* are verified, each set outside
+   a shingle's largest component with that shingle's others. Pairs inside a
    component can't change it, so a large group of near copies costs about its
    size, and none is skipped that could.
 4. Verification takes the exact overlap of the two sets.
@@ -226,15 +227,23 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
     least, most = F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")
-    lead = materialize(postings.groupBy("h").agg(F.min(F.struct("n", "at", "sid")).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-                       .select(F.col("h").alias("h2"), F.col("x.n").alias("n2"), F.col("x.at").alias("at2"), F.col("x.sid").alias("sid2")), "leaders")
-    tried = materialize(postings.join(lead, F.col("h") == F.col("h2")).where(near & (F.col("sid") != F.col("sid2"))).select(least, most).distinct(), "leader-pairs")
+    apart = (F.col("g") != F.col("g2")) & near
+
+    # the leader of a shingle is the set that has it earliest: few rarer ones before it, so close to what its holders have in common
+    lead = postings.groupBy("h").agg(F.min(F.struct(F.col("at").alias("first_at"), "sid", "n", "at")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    lead = materialize(lead.select(F.col("h").alias("h2"), *[F.col(f"m.{c}").alias(c + "2") for c in ("sid", "n", "at")]), "leaders")
+    tried = postings.join(lead, F.col("h") == F.col("h2")).where(near & (F.col("sid") != F.col("sid2"))).select(least, most).distinct()
+    tried = materialize(tried, "leader-pairs")
     links = materialize(verified(tried), "leader-links")
-    group = connected(links)
-    tagged = materialize(postings.join(group, F.col("sid") == F.col("node"), "left").select("sid", "n", "at", "h", F.coalesce("component", "sid").alias("g")), "tagged")
-    mixed = materialize(tagged.groupBy(F.col("h").alias("mh")).agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("mh"), "mixed")
-    open_ = materialize(tagged.join(mixed, F.col("h") == F.col("mh"), "left_semi"), "open")
-    rest = open_.join(second(open_), (F.col("h") == F.col("h2")) & (F.col("sid") < F.col("sid2")) & (F.col("g") != F.col("g2")) & near)
+
+    # pairs still apart: per shingle, those outside its largest component with all others
+    tagged = materialize(postings.join(connected(links), F.col("sid") == F.col("node"), "left").select("sid", "n", "at", "h", F.coalesce("component", "sid").alias("g")), "tagged")
+    per_group = tagged.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per_group.groupBy(F.col("h").alias("mh")).agg(F.max(F.struct("c", "g")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    mixed = materialize(mixed.select("mh", F.col("m.g").alias("mg")), "mixed")
+    open_ = materialize(tagged.join(mixed, F.col("h") == F.col("mh")).select("sid", "n", "at", "h", "g", (F.col("g") == F.col("mg")).alias("major")), "open")
+    once = F.col("major2") | (F.col("sid") < F.col("sid2"))
+    rest = open_.where("NOT major").join(second(open_), (F.col("h") == F.col("h2")) & apart & once)
     rest = materialize(rest.select(least, most).distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     return members, links.unionByName(verified(rest))
 
