@@ -99,7 +99,8 @@ def q_background_kmeans(spark, sf):
     data = T.assemble(tr, feats)
     model = KMeans(k=50, seed=42, featuresCol="features").fit(data)
     sizes = model.transform(data).groupBy("prediction").agg(F.count(F.lit(1)).alias("weight"))
-    return sizes.select(F.col("prediction").alias("cluster"), "weight")
+    centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
+    return centres.join(sizes, F.col("cluster") == F.col("prediction")).select("cluster", "weight", "centroid")
 
 
 # --- inference -------------------------------------------------------------------

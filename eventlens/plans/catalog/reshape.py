@@ -129,6 +129,37 @@ def q_shap_report(spark, sf):
     return rounded(shap_report(R.union_results(parts), list(LINEAR_SCORERS)))
 
 
+def _shap_long(spark, sf):
+    from ..explain import linear_shapley
+    df = order_features(spark, sf)
+    return R.union_results([linear_shapley(df, coef, "o_orderkey").withColumn("model", F.lit(m)) for m, coef in LINEAR_SCORERS.items()])
+
+
+@query("case_contributions", _shap_long_sql() + f""",
+  ff AS (SELECT o_orderkey FROM (SELECT *, {Y_SQL} AS y FROM orders) WHERE y = 0 ORDER BY o_orderkey LIMIT 20)
+SELECT model, o_orderkey, feature, round(value, 6) AS value, round(shap, 6) AS shap, CAST(rank AS INTEGER) AS rank
+FROM (SELECT sl.*, row_number() OVER (PARTITION BY model, sl.o_orderkey ORDER BY abs(shap) DESC, feature) AS rank
+      FROM sl JOIN ff ON sl.o_orderkey = ff.o_orderkey) WHERE rank <= 15""")
+def q_case_contributions(spark, sf):
+    """The 15 largest contributions to each of the first 20 failures."""
+    from ..explain import case_contributions
+    from .common import orders_y
+    failures = R.topk(orders_y(spark, sf).where("y = 0"), 20, asc=["o_orderkey"])
+    out = case_contributions(_shap_long(spark, sf), failures, "o_orderkey")
+    return rounded(out.select("model", "o_orderkey", "feature", "value", "shap", "rank"))
+
+
+@query("top_features", _shap_long_sql() + """,
+  per AS (SELECT model, feature, avg(abs(shap)) AS importance FROM sl GROUP BY ALL),
+  b AS (SELECT * FROM per UNION ALL SELECT 'all models', feature, avg(importance) FROM per GROUP BY feature)
+SELECT model, feature, round(importance, 6) AS importance, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM b) WHERE rank <= 15""")
+def q_top_features(spark, sf):
+    """Ranked features by mean |shap|, per model and across models."""
+    from ..explain import top_features
+    return rounded(top_features(_shap_long(spark, sf)).select("model", "feature", "importance", "rank"))
+
+
 @query("importance_pivot", f"""{MODELS_SQL},
   imp AS (SELECT model, 'score_mean' AS feature, avg(score) AS v FROM m GROUP BY model
           UNION ALL SELECT model, 'pos_score_mean', avg(score) FILTER (WHERE y = 1) FROM m GROUP BY model)

@@ -59,6 +59,24 @@ def shap_report(long: DataFrame, models: Sequence[str], model_col: str = "model"
     return importance_pivot(long.withColumn("_abs", F.abs("shap")), "feature", model_col, "_abs", models)
 
 
+def case_contributions(long: DataFrame, cases: DataFrame, id_col: str, n: int = 15, model_col: str = "model") -> DataFrame:
+    """The ``n`` largest contributions by size of every listed case and
+    model, with their ``rank`` (ties by feature). A window partition is one
+    case: at most as many rows as features."""
+    w = Window.partitionBy(model_col, id_col).orderBy(F.abs("shap").desc(), "feature")
+    found = long.join(cases.select(id_col).distinct(), id_col, "left_semi")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def top_features(long: DataFrame, n: int = 15, model_col: str = "model", across: str = "all models") -> DataFrame:
+    """(model, rank, feature, importance): the ``n`` features of largest mean
+    |shap| per model, and by the mean over the models."""
+    per = long.groupBy(model_col, "feature").agg(F.avg(F.abs("shap")).alias("importance"))
+    both = per.unionByName(per.groupBy("feature").agg(F.avg("importance").alias("importance")).withColumn(model_col, F.lit(across)))
+    w = Window.partitionBy(model_col).orderBy(F.col("importance").desc(), "feature")  # one row per feature
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 # --- permutation importance ---------------------------------------------------
 
 def permuted_frame(df: DataFrame, features: Sequence[str], id_col: str, repeats: int, seed: int = 42,
