@@ -125,6 +125,35 @@ def q_wald_table(spark, sf):
                                  "feature string, coef double, std_err double, z double, p_value double")
 
 
+_CELLS_SQL = """WITH c AS (
+  SELECT CAST(count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS DOUBLE) AS a, CAST(count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS DOUBLE) AS b,
+         CAST(count(*) FILTER (o_orderpriority <> '1-URGENT' AND o_orderstatus = 'F') AS DOUBLE) AS c, CAST(count(*) FILTER (o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'F') AS DOUBLE) AS d FROM orders),
+  w AS (SELECT 'const' AS feature, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM c
+        UNION ALL SELECT 'is_urgent', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM c)"""
+
+
+def _one_flag(spark, sf):
+    o = table(spark, sf, "orders")
+    return I.wald_table(o.select((F.col("o_orderpriority") == "1-URGENT").cast("double").alias("is_urgent"),
+                                 (F.col("o_orderstatus") == "F").cast("int").alias(Y)), ["is_urgent"], Y)
+
+
+@query("wald_one_flag", _CELLS_SQL + """
+SELECT feature, round(coef, 4) AS coef, round(se, 4) AS std_err, round(coef / se, 4) AS z FROM w""")
+def q_wald_one_flag(spark, sf):
+    """A logit on one 0/1 feature has a closed form in the four cell counts."""
+    rows = _one_flag(spark, sf)
+    return spark.createDataFrame([(r["feature"], round(r["coef"], 4), round(r["std_err"], 4), round(r["z"], 4)) for r in rows],
+                                 "feature string, coef double, std_err double, z double")
+
+
+@query("odds_one_flag", _CELLS_SQL + """
+SELECT feature, round(exp(coef), 4) AS odds_ratio, round(exp(coef - 1.96 * se), 4) AS or_ci_lower, round(exp(coef + 1.96 * se), 4) AS or_ci_upper FROM w""")
+def q_odds_one_flag(spark, sf):
+    out = I.odds_ratios(spark, _one_flag(spark, sf))
+    return out.select("feature", *[F.round(c, 4).alias(c) for c in ("odds_ratio", "or_ci_lower", "or_ci_upper")])
+
+
 @query("backward_select")
 def q_backward_select(spark, sf):
     tr, feats = _logit_input(spark, sf)

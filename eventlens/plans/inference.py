@@ -42,7 +42,9 @@ def wald_table(df: DataFrame, features: Sequence[str], y: str) -> list[dict]:
         se = list(s.coefficientStandardErrors)
         coefs = [float(m.intercept)] + [float(c) for c in m.coefficients]
         ses = [se[-1]] + se[:-1]                      # Spark lists the intercept last
-    except Exception:  # singular design: fall back to pinv(X'WX)
+    except Exception as e:
+        if "Std. Error" not in str(e):  # what the summary says of a singular design
+            raise
         coefs, ses = _pinv_fallback(data, features)
     rows = []
     for name, c, s_ in zip(["const", *features], coefs, ses):
