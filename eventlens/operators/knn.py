@@ -42,17 +42,21 @@ def knn_join(query: DataFrame, ref: DataFrame, id_col: str, vec_col: str, k: int
             return pd.DataFrame({"qid": [], "nn_id": [], "dist2": []})
         Q = np.vstack(left["qv"].to_numpy())
         R = np.vstack(right["rv"].to_numpy())
-        d = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * Q @ R.T
-        # exact recomputation for the kept candidates avoids cancellation error
+        # distances do not change when both sides move; around the block's mean the products cancel least
+        middle = R.mean(axis=0)
+        A, B = Q - middle, R - middle
+        aa, bb = (A * A).sum(1), (B * B).sum(1)
+        d = aa[:, None] + bb[None, :] - 2.0 * A @ B.T
         qid = left["qid"].to_numpy()
         rid = right["rid"].to_numpy()
         if exclude_self:
             d = np.where(qid[:, None] == rid[None, :], np.inf, d)
         kk = min(k, R.shape[0])
-        # candidates within a hair of the k-th (fast, cancellation-prone)
-        # distance; their distances are then recomputed exactly
+        # candidates within the rounding error of the k-th distance, and half a
+        # unit of the rounded key; their distances are then recomputed exactly
+        error = 8 * np.finfo(float).eps * (Q.shape[1] + 2) * (aa + bb.max()) + 10.0 ** -digits
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        mask = (d <= (kth + 1e-7 * (1.0 + np.abs(kth)))[:, None]) & np.isfinite(d)
+        mask = (d <= (kth + 2 * error)[:, None]) & np.isfinite(d)
         rows_q, cols_r = np.nonzero(mask)
         key = np.round(((Q[rows_q] - R[cols_r]) ** 2).sum(1), digits)
         # exactly k per query and block, by (rounded exact distance, id) - the

@@ -99,3 +99,16 @@ def test_grid_axes_without_effect_are_refused(spark):
         sweep.grid_runs(spark, {"mlp_alpha": [1, 2]}, sweep.BASE_CONFIG)
     assert sweep.resolve_model(" Neural network ") == "MLP" and sweep.resolve_model("LR") == "Logit" and sweep.resolve_model("svc") == "SVM"
     assert math.isclose(sweep.BASE_CONFIG["mlp_alpha"], 1e-3)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8])
+def test_knn_far_from_the_origin(spark, offset):
+    from eventlens.operators.knn import knn_join
+    x = np.random.default_rng(2).integers(-500, 500, size=(200, 3)) / 16 + offset
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["id"], r["rank"]): r["nn_id"] for r in knn_join(df, df, "id", "v", 5, block_rows=64).collect()}
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(2), 6)
+    np.fill_diagonal(d, np.inf)
+    for i in range(200):
+        order = sorted((d[i, j], j) for j in range(200))[:5]
+        assert [got[i, k + 1] for k in range(5)] == [j for _, j in order]
