@@ -39,6 +39,8 @@ CALIBRATION = "0123"
 #: Bins of the score's histogram, per unit of log ratio.
 BINS = 100
 _START = "\x02"
+#: Characters of a URL that are cut into windows at a time.
+PIECE = 1024
 
 #: host/path and verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -64,18 +66,22 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def _windows(urls: DataFrame) -> DataFrame:
-    """One row per character of each URL: the character after its context."""
+def _windows(urls: DataFrame, *keep: str) -> DataFrame:
+    """One row per character of each URL: the character after its context. A
+    long URL is cut into pieces first, so work is linear in its length."""
     text = F.concat(F.lit(_START * ORDER), F.col("url"))
-    every = F.transform(F.sequence(F.lit(1), F.char_length("url")), lambda i: F.substr(text, i, F.lit(ORDER + 1)))
-    return urls.where(F.char_length("url") > 0).withColumn("window", F.explode(every))
+    last = F.floor((F.char_length("url") - 1) / F.lit(PIECE))
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(text, (k * PIECE + 1).cast("int"), F.lit(PIECE + ORDER)))
+    cut = urls.where(F.char_length("url") > 0).select(*keep, F.explode(pieces).alias("piece"))
+    every = F.transform(F.sequence(F.lit(1), F.char_length("piece") - ORDER), lambda i: F.substr(F.col("piece"), i, F.lit(ORDER + 1)))
+    return cut.select(*keep, F.explode(every).alias("window"))
 
 
 def window_scores(urls: DataFrame) -> DataFrame:
     """``urls`` (url, label: 1 accepted, 0 rejected, null) to (window,
     millionths): the log ratio of every window in any of them."""
     one = lambda v: F.sum(F.when(F.col("label") == v, 1).otherwise(0)).alias("a" if v else "r")
-    seen = materialize(_windows(urls).groupBy("window").agg(one(1), one(0)), "url-windows")
+    seen = materialize(_windows(urls, "label").groupBy("window").agg(one(1), one(0)), "url-windows")
     lower = None
     for k in range(ORDER + 1):
         gram = F.substr(F.col("window"), F.lit(ORDER + 1 - k), F.lit(k + 1))
@@ -97,12 +103,12 @@ def window_scores(urls: DataFrame) -> DataFrame:
 
 
 def url_scores(urls: DataFrame) -> DataFrame:
-    """``urls`` (url, label, held) to (url, bin): the mean log ratio of each
+    """``urls`` (uid, url, label, held) to (uid, bin): the mean log ratio of each
     URL's characters in hundredths, rounded down."""
     known = urls.withColumn("label", F.when(~F.col("held"), F.col("label")))
     scores = materialize(window_scores(known), "url-scores")
-    summed = _windows(urls.select("url")).join(scores, "window").groupBy("url").agg(F.sum("millionths").alias("s"), F.count(F.lit(1)).alias("n"))
-    return summed.select("url", F.floor(F.col("s") / (F.col("n") * F.lit(1_000_000.0 / BINS))).cast("bigint").alias("bin"))
+    summed = _windows(urls, "uid").join(scores, "window").groupBy("uid").agg(F.sum("millionths").alias("s"), F.count(F.lit(1)).alias("n"))
+    return summed.select("uid", F.floor(F.col("s") / (F.col("n") * F.lit(1_000_000.0 / BINS))).cast("bigint").alias("bin"))
 
 
 def threshold(scored: DataFrame) -> int:
@@ -129,13 +135,14 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str
     _, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
     label = F.when(verdict == "allow", 1).when(verdict == "block", 0)
     held = F.instr(F.lit(CALIBRATION), F.substring(F.md5("url"), 1, 1)) > 0
-    labelled = materialize(urls.where("url IS NOT NULL").select("url", label.alias("label"), held.alias("held")), "urls")
-    scored = materialize(url_scores(labelled).join(labelled, "url"), "scored-urls")
+    # the rows of a URL's characters carry its md5, not the URL
+    labelled = materialize(urls.where("url IS NOT NULL").select(F.md5("url").alias("uid"), "url", label.alias("label"), held.alias("held")), "urls")
+    scored = materialize(url_scores(labelled).join(labelled.drop("url"), "uid"), "scored-urls")
     least = threshold(scored.where("held AND label IS NOT NULL"))
     rule, by_rule = rule_of(F.col("host"), F.col("path"), rules)
     new = ("host", "path", "rule", "verdict", "score_bin")
-    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    found = own.join(scored.select(F.col("url").alias("_u"), F.col("bin").alias("score_bin")), F.col("_url") == F.col("_u"), "left")
+    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), F.md5(url).alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    found = own.join(scored.select(F.col("uid").alias("_u"), F.col("bin").alias("score_bin")), F.col("_url") == F.col("_u"), "left")
     model = F.when(F.col("score_bin") >= least, "allow").otherwise("block")
     return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c not in new], "host", "path", rule.alias("rule"),
                         F.coalesce(by_rule, model).alias("verdict"), "score_bin")
