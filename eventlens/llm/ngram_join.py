@@ -5,8 +5,8 @@ Links are all pairs of different shingle sets whose Jaccard similarity is at
 least ``PERCENT`` / 100. The matrix is never multiplied out:
 
 1. Columns. Each document's distinct shingles (48-bit hashes) are dealt by
-   hash into column blocks, packed as arrays. A block drops copies of a set
-   already seen, counts each shingle's documents and keeps the shingles of two
+   hash into column blocks, packed as arrays; a task sends equal sets once. A
+   block drops the copies of a set that several tasks sent, counts each shingle's documents and keeps the shingles of two
    sets or more.
 2. Rows. What is left comes back together by set. A set of which less than
    ``PERCENT`` % of the shingles are shared at all can have no partner (the
@@ -23,8 +23,8 @@ least ``PERCENT`` / 100. The matrix is never multiplied out:
 4. Verification takes the exact overlap of the two sets.
 
 Sets are known by a 64-bit sum of their shingles' hashes. No step holds more
-than one block or one row group; blocks and row groups are as many as
-``spark.sql.shuffle.partitions``.
+than one block or one row group; there are as many row groups as
+``spark.sql.shuffle.partitions`` and ``BLOCKS`` times as many blocks.
 
 Defined cases: null or blank text has no shingle and is linked with nothing;
 fewer words than ``WIDTH`` make one shingle of all of them; a null id has no
@@ -49,7 +49,9 @@ from .words import mix64, plain, string_hashes, window_hashes, words_of
 
 WIDTH = 5
 PERCENT = 75
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Column blocks for each shuffle partition.
+BLOCKS = 2
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +99,19 @@ _COLUMN_DDL = "kind int, home int, doc_id bigint, n int, sid bigint, sids binary
 
 def _pack(blocks: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, sent = 0, set()
         for b in batches:
             for at, rows in slices(b.column(1), SLICE_BYTES):
                 full, offsets = shingle_sets(b.column(1).slice(at, rows), width)
                 sids, sizes = set_ids(full, offsets), np.diff(offsets).astype(np.int32)
-                h = full >> np.uint64(16)
+                _, first = np.unique(sids, return_index=True)
+                new = np.zeros(rows, bool)  # a task sends the shingles of equal sets once
+                new[[i for i, s in zip(first.tolist(), sids[first].tolist()) if s not in sent]] = True
+                sent.update(sids[new].tolist())
+                h = full[np.repeat(new, sizes)] >> np.uint64(16)
                 block = (h % np.uint64(blocks)).astype(np.uint16 if blocks <= 65536 else np.int64)
                 order = np.argsort(block, kind="stable")
-                owner = np.repeat(np.arange(rows), sizes)[order]
+                owner = np.repeat(np.arange(rows), np.where(new, sizes, 0))[order]
                 h, edges = h[order], np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
                 out = {name: [] for name, _ in _PACKED}
 
@@ -151,15 +157,17 @@ def _column_block(homes: int):
             _, first = np.unique(sids, return_index=True)  # one of the copies of each set
             kept = np.zeros(len(sids), bool)
             kept[first] = True
-            of = np.repeat(np.arange(len(sids)), counts)
+            of = np.repeat(np.arange(len(sids), dtype=np.int32), counts)
             real = kept[of]
             h, of = h[real], of[real]
             order = np.argsort(h)
             h, of = h[order], of[order]
+            del order, real
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
-            run_of = np.cumsum(new) - 1
-            freq = np.bincount(run_of)[run_of] if len(h) else np.zeros(0, np.int64)
+            at = np.flatnonzero(new)
+            length = np.diff(np.append(at, len(h))).astype(np.uint32)
+            freq = np.repeat(length, length)
             shared = freq > 1
             h, of, freq = h[shared], of[shared], freq[shared]
             home = (sids.view(np.uint64) % np.uint64(homes)).astype(np.int64)[of]
@@ -203,10 +211,11 @@ def _rows(percent: int):
 def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, sid) and links between different sets (a, b)."""
     spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    homes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = BLOCKS * homes
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     packed = src.mapInArrow(_pack(blocks, width), _PACKED_DDL)
-    columns = materialize(packed.groupBy("key").applyInArrow(_column_block(blocks), _COLUMN_DDL), "incidence")
+    columns = materialize(packed.groupBy("key").applyInArrow(_column_block(homes), _COLUMN_DDL), "incidence")
     members = columns.where("kind = 0").select("doc_id", F.col("n").cast("bigint").alias("n"), "sid")
     sets = materialize(columns.where("kind = 1").select("home", "sids", "sizes", "counts", "hashes", "freqs").groupBy("home").applyInArrow(
         _rows(percent), "sid bigint, n int, first int, prefix int, hashes array<bigint>"), "sets")
