@@ -42,7 +42,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    # fewer words are kept than by the operator alone: the workers of earlier stages still hold their memory
+    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), cache_words=150_000)
     return pieces.select("doc_id", "start", F.col("length").cast("bigint").alias("length"), "ids", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", F.col("offset").cast("bigint").alias("offset"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from .quality import slices
-from .tokens import encoder
+from .tokens import CACHE_WORDS, encoder
 
 WIDTH = 1024
 OPEN_WINDOWS = 64
@@ -94,7 +94,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, kind: str = "byte_level", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-         width: int = WIDTH, open_windows: int = OPEN_WINDOWS, fan: int = FAN) -> DataFrame:
+         width: int = WIDTH, open_windows: int = OPEN_WINDOWS, fan: int = FAN,
+         cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: ``doc_id``, ``start`` and ``length`` in the
     document's ids, ``ids`` (little-endian 32-bit), ``doc_tokens`` (with the
     end id), ``sequence_id`` and ``offset`` in that sequence."""
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str, kind: str = "byte_level", end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, enc = Packer(TaskContext.get().partitionId(), 0, width, open_windows), encoder(tokenizer_path, kind)
+        packer, enc = Packer(TaskContext.get().partitionId(), 0, width, open_windows), encoder(tokenizer_path, kind, cache_words)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             for at, n in slices(texts, SLICE_BYTES):

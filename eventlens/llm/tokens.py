@@ -7,7 +7,7 @@ each distinct word is encoded, and the ids are put together in numpy.
 
 Most words are letters and then marks (``prose.``). The library's word
 pattern makes two words of such a one, so letters and marks go straight to
-the library's BPE model, and the first ``CACHE_WORDS`` of them that a Python
+the library's BPE model, and the first ``cache_words`` of them that a Python
 worker sees are kept. All other words go through the library's whole pipeline.
 """
 
@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 
 from .words import Words, plain, words_of
 
+#: About 200 bytes each.
 CACHE_WORDS = 500_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 64
@@ -58,13 +59,13 @@ def space_led(texts: pa.Array) -> Words:
 
 
 class Encoder:
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, cache_words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.byte_level = byte_level
+        self.byte_level, self.cache_words = byte_level, cache_words
         self.known: dict[str, bytes] = {}  # letters, marks, and whole other words after a zero character
 
     def _model(self, word: str) -> bytes:
@@ -76,7 +77,7 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _keep(self, key: str, ids: bytes) -> bytes:
-        if len(self.known) < CACHE_WORDS and len(key) <= CACHE_CHARS:
+        if len(self.known) < self.cache_words and len(key) <= CACHE_CHARS:
             self.known[key] = ids
         return ids
 
@@ -148,10 +149,10 @@ KINDS = {"byte_level": True, "word_end": False}
 
 
 @cache
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One per Python worker and tokenizer file; ``path`` must be readable on
     every executor (tokenizer files are installed with the workers)."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
-    return Encoder(path, KINDS[kind])
+    return Encoder(path, KINDS[kind], cache_words)
