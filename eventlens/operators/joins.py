@@ -2,9 +2,9 @@
 
 Strategy is left to AQE: a dimension that is measured under
 ``spark.sql.autoBroadcastJoinThreshold`` at run time is broadcast, a larger
-one is shuffled (sort-merge, with skew-split of hot partitions). Only tables
-with a fixed size bound (nation, region, small lookup lists) get an explicit
-``broadcast`` hint via ``bounded=True``.
+one is shuffled (sort-merge, with skew-split of hot partitions). Tables that
+should be small (nation, region, lookup lists) get an explicit ``broadcast``
+hint via ``bounded=True``, after a check that they are.
 """
 
 from __future__ import annotations
@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from .aggs import child_rollup
 
 
+#: Most rows of a table that is broadcast by hint.
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted
+    no further than that), else as it is: AQE then plans the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def suffixed(df: DataFrame, suffix: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Append ``suffix`` to every column name except ``exclude``."""
     ex = set(exclude)
@@ -38,7 +48,7 @@ def left_join(fact: DataFrame, dim: DataFrame, left_key: str | Sequence[str], ri
         dim = suffixed(dim, suffix)
         rk = [k + suffix for k in rk]
     if bounded:
-        dim = F.broadcast(dim)
+        dim = broadcast_small(dim)
     cond: Column | None = None
     for a, b in zip(lk, rk):
         c = fact[a].eqNullSafe(dim[b]) if null_safe else fact[a] == dim[b]

@@ -25,6 +25,7 @@ from ..functions.columns import sigmoid
 from ..functions.rng import hash_uniform, uniform as seeded_uniform
 from ..operators.metrics import cells_to_metrics, cum_confusion, auc_ap
 from ..operators.prefix import global_rank
+from ..operators.joins import broadcast_small
 from ..operators.reshape import importance_pivot
 
 
@@ -214,8 +215,7 @@ def sampling_shapley(scorer, rows: DataFrame, background: DataFrame, features: S
     perm = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     perm = perm.withColumn("bg_idx", F.pmod(F.xxhash64(F.col(id_col), F.col("perm"), F.lit(seed)),
                                             F.lit(n_bg)).cast("int"))
-    # bounded by construction (background_sample's n): broadcast
-    perm = perm.join(F.broadcast(bg), "bg_idx")
+    perm = perm.join(broadcast_small(bg), "bg_idx")
     hs = [hash_uniform(F.col(id_col), F.col("perm"), F.lit(j), seed=seed) for j in range(k)]
     pos = []
     for j in range(k):
