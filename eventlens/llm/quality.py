@@ -28,7 +28,7 @@ from .words import Words, mix64, plain, window_hashes, words_of
 #: Rows of the sample on which cost and selectivity are measured (at most about so many).
 SAMPLE_ROWS = 2000
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WINDOW = 8
 
 _BYTE = np.arange(256)
@@ -248,12 +248,14 @@ def judge(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with the columns of ``docs``."""
     ordered = order_rules(docs, text_col, rules, sample_rows)
-    src = docs.select(F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]  # the text travels once
+    src = docs.select(F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_none"), *others).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, length in slices(b.column(0)):
                 failed, _ = cascade(Batch(b.column(0).slice(at, length)), ordered)
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, length).filter(pa.array(failed < 0))], names=["_row"])
+                yield b.slice(at, length).filter(pa.array(failed < 0))
 
-    return src.mapInArrow(run, src.select("_row").schema).select("_row.*")
+    kept = src.mapInArrow(run, src.schema)
+    return kept.select(*[F.col("_text" if c == text_col else f"_row.`{c}`").alias(c) for c in docs.columns])
