@@ -265,7 +265,8 @@ def components(docs: DataFrame, **options) -> DataFrame:
     named = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("root"))
     named = materialize(named, "named")
-    smallest = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("smallest"))
+    # written, so that the join is between two exchanges and a large component's rows can be split
+    smallest = materialize(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("smallest")), "smallest")
     by_set = materialize(named.join(smallest, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "smallest"), "by-set")
     out = members.join(by_set, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
