@@ -1,8 +1,7 @@
 """Plan checks: the DataFrame operators stay JVM-side.
 
 Only the documented Arrow kernels may put a Python node in a plan: the kNN
-block task (kNN, SMOTE), the Gramian of correlation matrices with more than
-8 pairs, and model-level jobs (fits, explanations, sweeps), which are not
+block task (kNN, SMOTE), the moment matrices behind correlations, and model-level jobs (fits, explanations, sweeps), which are not
 built here.
 """
 
@@ -10,15 +9,13 @@ import pytest
 
 from conftest import SF0001
 
-import __spark_entry__ as entry_mod
-
-QUERIES = entry_mod.queries()
+from eventlens.plans.catalog import QUERIES
 
 MODEL_LEVEL = {"train_random_forest", "train_gbt", "train_adaboost", "train_rusboost", "train_logit",
                "train_svm", "train_mlp", "one_shot", "grid_sweep", "per_model_configs", "explain_models",
                "shapley_sampling", "logit_analysis", "backward_select", "wald_table", "svm_weights",
-               "background_kmeans", "vif_prune", "odds_ratios"}
-ARROW_ALLOWED = {"knn_join", "smote", "corr_matrix", "corr_prune"}
+               "background_kmeans", "vif_prune", "odds_ratios", "wald_one_flag", "odds_one_flag"}
+ARROW_ALLOWED = {"knn_join", "smote", "corr_matrix", "corr_prune", "target_corr", "sort_by_abs"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                 "FlatMapCoGroupsInPandas", "PythonUDF", "MapInArrow")
 
