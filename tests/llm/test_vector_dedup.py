@@ -101,3 +101,55 @@ def test_audit_widens_the_beam():
     found = vector_dedup.find_links(g, x, x, 0.8, 1, 64, 0.95)
     truth = x @ x.T >= 0.8
     assert (found & truth).sum() >= 0.85 * truth.sum() and not (found & ~truth).any()
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def poor(x):
+    g = Graph(x).build()
+    g.layers = [(nodes, links[:, :2]) for nodes, links in g.layers]
+    return g
+
+
+def pairs_and_a_group(n=4096, width=24):
+    """A third of the vectors are near copies of one, the others are pairs."""
+    rng = np.random.default_rng(5)
+    group = unit(rng.normal(size=(1, width))) + rng.normal(scale=0.02, size=(n // 3, width))
+    first = unit(rng.normal(size=((n - n // 3) // 2, width)))
+    x = unit(np.concatenate([group, first, first + rng.normal(scale=0.04, size=first.shape)]))
+    return x[rng.permutation(len(x))]
+
+
+def test_audit_counts_queries_not_links():
+    x = pairs_and_a_group()
+    truth = x @ x.T >= 0.93
+    g = Graph(x).build()
+    lost = np.nonzero(truth.sum(axis=1) < 10)[0][::2]  # no way to half of those in pairs
+    g.layers = [(nodes, np.where(np.isin(nodes[links], lost), -1, links)) for nodes, links in g.layers]
+    found = vector_dedup.find_links(g, x, x, 0.93, 32, 64, 0.99)
+    found |= found.T
+    whole = (found & truth).sum(axis=1) >= 0.99 * truth.sum(axis=1)
+    assert whole.mean() >= 0.99 and not (found & ~truth).any()
+    audit = vector_dedup.audited_links(g, x, x, 0.93, 32, 64, 0.99, own=True)[1]
+    assert audit["passed"] >= 0.99 * audit["audited"] and audit["audited"] == 128
+
+
+def test_audit_of_shards_with_few_common_partners():
+    rng = np.random.default_rng(6)
+    x = unit(rng.normal(size=(4096, 24)))
+    q = unit(rng.normal(size=(4096, 24)))
+    some = rng.choice(4096, 20, replace=False)
+    q[some] = unit(x[rng.choice(4096, 20, replace=False)] + rng.normal(scale=0.04, size=(20, 24)))
+    truth = q @ x.T >= 0.93
+    assert truth[np.linspace(0, 4095, 64).astype(int)].sum() == 0  # an even sample of the queries has no answer
+    found = vector_dedup.find_links(poor(x), x, q, 0.93, 32, 64, 0.99)
+    assert truth.sum() >= 20 and (found == truth).all()
+
+
+def test_audit_rows_per_label(spark):
+    rows = [(i, v, i % 2) for i, v in enumerate(clusters(400))]
+    got = vector_dedup.search_audits(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), shard_rows=90).collect()
+    assert sorted(r.label for r in got) == [0, 1]
+    assert all(r.pairs == 6 and r.audited > 0 and r.passed >= 0.99 * r.audited and r.found <= r.true for r in got)
