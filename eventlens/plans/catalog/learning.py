@@ -49,29 +49,26 @@ def _eval(scorer, test, name):
 @query("train_random_forest")
 def q_train_random_forest(spark, sf):
     b = _split(spark, sf)
-    return _eval(T.fit_random_forest(b.train, b.features, Y, n_trees=40, max_depth=10), b.test, "RandomForest")
+    return _eval(T.fit_random_forest(b.train, b.features, Y), b.test, "RandomForest")
 
 
 @query("train_gbt")
 def q_train_gbt(spark, sf):
     b = _split(spark, sf)
     n0, n1 = [b.train.where(F.col(Y) == v).count() for v in (0, 1)]
-    return _eval(T.fit_gbt(b.train, b.features, Y, n_estimators=20, max_depth=4, scale_pos_weight=n0 / max(n1, 1)),
-                 b.test, "GBT")
+    return _eval(T.fit_gbt(b.train, b.features, Y, scale_pos_weight=n0 / max(n1, 1)), b.test, "GBT")
 
 
 @query("train_adaboost")
 def q_train_adaboost(spark, sf):
     b = _split(spark, sf)
-    return _eval(T.fit_boost(b.train, b.features, Y, n_estimators=8, learning_rate=0.5, id_col=ID,
-                             checkpoint_every=4), b.test, "AdaBoost")
+    return _eval(T.fit_boost(b.train, b.features, Y, id_col=ID), b.test, "AdaBoost")
 
 
 @query("train_rusboost")
 def q_train_rusboost(spark, sf):
     b = _split(spark, sf)
-    return _eval(T.fit_boost(b.train, b.features, Y, n_estimators=5, learning_rate=0.5, undersample=True,
-                             id_col=ID), b.test, "RUSBoost")
+    return _eval(T.fit_boost(b.train, b.features, Y, undersample=True, id_col=ID), b.test, "RUSBoost")
 
 
 @query("train_logit")
@@ -83,13 +80,13 @@ def q_train_logit(spark, sf):
 @query("train_svm")
 def q_train_svm(spark, sf):
     tr, te, feats = _prepared(spark, sf)
-    return _eval(T.fit_svm(tr, feats, Y, C=1.0, kernel="rbf", n_components=64, max_iter=50), te, "SVM")
+    return _eval(T.fit_svm(tr, feats, Y, C=1.0, kernel="rbf"), te, "SVM")
 
 
 @query("train_mlp")
 def q_train_mlp(spark, sf):
     tr, te, feats = _prepared(spark, sf)
-    return _eval(T.fit_mlp(tr, feats, Y, hidden=(16, 8), max_iter=50), te, "MLP")
+    return _eval(T.fit_mlp(tr, feats, Y), te, "MLP")
 
 
 @query("background_kmeans")
@@ -177,7 +174,7 @@ def q_logit_analysis(spark, sf):
 @query("svm_weights")
 def q_svm_weights(spark, sf):
     tr, te, feats = _prepared(spark, sf)
-    svm = T.fit_svm(tr, feats, Y, C=1.0, kernel="linear", max_iter=50)
+    svm = T.fit_svm(tr, feats, Y, C=1.0, kernel="linear")
     return rounded(spark.createDataFrame(T.linear_weights(svm), "feature string, weight double"))
 
 
@@ -279,19 +276,19 @@ def q_directional_probe(spark, sf):
 def q_shapley_sampling(spark, sf):
     """Sampling Shapley values of a random forest for every test row."""
     b = _split(spark, sf)
-    rf = T.fit_random_forest(b.train, b.features, Y, n_trees=20, max_depth=6)
-    bg = X.background_sample(b.train, ID, 50)
-    return rounded(X.sampling_shapley(rf, b.test, bg, b.features, ID, n_perm=2))
+    rf = T.fit_random_forest(b.train, b.features, Y)
+    bg = X.background_sample(b.train, ID)
+    return rounded(X.sampling_shapley(rf, b.test, bg, b.features, ID))
 
 
 @query("explain_models")
 def q_explain_models(spark, sf):
-    """Permutation importance (F1, 3 repeats) of two fitted models, side by side."""
+    """Permutation importance (F1, 30 repeats) of two fitted models, side by side."""
     b = _split(spark, sf)
     parts = []
-    for name, scorer in (("RandomForest", T.fit_random_forest(b.train, b.features, Y, n_trees=20, max_depth=6)),
-                         ("GBT", T.fit_gbt(b.train, b.features, Y, n_estimators=10, max_depth=3))):
-        imp = X.permutation_importance(scorer, b.test, b.features, Y, ID, repeats=3)
+    for name, scorer in (("RandomForest", T.fit_random_forest(b.train, b.features, Y)),
+                         ("GBT", T.fit_gbt(b.train, b.features, Y))):
+        imp = X.permutation_importance(scorer, b.test, b.features, Y, ID)
         parts.append(imp.select(F.lit(name).alias("model"), "feature", F.col("mean_drop").alias("v")))
     from ...operators.reshape import importance_pivot, union_results
     return rounded(importance_pivot(union_results(parts), "feature", "model", "v", ["RandomForest", "GBT"]))
@@ -299,14 +296,14 @@ def q_explain_models(spark, sf):
 
 # --- sweeps ------------------------------------------------------------------------
 
-_SMALL = {"cut_year": CUT, "rf_n_estimators": 20, "rf_max_depth": 6, "xgb_n_estimators": 10,
-          "xgb_max_depth": 3, "ada_n_estimators": 4, "rus_n_estimators": 3, "logit_C": 1.0}
+#: What differs from ``sweep.BASE_CONFIG``.
+_RUN = {"cut_year": CUT}
 
 
 @query("one_shot")
 def q_one_shot(spark, sf):
     """One configuration, several models, one split."""
-    return rounded(SW.run_config(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, _SMALL,
+    return rounded(SW.run_config(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, _RUN,
                                  ["Baseline_Majority", "Baseline_PriorRate", "RandomForest", "XGBoost", "Logit"],
                                  THRESHOLDS))
 
@@ -314,14 +311,14 @@ def q_one_shot(spark, sf):
 @query("grid_sweep")
 def q_grid_sweep(spark, sf):
     """Grid over forest size and threshold: de-duplicated runs, thresholds as data."""
-    grid = {"rf_n_estimators": [10, 20], "rf_max_depth": [4, 6], "threshold": [0.4, 0.5]}
+    grid = {"rf_n_estimators": [100, 200, 300, 400], "rf_max_depth": [7, 10, 13], "threshold": [0.3, 0.5, 0.7]}
     results, best = SW.grid_sweep(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, grid,
-                                  ["Baseline_Majority", "RandomForest"], _SMALL)
+                                  ["Baseline_Majority", "RandomForest"], _RUN)
     return rounded(best)
 
 
 @query("per_model_configs")
 def q_per_model_configs(spark, sf):
-    cfgs = {"rf": dict(_SMALL, rf_n_estimators=15), "logit": dict(_SMALL, logit_C=0.1, logit_penalty="l1"),
-            "ada": dict(_SMALL, ada_n_estimators=3)}
+    cfgs = {"rf": dict(_RUN, rf_n_estimators=200, rf_max_depth=10), "logit": dict(_RUN, logit_C=0.1, logit_penalty="l1"),
+            "ada": dict(_RUN, ada_n_estimators=300, ada_learning_rate=0.2)}
     return rounded(SW.per_model_configs(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, cfgs))

@@ -287,21 +287,29 @@ def linear_weights(scorer: SVMScorer) -> list[tuple[str, float]]:
 
 # --- SAMME boosting (AdaBoost / RUSBoost) -------------------------------------
 
+def _tree_column(node, features: Sequence[str]) -> Column:
+    """The prediction of a fitted tree's node as a column. Splits are of
+    numbers; what is missing goes to the right, as NaN does in MLlib."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return F.lit(float(node.prediction()))
+    split = node.split()
+    value = F.coalesce(F.col(features[split.featureIndex()]).cast("double"), F.lit(float("nan")))
+    return F.when(value <= F.lit(float(split.threshold())), _tree_column(node.leftChild(), features)).otherwise(
+        _tree_column(node.rightChild(), features))
+
+
 @dataclass
 class BoostScorer(Scorer):
     name: str
     stages: list = field(default_factory=list)   # (alpha, PipelineModel)
 
     def score(self, df: DataFrame) -> DataFrame:
-        cur = df
         total = sum(a for a, _ in self.stages) or 1.0
-        acc = F.lit(0.0)
-        for i, (alpha, m) in enumerate(self.stages):
-            cur = m.transform(cur).withColumnRenamed("prediction", f"_p{i}").drop(FEATURES, "rawPrediction",
-                                                                                 "probability")
-            acc = acc + F.lit(alpha) * (2 * F.col(f"_p{i}") - 1)
-        d = acc / F.lit(total)
-        out = cur.withColumn("p", sigmoid(d))
+        # one array of all votes: a plan of one projection, however many rounds there are
+        votes = F.array(*[F.lit(alpha) * (2 * _tree_column(m.stages[-1]._call_java("rootNode"), m.stages[0].getInputCols()) - 1)
+                          for alpha, m in self.stages])
+        d = F.aggregate(votes, F.lit(0.0), lambda acc, v: acc + v) / F.lit(total)
+        out = df.withColumn("p", sigmoid(d))
         return out.select(*df.columns, "p", (F.col("p") >= 0.5).cast("int").alias("native_pred"))
 
 
