@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.tables import table
-from . import chat, mix, ngram_join, packing, pii, quality, shard, token_files, url_model, vector_dedup
+from . import chat, conv_trie, fim, line_dedup, mix, ngram_join, packing, pii, quality, shard, token_files, url_model, vector_dedup
 from . import sql as oracle
 
 
@@ -90,7 +90,44 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY, found_col="n_replaced")
 
 
+def op11_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Turns a conversation may take over from the first one of its hundred.
+HEAD = 5
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns of conversations whose first turns are those of the
+    first one of their hundred, and all conversations."""
+    turns = materialize(turns, "turns")
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    base, h = (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), F.coalesce(F.crc32(F.col("conv_id").cast("string")) % (HEAD + 1), F.lit(0)).alias("h")
+    there = sizes.select(F.col("conv_id").alias("b"), F.col("n").alias("base_n"))
+    convs = sizes.select("conv_id", base, h).join(there, F.col("base") == F.col("b"), "left")
+    convs = materialize(convs.select("conv_id", "base", "h", F.least("h", F.coalesce("base_n", F.lit(0))).alias("taken")), "rebuilt")
+    own = convs.select(F.col("conv_id").alias("c"), "h", "taken")
+    tails = turns.join(own, F.col("conv_id").eqNullSafe(F.col("c"))).where("ord > h").select("conv_id", (F.col("ord") - F.col("h") + F.col("taken")).alias("ord"), "id", "chars")
+    first = turns.where((F.col("ord") <= HEAD) & (F.col("conv_id") % 100 == 0)).select(F.col("conv_id").alias("b"), "ord", "id", "chars")
+    heads = convs.join(first, (F.col("base") == F.col("b")) & (F.col("ord") <= F.col("taken"))).select("conv_id", "ord", "id", "chars")
+    return heads.unionByName(tails), convs.select("conv_id")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.prefix_trie(*rebuilt(conv_trie.number_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = fim.restore(F.col("output"), F.col("form"))
+    return fim.fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_ratio, op2_histogram_shards, op3_token_files, op4_mix_sources, op5_pack_online,
-                                   op6_chat_round_trip, op7_quality_cascade, op8_hnsw_dedup, op9_ngram_jaccard, op10_feistel_pseudonyms)}
+                                   op6_chat_round_trip, op7_quality_cascade, op8_hnsw_dedup, op9_ngram_jaccard, op10_feistel_pseudonyms,
+                                   op11_line_bitmaps, op12_conversation_trie, op13_fill_in_middle)}
 
-ORACLES = {"op1_url_ratio": oracle.URLS, "op4_mix_sources": oracle.MIX, "op6_chat_round_trip": oracle.CHAT, "op7_quality_cascade": oracle.QUALITY}
+ORACLES = {"op1_url_ratio": oracle.URLS, "op4_mix_sources": oracle.MIX, "op6_chat_round_trip": oracle.CHAT, "op7_quality_cascade": oracle.QUALITY,
+           "op11_line_bitmaps": oracle.LINES, "op12_conversation_trie": oracle.TRIE, "op13_fill_in_middle": oracle.MIDDLE}

@@ -145,3 +145,69 @@ FROM ruled CROSS JOIN thr LEFT JOIN sc ON sc.url = ruled.url
 
 
 URLS = _url_model()
+
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, text, generate_subscripts(x, 1) AS pos, unnest(x) AS line
+  FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+gone AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT (doc_id, text)) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN gone ON k.key = gone.key GROUP BY doc_id
+"""
+
+# crc32 of a decimal id, bit by bit: a byte goes in by XOR, -1 stands for a shift; 3988292384 is the polynomial (fixed value)
+_CRC32 = """xor(4294967295, list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT conv_id, turn, length(text) AS chars, md5(length(role) || ':' || role || text) AS id FROM t),
+o AS (SELECT conv_id, id, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS ord FROM k),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM o GROUP BY conv_id),
+p AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (
+  SELECT p.conv_id, o.ord, o.id, o.chars FROM p JOIN o ON o.conv_id = p.base AND o.ord <= p.m
+  UNION ALL SELECT p.conv_id, o.ord - p.h + p.m, o.id, o.chars FROM p JOIN o ON o.conv_id = p.conv_id AND o.ord > p.h),
+s AS (
+  SELECT conv_id, ord AS depth, chars, string_agg(id, ',') OVER (PARTITION BY conv_id ORDER BY ord) AS path,
+         max(ord) OVER (PARTITION BY conv_id) AS last FROM r),
+m AS (
+  SELECT conv_id, depth, chars, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, depth = last AS ends FROM s
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (
+  SELECT depth, path, any_value(parent) AS parent, min(conv_id) AS rep, count(*) AS n_convs, (count(*) - 1) * max(chars) AS own,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended
+  FROM m GROUP BY depth, path),
+ch AS (SELECT parent, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+u AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children FROM n LEFT JOIN ch ON ch.parent = n.path),
+sub AS (
+  SELECT m.depth, m.path, sum(u.own) AS saved, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM u JOIN m ON m.conv_id = u.rep AND m.depth <= u.depth GROUP BY m.depth, m.path)
+SELECT u.rep AS conv_id, CAST(u.depth AS BIGINT) AS depth, q.rep AS parent_conv_id, u.n_convs, CAST(u.n_children AS BIGINT) AS n_children,
+       CAST(sub.n_leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(u.ended) AS ends_sha256
+FROM u JOIN sub ON sub.depth = u.depth AND sub.path = u.path LEFT JOIN u q ON q.path = u.parent AND q.depth = u.depth - 1
+"""
+
+MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM x),
+p AS (
+  SELECT doc_id, text, CAST(n AS BIGINT) AS n, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
