@@ -49,11 +49,13 @@ def topk(df: DataFrame, n: int, desc: Sequence[str] = (), asc: Sequence[str] = (
     return df.orderBy(*order).limit(n)
 
 
-def sort_by_abs(df: DataFrame, col: str, name: str, rank: str = "rank") -> DataFrame:
-    """Rank rows by |col| descending (ties by name) - for per-feature tables
-    (one row per feature, so a no-partition window is bounded)."""
+def sort_by_abs(df: DataFrame, col: str, name: str, rank: str = "rank", digits: int = 9) -> DataFrame:
+    """Rank rows by |col| descending, ties by name - for per-feature tables
+    (one row per feature, so a no-partition window is bounded). Values that
+    agree in ``digits`` decimals are ties: the last bits of a computed value
+    are no order."""
     from pyspark.sql import Window
-    w = Window.orderBy(F.abs(F.col(col)).desc_nulls_last(), F.col(name))
+    w = Window.orderBy(F.round(F.abs(F.col(col)), digits).desc_nulls_last(), F.col(name))
     return df.withColumn(rank, F.row_number().over(w).cast("int"))
 
 

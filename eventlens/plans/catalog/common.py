@@ -22,6 +22,18 @@ def nul_sql(key: str, c: str, mod: int = 7) -> str:
     return f"CASE WHEN {key} % {mod} = 0 THEN NULL ELSE {c} END"
 
 
+def with_null_keys(df: DataFrame, id_col: str, key: str, mod: int = 7) -> DataFrame:
+    """``df`` and, as further rows with negative ids, every ``mod``-th row
+    without its ``key``: the real keys stay joined."""
+    extra = df.where(F.col(id_col) % mod == 0)
+    return df.unionByName(extra.withColumns({key: F.lit(None).cast(df.schema[key].dataType), id_col: -F.col(id_col)}))
+
+
+def with_null_keys_sql(table_name: str, id_col: str, key: str, mod: int = 7) -> str:
+    return (f"(SELECT * FROM {table_name} UNION ALL SELECT * REPLACE (-{id_col} AS {id_col}, NULL AS {key}) "
+            f"FROM {table_name} WHERE {id_col} % {mod} = 0)")
+
+
 def orders_y(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").withColumn("y", binary_target("o_orderstatus", "F"))
 

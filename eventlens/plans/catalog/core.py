@@ -12,7 +12,7 @@ from ...operators.joins import left_join, preagg_left_join
 from ...operators.pit import prior_experience
 from ...sources.tables import table
 from ..registry import query, rounded
-from .common import Y_SQL, lines, orders_y
+from .common import lines, orders_y, with_null_keys, with_null_keys_sql, Y_SQL
 
 # Experience bin edges (right-closed) of the two summaries; the last bin has no end.
 ROCKET_EDGES = [-1, 0, 4, 9, 24, float("inf")]
@@ -74,7 +74,7 @@ SELECT {_case_bins('n', ROCKET_EDGES, ROCKET_LABELS)} AS experience,
        round(avg(y), 6) AS success_rate,
        CAST(sum(lines_missing) AS BIGINT) AS orders_without_lines,
        round(avg(line_count), 6) AS avg_lines
-FROM p WHERE n > -1 AND n <= 999
+FROM p WHERE n > {ROCKET_EDGES[0]}{_upto('n', ROCKET_EDGES[-1])}
 GROUP BY ALL
 """
 
@@ -209,27 +209,27 @@ def q_learning_curve(spark, sf):
 
 # --- joins ------------------------------------------------------------------
 
-@query("left_join_renamed_key", """
+@query("left_join_renamed_key", f"""
 SELECT o.o_orderkey, o.o_custkey, c.c_custkey AS c_custkey_cu, c.c_mktsegment AS c_mktsegment_cu,
        round(c.c_acctbal, 6) AS c_acctbal_cu
-FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders) o
+FROM {with_null_keys_sql('orders', 'o_orderkey', 'o_custkey')} o
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
 def q_left_join_renamed_key(spark, sf):
-    """Fact left-join a dimension whose columns get a suffix; orders with a
-    null key find no match."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"))
+    """Fact left-join a dimension whose columns get a suffix; the added rows
+    with a null key find no match."""
+    o = with_null_keys(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     return rounded(left_join(o, c, "o_custkey", "c_custkey", suffix="_cu"))
 
 
-@query("snowflake_join", """
+@query("snowflake_join", f"""
 SELECT c.c_custkey, n.n_name AS n_name_na, n.n_regionkey AS n_regionkey_na, r.r_name AS r_name_re
-FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer) c
+FROM {with_null_keys_sql('customer', 'c_custkey', 'c_nationkey', 5)} c
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def q_snowflake_join(spark, sf):
     """customer -> nation -> region; the second key comes from the first join."""
-    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey"))
+    c = with_null_keys(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", 5)
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
     j = left_join(c, n, "c_nationkey", "n_nationkey", suffix="_na", bounded=True)  # nation: 25 rows

@@ -15,7 +15,7 @@ from ...operators.sampling import temporal_split
 from ...sources.tables import table
 from ..cleaning import Dim, star_join
 from ..registry import query, rounded
-from .common import Y_SQL, nul, nul_sql, orders_y
+from .common import nul, nul_sql, orders_y, with_null_keys, with_null_keys_sql, Y_SQL
 from .core import order_facts
 
 # --- describe -----------------------------------------------------------------
@@ -73,7 +73,7 @@ _HIST_SRC = f"(SELECT {nul_sql('event_id', 'value', 13)} AS v FROM events)"
 
 
 @query("histogram30", f"""WITH s AS (SELECT min(v) AS lo, max(v) AS hi FROM {_HIST_SRC}),
-  b AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / 30)) + 1, 30) AS INTEGER) AS bucket, lo, hi
+  b AS (SELECT CASE WHEN v IS NOT NULL THEN CAST(least(floor((v - lo) / ((hi - lo) / 30)) + 1, 30) AS INTEGER) END AS bucket, lo, hi
         FROM {_HIST_SRC}, s)
 SELECT bucket, round(CASE WHEN bucket IS NULL THEN NULL ELSE any_value(lo) + (bucket - 1) * ((any_value(hi) - any_value(lo)) / 30) END, 6) AS lo,
        round(CASE WHEN bucket IS NULL THEN NULL ELSE any_value(lo) + bucket * ((any_value(hi) - any_value(lo)) / 30) END, 6) AS hi,
@@ -276,8 +276,7 @@ def q_imbalance_ratio(spark, sf):
 # --- star join ------------------------------------------------------------------
 
 def _orders_some_anonymous(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")))
+    return with_null_keys(table(spark, sf, "orders"), "o_orderkey", "o_custkey")
 
 
 @query("star_join", f"""WITH li AS (SELECT l_orderkey, count(l_linenumber) AS line_count,
@@ -285,7 +284,7 @@ def _orders_some_anonymous(spark, sf):
   pr AS (SELECT o_orderpriority AS prio, count(*) AS prio_orders FROM orders GROUP BY 1)
 SELECT o.o_orderkey, c.c_mktsegment AS c_mktsegment_cu, n.n_name AS n_name_na, r.r_name AS r_name_re,
        li.line_count, round(li.total_price, 6) AS total_price, pr.prio_orders
-FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders) o
+FROM {with_null_keys_sql('orders', 'o_orderkey', 'o_custkey')} o
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
@@ -296,7 +295,7 @@ def q_star_join(spark, sf):
     rollup + a per-priority table derived from orders; fact row count preserved."""
     o = _orders_some_anonymous(spark, sf)
     cust = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    prio = o.groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
+    prio = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
     dims = [
         Dim(cust, "o_custkey", "c_custkey", suffix="_cu"),
         Dim(table(spark, sf, "nation"), "c_nationkey_cu", "n_nationkey", suffix="_na", bounded=True),
@@ -315,7 +314,7 @@ _PIPE_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
               "line_count", "lines_missing", "prio_orders"]
 
 
-@query("star_join_pipeline", """WITH li AS (SELECT l_orderkey, coalesce(sum(l_quantity), 0) AS total_qty,
+@query("star_join_pipeline", f"""WITH li AS (SELECT l_orderkey, coalesce(sum(l_quantity), 0) AS total_qty,
                     coalesce(sum(l_extendedprice), 0) AS total_price, count(l_linenumber) AS line_count
              FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1),
   pr AS (SELECT o_orderpriority AS prio, count(*) AS prio_orders FROM orders GROUP BY 1)
@@ -325,7 +324,7 @@ SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, round(o.o_totalprice, 6) AS o
        round(coalesce(li.total_qty, 0), 6) AS total_qty, round(coalesce(li.total_price, 0), 6) AS total_price,
        coalesce(li.line_count, 0) AS line_count,
        CAST(CASE WHEN li.line_count IS NULL THEN 1 ELSE 0 END AS INTEGER) AS lines_missing, pr.prio_orders
-FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders) o
+FROM {with_null_keys_sql('orders', 'o_orderkey', 'o_custkey')} o
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
@@ -340,7 +339,7 @@ def q_star_join_pipeline(spark, sf):
     o = _orders_some_anonymous(spark, sf)
     cust = table(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
-    prio = o.groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
+    prio = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("prio")).agg(F.count(F.lit(1)).alias("prio_orders"))
     dims = [
         Dim(cust, "o_custkey", "c_custkey", suffix="_cu"),
         Dim(table(spark, sf, "nation"), "c_nationkey_cu", "n_nationkey", suffix="_na", bounded=True),

@@ -50,7 +50,7 @@ def q_first_failures(spark, sf):
     return R.topk(o, 20, asc=["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
-@query("sort_by_abs", "SELECT feature, round(r, 6) AS r, CAST(row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, "
+@query("sort_by_abs", "SELECT feature, round(r, 6) AS r, CAST(row_number() OVER (ORDER BY round(abs(r), 9) DESC NULLS LAST, "
                       "feature) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
                           f"SELECT '{c}' AS feature, {_corr_expr(c, 'y')} AS r FROM {_CORR_SRC}" for c in _CORR_COLS)
                       + ")")

@@ -112,3 +112,21 @@ def test_knn_far_from_the_origin(spark, offset):
     for i in range(200):
         order = sorted((d[i, j], j) for j in range(200))[:5]
         assert [got[i, k + 1] for k in range(5)] == [j for _, j in order]
+
+
+def test_experience_bin_has_no_end(spark, tmp_path):
+    """A customer with more than 1,000 earlier orders is in the last bin, in the query and in its SQL."""
+    from oracle import compare
+    import duckdb
+    from eventlens.plans.catalog.core import EXPERIENCE_SQL, experience_outcome
+    o = spark.range(1, 1301).selectExpr("id AS o_orderkey", "CAST(if(id <= 1250, 1, id) AS BIGINT) AS o_custkey", "if(id % 3 = 0, 'F', 'O') AS o_orderstatus",
+                                        "date_add(date'1995-01-01', CAST(id AS INT)) AS o_orderdate", "CAST(id AS DOUBLE) AS o_totalprice", "'1-URGENT' AS o_orderpriority")
+    li = spark.range(1, 900).selectExpr("id AS l_orderkey", "CAST(1 AS BIGINT) AS l_linenumber", "CAST(2 AS DOUBLE) AS l_quantity", "CAST(3 AS DOUBLE) AS l_extendedprice")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = experience_outcome(spark, str(tmp_path))
+    assert not compare(got, con, EXPERIENCE_SQL)
+    assert sum(r["n"] for r in got.collect()) == 1300
