@@ -10,14 +10,17 @@ key, kind, round and the other half.
 ============ ========================================= ===========================
 kind         validated by                              permuted
 ============ ========================================= ===========================
-card         13 to 19 digits (or 4-4-4-4), Luhn sum    all but the first and the
-                                                       check digit, made anew
-iban         country, length, remainder 1 modulo 97    digits of the account part;
-                                                       check digits made anew
+card         13 to 19 digits (or 4-4-4-4 or 4-6-5),    all but the first and the
+             Luhn sum                                  check digit, made anew
+iban         country, length, remainder 1 modulo 97;   digits of the account part;
+             also in groups of four                    check digits made anew
 ssn          3-2-4 digits, issued ranges               within the issued ranges
-phone        +1 or separators, 3-3-4 digits            the ten digits
+phone        +1 or separators, 3-3-4 digits; another   the ten digits; those after
+             country's with 5 to 14 digits             the country (two if unbroken)
 ipv4         four numbers up to 255                    the 32 bits
-date         a day from 1900-01-01 on, 73,000 days     the day; its notation stays
+date         a day of the years 1 to 9999, also        the day within 1900-01-01 to
+             before a time; dd/MM where MM/dd fails    2099-11-12, before or after;
+                                                       its notation stays
 email        local part at a domain                    letters and digits of the
                                                        local part, class by class
 secret       16 or more hex digits named as such       the hex digits
@@ -36,20 +39,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-FIRST_DAY, DAYS = "1900-01-01", (250, 292)
+FIRST_DAY = "1900-01-01"
+#: Ranges of days that are permuted within themselves: first day (from ``FIRST_DAY``) and two factors of their number.
+DAYS = ((0, 250, 292), (-693595, 5, 138719), (73000, 1231, 2344))
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 SECRET = r"(?<![\p{L}\p{N}])(?i:token|secret|password|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}\"?[0-9A-Fa-f]{16,}+(?![\p{L}\p{N}])"
 ACCESS_KEY = r"(?<![\p{L}\p{N}])A[KS]IA[A-Z0-9]{16}(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}+(])(?:\+1[ .-]?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])|\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
+ABROAD = r"(?<![\p{L}\p{N}+(])\+[2-9](?:[0-9]{0,2}(?:[ .-][0-9]{2,8}){1,5}+|[0-9]{7,14}+)(?![\p{L}\p{N}])"
 IPV4 = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
-DATE = (r"(?<![\p{L}\p{N}-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}-])|(?<![\p{L}\p{N}/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\p{L}\p{N}/])"
+DATE = (r"(?<![\p{L}\p{N}-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?!(?!T[0-9])[\p{L}\p{N}-])|(?<![\p{L}\p{N}/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\p{L}\p{N}/])"
         r"|(?<![\p{L}\p{N}.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\p{L}\p{N}])")
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![\p{L}\p{N}])"
-CARD = (r"(?<![\p{L}\p{N}])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{13,19}+)(?![\p{L}\p{N}])")
-KINDS = {"email": EMAIL, "secret": SECRET, "access key": ACCESS_KEY, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "date": DATE, "ipv4": IPV4}
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}(?![\p{L}\p{N}])){2,7}+(?: [A-Z0-9]{1,3})?+)(?![\p{L}\p{N}])"
+CARD = (r"(?<![\p{L}\p{N}])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}"
+        r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19}+)(?![\p{L}\p{N}])")
+KINDS = {"email": EMAIL, "secret": SECRET, "access key": ACCESS_KEY, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "phone abroad": ABROAD, "date": DATE, "ipv4": IPV4}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -127,14 +134,29 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _refill(m: Column, new: Column) -> Column:
+    """``m`` with its letters and digits replaced, one by one, by ``new``'s."""
+    def put(s: Column, c: Column) -> Column:
+        real = ((c >= "0") & (c <= "9") | (c >= "A") & (c <= "Z")) & (c != "")
+        return F.struct(F.concat(s["t"], F.when(real, F.substr(new, s["k"], F.lit(1))).otherwise(c)).alias("t"), (s["k"] + F.when(real, 1).otherwise(0)).alias("k"))
+
+    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), put, lambda s: s["t"])
+
+
 def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[ -]", "")
-    n = F.length(digits)
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permute_digits(F.substr(digits, F.lit(2), n - 2), key, "card"))
-    new = F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-    sep = F.substr(m, F.lit(5), F.lit(1))
-    grouped = F.concat_ws("", *[x for k in (1, 5, 9, 13) for x in (F.substr(new, F.lit(k), F.lit(4)), *([sep] if k < 13 else []))])
-    return F.when(luhn_sum(digits) % 10 != 0, m).when(n == F.length(m), new).otherwise(grouped)
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+
+    def renewed(digits: Column) -> Column:
+        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permute_digits(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card"))
+        return F.when(luhn_sum(digits) % 10 == 0, _refill(m, _let(body, checked))).otherwise(m)
+
+    return _let(F.regexp_replace(m, "[ -]", ""), renewed)
 
 
 def _mod97(text: Column) -> Column:
@@ -147,10 +169,22 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    land, rest = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5))
-    new = permute_text(rest, key, "iban", {"digit": LETTERS["digit"], "upper": LETTERS["upper"]})
-    check = F.lpad((98 - _mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_mod97(F.concat(rest, F.substr(m, F.lit(1), F.lit(4)))) == 1, F.concat(land, check, new)).otherwise(m)
+    """In groups, what follows may have been taken for one more group."""
+    def land(plain: Column) -> Column:
+        return F.substr(plain, F.lit(1), F.lit(2))
+
+    def renewed(part: Column, plain: Column) -> Column:
+        account = permute_text(F.substr(plain, F.lit(5)), key, "iban", {"digit": LETTERS["digit"], "upper": LETTERS["upper"]})
+        new = _let(account, lambda x: F.concat(land(plain), F.lpad((98 - _mod97(F.concat(x, land(plain), F.lit("00")))).cast("string"), 2, "0"), x))
+        return _refill(part, new)
+
+    def one(part: Column) -> Column:
+        """The part with a new account, null if it is no IBAN."""
+        return _let(F.replace(part, F.lit(" "), F.lit("")), lambda plain: F.when(_mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1, renewed(part, plain)))
+
+    parts = F.array(m, F.regexp_replace(m, " [A-Z0-9]+$", ""))
+    tried = F.transform(parts, lambda part: _let(one(part), lambda new: F.concat(new, F.substr(m, F.length(part) + 1))))
+    return F.coalesce(F.get(F.filter(tried, lambda t: t.isNotNull()), F.lit(0)), m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -164,16 +198,10 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    at = F.when(F.startswith(m, F.lit("+1")), 2).otherwise(0)
-    head, body = F.substr(m, F.lit(1), at), F.substr(m, at + 1)
-    d = permute_digits(F.regexp_replace(body, "[^0-9]", ""), key, "phone")
-
-    def put(s: Column, c: Column) -> Column:
-        is_digit = (c >= "0") & (c <= "9") & (c != "")
-        return F.struct(F.concat(s["t"], F.when(is_digit, F.substr(d, s["k"], F.lit(1))).otherwise(c)).alias("t"), (s["k"] + F.when(is_digit, 1).otherwise(0)).alias("k"))
-
-    start = F.struct(F.lit("").alias("t"), F.lit(1).alias("k"))
-    return F.concat(head, F.aggregate(F.split(body, ""), start, put, lambda s: s["t"]))
+    country = F.regexp_extract(m, r"^\+(?:1|[0-9]{1,3}(?=[ .-])|[0-9]{2})", 0)
+    body = F.substr(m, F.length(country) + 1)
+    digits = F.regexp_replace(body, "[^0-9]", "")
+    return F.when(F.length(digits).between(5, 14), F.concat(country, _refill(body, permute_digits(digits, key, "phone")))).otherwise(m)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -183,14 +211,24 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    out = m
-    for like, fmt in ((r"^[0-9]{4}-", "yyyy-MM-dd"), ("/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy")):
-        day = F.datediff(F.try_to_date(m, fmt), F.lit(FIRST_DAY).cast("date"))
-        a, b = DAYS
-        p = feistel(F.floor(day / b), day % b, F.lit(a), F.lit(b), key, "date")
-        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * b + p["r"]).cast("int")), fmt)
-        out = F.when(m.rlike(like) & (day >= 0) & (day < a * b), new).otherwise(out)
-    return out
+    american = F.try_to_date(m, "MM/dd/yyyy")
+    like = (F.when(m.rlike("^[0-9]{4}-"), "yyyy-MM-dd").when(F.contains(m, F.lit(".")), "dd.MM.yyyy")
+            .when(american.isNotNull(), "MM/dd/yyyy").otherwise("dd/MM/yyyy"))
+
+    def permuted(n: Column) -> Column:
+        first, a, b = (F.lit(x).cast("bigint") for x in (None, 1, 1))
+        for f, x, y in DAYS:
+            inside = (n >= f) & (n < f + x * y)
+            first, a, b = (F.when(inside, F.lit(v).cast("bigint")).otherwise(o) for v, o in ((f, first), (x, a), (y, b)))
+        return _let(F.struct((n - first).alias("n"), first.alias("first"), a.alias("a"), b.alias("b")), lambda r: _let(
+            feistel(F.floor(r["n"] / r["b"]), r["n"] % r["b"], r["a"], r["b"], key, "date"), lambda p: p["l"] * r["b"] + p["r"] + r["first"]))
+
+    def renamed(fmt: Column) -> Column:
+        day = F.datediff(F.call_function("try_to_date", m, fmt), F.lit(FIRST_DAY).cast("date"))
+        new = F.date_add(F.lit(FIRST_DAY).cast("date"), _let(day, permuted).cast("int"))
+        return F.coalesce(F.call_function("date_format", new, fmt), m)
+
+    return _let(like, renamed)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -217,22 +255,31 @@ def pseudonym(m: Column, key: str) -> Column:
             .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key))
             .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$"), _date(m, key))
             .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), _ipv4(m, key))
-            .when(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})$"), _card(m, key))
+            .when(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$"), _card(m, key))
             .otherwise(_phone(m, key)))
 
 
+#: Stands around found values while a text is split; texts that hold it are searched twice.
+MARK = "\x01"
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with ``text_col`` rewritten and, if named, ``found_col``: how
     many values were replaced."""
+    old, new = "_pii_old", "_pii_new"
+    while {old, new} & set(docs.columns):
+        old, new = old + "_", new + "_"
     text = F.col(f"`{text_col}`")
     suspect = text.rlike("[0-9@]|A[KS]IA")  # every pattern has one of these
-    src = docs.withColumn("_pii_found", F.when(suspect, F.regexp_extract_all(text, F.lit(ANY), 0)))
-    src = src.withColumn("_pii_new", F.transform("_pii_found", lambda m: pseudonym(m, key)))
-    pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), F.col("_pii_new").alias("n")), lambda z: F.concat(z["p"], F.coalesce(z["n"], F.lit("")))), "")
-    changed = F.coalesce(F.size("_pii_found"), F.lit(0)) > 0
-    out = src.withColumn(text_col, F.when(changed, joined).otherwise(text))
+    # found values at the odd places of an array, what is between them at the even ones: one search of the text
+    marked = F.split(F.regexp_replace(text, ANY, MARK + "$0" + MARK), MARK, -1)
+    found, between = F.regexp_extract_all(text, F.lit(ANY), 0), F.split(text, ANY, -1)
+    twice = F.flatten(F.transform(between, lambda p, i: F.when(i > 0, F.array(F.get(found, i - 1), p)).otherwise(F.array(p))))
+    src = docs.withColumn(old, F.when(suspect, F.when(F.contains(text, F.lit(MARK)), twice).otherwise(marked)))
+    src = src.withColumn(new, F.transform(old, lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p)))
+    changed = F.coalesce(F.size(old), F.lit(0)) > 1
+    out = src.withColumn(text_col, F.when(changed, F.array_join(new, "")).otherwise(text))
     if found_col:
-        replaced = F.size(F.filter(F.arrays_zip(F.col("_pii_found").alias("o"), F.col("_pii_new").alias("n")), lambda z: z["o"] != z["n"]))
+        replaced = F.size(F.filter(F.arrays_zip(F.col(old).alias("o"), F.col(new).alias("n")), lambda z: z["o"] != z["n"]))
         out = out.withColumn(found_col, F.when(changed, replaced).otherwise(0).cast("bigint"))
-    return out.drop("_pii_found", "_pii_new")
+    return out.drop(old, new)
