@@ -4,7 +4,7 @@ document-by-shingle incidence matrix (operator 9).
 Links are all pairs of different shingle sets whose Jaccard similarity is at
 least ``PERCENT`` / 100. The matrix is never multiplied out:
 
-1. Columns. Each document's distinct shingles (48-bit hashes) are dealt by
+1. Columns. Each document's distinct shingles (64-bit hashes) are dealt by
    hash into column blocks, packed as arrays; a task sends equal sets once. A
    block drops the copies of a set that several tasks sent, counts each shingle's documents and keeps the shingles of two
    sets or more.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .components import connected
 from .quality import slices
-from .words import mix64, plain, string_hashes, window_hashes, words_of
+from .words import giving_back, giving_back_batches, mix64, plain, string_hashes, window_hashes, words_of
 
 WIDTH = 5
 PERCENT = 75
@@ -92,9 +92,9 @@ def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return mix64(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-_PACKED = [("key", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("high", pa.binary()), ("low", pa.binary())]
-_PACKED_DDL = "key int, doc_ids array<bigint>, sids binary, sizes binary, counts binary, high binary, low binary"
-_COLUMN_DDL = "kind int, home int, doc_id bigint, n int, sid bigint, sids binary, sizes binary, counts binary, hashes binary, freqs binary"
+_PACKED = [("key", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("sids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]
+_PACKED_DDL = "key int, doc_ids array<bigint>, texts binary, sids binary, sizes binary, counts binary, hashes binary"
+_COLUMN_DDL = "kind int, home int, doc_id bigint, text_hash bigint, n int, sid bigint, sids binary, sizes binary, counts binary, hashes binary, freqs binary"
 
 
 def _pack(blocks: int, width: int):
@@ -108,25 +108,25 @@ def _pack(blocks: int, width: int):
                 new = np.zeros(rows, bool)  # a task sends the shingles of equal sets once
                 new[[i for i, s in zip(first.tolist(), sids[first].tolist()) if s not in sent]] = True
                 sent.update(sids[new].tolist())
-                h = full[np.repeat(new, sizes)] >> np.uint64(16)
+                h = full[np.repeat(new, sizes)]
                 block = (h % np.uint64(blocks)).astype(np.uint16 if blocks <= 65536 else np.int64)
                 order = np.argsort(block, kind="stable")
                 owner = np.repeat(np.arange(rows), np.where(new, sizes, 0))[order]
                 h, edges = h[order], np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
                 out = {name: [] for name, _ in _PACKED}
 
-                def add(key, doc_ids, s, z, c, hashes):
-                    values = (key, doc_ids, s.tobytes(), z.tobytes(), c.tobytes(), (hashes >> np.uint64(16)).astype(np.uint32).tobytes(), hashes.astype(np.uint16).tobytes())
+                def add(key, doc_ids, texts, s, z, c, hashes):
+                    values = (key, doc_ids, texts, s.tobytes(), z.tobytes(), c.tobytes(), hashes.tobytes())
                     for name, v in zip(out, values):
                         out[name].append(v)
 
                 none = np.zeros(0, np.uint64)
-                add(-1 - turn % blocks, b.column(0).slice(at, rows).to_pylist(), sids, sizes, none, none)
+                add(-1 - turn % blocks, b.column(0).slice(at, rows).to_pylist(), b.column(2).slice(at, rows).to_numpy(zero_copy_only=False).tobytes(), sids, sizes, none, none)
                 turn += 1
                 for k in np.nonzero(np.diff(edges))[0]:
                     own = owner[edges[k] : edges[k + 1]]  # ascending
                     docs, counts = np.unique(own, return_counts=True)
-                    add(int(k), None, sids[docs], sizes[docs], counts.astype(np.int32), h[edges[k] : edges[k + 1]])
+                    add(int(k), None, None, sids[docs], sizes[docs], counts.astype(np.int32), h[edges[k] : edges[k + 1]])
                 yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in _PACKED], names=[name for name, _ in _PACKED])
 
     return run
@@ -136,8 +136,8 @@ def _joined(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)
 
 
-_COLUMN_NAMES = ["kind", "home", "doc_id", "n", "sid", "sids", "sizes", "counts", "hashes", "freqs"]
-_COLUMN_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_COLUMN_NAMES = ["kind", "home", "doc_id", "text_hash", "n", "sid", "sids", "sizes", "counts", "hashes", "freqs"]
+_COLUMN_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _column_block(homes: int):
@@ -150,10 +150,10 @@ def _column_block(homes: int):
         if table.column("key")[0].as_py() < 0:
             n = len(sids)
             doc_ids = pc.list_flatten(table.column("doc_ids")).to_pylist()
-            out = dict.fromkeys(_COLUMN_NAMES, [None] * n) | {"kind": [0] * n, "doc_id": doc_ids, "n": sizes, "sid": sids}
+            out = dict.fromkeys(_COLUMN_NAMES, [None] * n) | {"kind": [0] * n, "doc_id": doc_ids, "text_hash": _joined(table, "texts", np.int64), "n": sizes, "sid": sids}
         else:
             counts = _joined(table, "counts", np.int32)
-            h = (_joined(table, "high", np.uint32).astype(np.uint64) << np.uint64(16)) | _joined(table, "low", np.uint16)
+            h = _joined(table, "hashes", np.uint64)
             _, first = np.unique(sids, return_index=True)  # one of the copies of each set
             kept = np.zeros(len(sids), bool)
             kept[first] = True
@@ -177,7 +177,7 @@ def _column_block(homes: int):
             for k in np.nonzero(np.diff(edges))[0]:
                 part = slice(edges[k], edges[k + 1])
                 own, c = np.unique(of[part], return_counts=True)
-                row = (1, int(k), None, None, None, sids[own].tobytes(), sizes[own].tobytes(), c.astype(np.int32).tobytes(), h[part].tobytes(), freq[part].astype(np.uint32).tobytes())
+                row = (1, int(k), None, None, None, None, sids[own].tobytes(), sizes[own].tobytes(), c.astype(np.int32).tobytes(), h[part].tobytes(), freq[part].astype(np.uint32).tobytes())
                 for name, v in zip(_COLUMN_NAMES, row):
                     out[name].append(v)
         return pa.Table.from_arrays([pa.array(out[name], kind) for name, kind in zip(_COLUMN_NAMES, _COLUMN_TYPES)], names=_COLUMN_NAMES)
@@ -208,17 +208,18 @@ def _rows(percent: int):
     return run
 
 
-def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, sid) and links between different sets (a, b)."""
+def spanning_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, sid) and links between different sets
+    (a, b): enough of them to span every component, not all."""
     spark = docs.sparkSession
     homes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = BLOCKS * homes
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = src.mapInArrow(_pack(blocks, width), _PACKED_DDL)
-    columns = materialize(packed.groupBy("key").applyInArrow(_column_block(homes), _COLUMN_DDL), "incidence")
-    members = columns.where("kind = 0").select("doc_id", F.col("n").cast("bigint").alias("n"), "sid")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    packed = src.mapInArrow(giving_back_batches(_pack(blocks, width)), _PACKED_DDL)
+    columns = materialize(packed.groupBy("key").applyInArrow(giving_back(_column_block(homes)), _COLUMN_DDL), "incidence")
+    members = columns.where("kind = 0").select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n"), "sid")
     sets = materialize(columns.where("kind = 1").select("home", "sids", "sizes", "counts", "hashes", "freqs").groupBy("home").applyInArrow(
-        _rows(percent), "sid bigint, n int, first int, prefix int, hashes array<bigint>"), "sets")
+        giving_back(_rows(percent)), "sid bigint, n int, first int, prefix int, hashes array<bigint>"), "sets")
 
     postings = materialize(sets.select("sid", "n", "first", F.posexplode(F.slice("hashes", F.lit(1), F.col("prefix"))))
                            .select("sid", "n", (F.col("first") + F.col("pos")).alias("at"), F.col("col").alias("h")), "postings")
@@ -257,16 +258,40 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return members, links.unionByName(verified(rest))
 
 
-def components(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and
-    ``component_id``, the smallest id reachable by links."""
-    members, links = linked_sets(docs, **options)
+def _named(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, text_hash, n, sid), and the sets (sid,
+    least id, root: the component's smallest set)."""
+    members, links = spanning_links(docs, **options)
     roots = materialize(connected(links), "roots")
     named = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("root"))
-    named = materialize(named, "named")
+    return members, materialize(named, "named")
+
+
+def components(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and
+    ``component_id``, the smallest id reachable by links."""
+    members, named = _named(docs, **options)
     # written, so that the join is between two exchanges and a large component's rows can be split
     smallest = materialize(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("smallest")), "smallest")
     by_set = materialize(named.join(smallest, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "smallest"), "by-set")
     out = members.join(by_set, (F.col("sid") == F.col("s")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the one of smallest id (a null
+    id is the largest), then of smallest text hash. A row is known by its id
+    and text, so an id may have several rows. Texts without shingles stay."""
+    members, named = _named(docs, id_col=id_col, text_col=text_col, **options)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = members.where("n > 0").groupBy("sid").agg(F.min(key).alias("first"))
+    best = materialize(named.join(first.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).groupBy("root").agg(F.min("first").alias("best")), "best")
+    by_set = materialize(named.join(best.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "best"), "best-by-set")
+    judged = members.where("n > 0").join(by_set, F.col("sid") == F.col("s")).select("doc_id", "text_hash", (key == F.col("best")).alias("stays"))
+    judged = judged.groupBy(F.col("doc_id").alias("_od"), F.col("text_hash").alias("_ot")).agg(F.min("stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    judged = materialize(judged.where("NOT _stays OR _rows > 1"), "copies")
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_od")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_ot"))
+    alone = docs.join(judged, same, "left_anti")
+    repeated = docs.join(judged.where("_stays"), same, "left_semi").dropDuplicates([id_col, text_col])
+    return alone.unionByName(repeated)

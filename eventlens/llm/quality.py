@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, mix64, plain, window_hashes, words_of
+from .words import Words, giving_back_batches, mix64, plain, window_hashes, words_of
 
-#: Rows of the sample on which cost and selectivity are measured (at most about so many).
-SAMPLE_ROWS = 2000
+#: Rows of the sample on which cost and selectivity are measured (about so many), and the most that one task measures.
+SAMPLE_ROWS, TASK_ROWS = 2000, 500
 #: Bytes of text that are worked on at a time.
 SLICE_BYTES = 1 << 20
 WINDOW = 8
@@ -191,14 +191,16 @@ def cascade(batch: Batch, rules: Sequence[Rule]) -> tuple[np.ndarray, dict[str,
 
 def order_rules(docs: DataFrame, text_col: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """``rules`` by rejections per second, measured on about ``sample_rows``
-    rows drawn by a hash of the text."""
+    rows: a Bernoulli sample of the rows, so a text that very many rows share
+    is drawn no more often than its share of them. Only the order of the rules
+    hangs on it."""
     n = docs.count()
-    scale = 1 << 30
-    share = min(scale, sample_rows * scale // max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(scale)) < share).select(F.col(text_col).alias("text"))
+    sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, sample_rows / max(1, n)), seed=1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = TASK_ROWS
         for b in batches:
+            b, left = b.slice(0, left), left - min(left, b.num_rows)
             for at, length in slices(b.column(0)):
                 for i, rule in enumerate(rules):
                     began = time.perf_counter()
@@ -207,7 +209,7 @@ def order_rules(docs: DataFrame, text_col: str, rules: Sequence[Rule] = RULES, s
                     took = time.perf_counter() - began
                     yield pa.RecordBatch.from_pydict({"rule": pa.array([i], pa.int32()), "seconds": [took], "rejected": pa.array([int((failed >= 0).sum())], pa.int64())})
 
-    rows = sample.mapInArrow(measure, "rule int, seconds double, rejected bigint").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r")).collect()
+    rows = sample.mapInArrow(giving_back_batches(measure), "rule int, seconds double, rejected bigint").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r")).collect()
     gain = {r["rule"]: r["r"] / max(r["s"], 1e-9) for r in rows}  # at most one row a rule
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain.get(i, 0.0), i))]
 
@@ -240,7 +242,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES
                 rule = pa.array([None if f < 0 else names[f] for f in failed], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(at, length), rule, pa.array(failed < 0), *[pa.array(made[c]) for c in counts]], names=fields)
 
-    out = src.mapInArrow(run, schema)
+    out = src.mapInArrow(giving_back_batches(run), schema)
     clash = {"failed_rule", "kept", *counts}
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in passed if c not in clash], "failed_rule", "kept", *counts)
 
@@ -257,5 +259,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = R
                 failed, _ = cascade(Batch(b.column(0).slice(at, length)), ordered)
                 yield b.slice(at, length).filter(pa.array(failed < 0))
 
-    kept = src.mapInArrow(run, src.schema)
+    kept = src.mapInArrow(giving_back_batches(run), src.schema)
     return kept.select(*[F.col("_text" if c == text_col else f"_row.`{c}`").alias(c) for c in docs.columns])

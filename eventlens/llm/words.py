@@ -9,7 +9,10 @@ is made per word.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,36 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive their tasks,
+    and what they keep is missing in the executor's next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(kernel: Callable) -> Callable:
+    """A group kernel that ends with ``give_back``."""
+    @wraps(kernel)
+    def run(group):
+        out = kernel(group)
+        give_back()
+        return out
+
+    return run
+
+
+def giving_back_batches(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same for a kernel over a task's batches."""
+    @wraps(kernel)
+    def run(batches):
+        yield from kernel(batches)
+        give_back()
+
+    return run
+
+
 @dataclass
 class Words:
     """Words of a batch: ``codes[offsets[i]:offsets[i + 1]]`` are document

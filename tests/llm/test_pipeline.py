@@ -176,4 +176,25 @@ def test_stages_on_hard_rows(spark, long_text):
             assert out.count() >= (1 if rows else 0)
 
 
+@pytest.mark.parametrize("rows,left", [
+    ([(7, "a b c d e f"), (7, "z y x w v u"), (5, "z y x w v u")], [(5, "z y x w v u"), (7, "a b c d e f")]),
+    ([(7, "same text of a few words"), (7, "same text of a few words"), (None, "same text of a few words")], [(7, "same text of a few words")]),
+    ([(None, "k l m n o p")] * 3 + [(4, ""), (4, ""), (None, None)], [(4, ""), (4, ""), (None, None), (None, "k l m n o p")]),
+])
+def test_copies_are_rows(spark, rows, left):
+    out = dict(cp.STAGES)["near_duplicates"](spark, documents(spark, rows), "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(left, key=repr)
+
+
+def test_sample_of_a_hot_text(spark):
+    """A third of the rows share a text, a third have none: the measured rows stay a sample."""
+    df = spark.range(300_000).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN 'hot hot hot' WHEN 1 THEN concat('text ', id) END AS text").repartition(8)
+    seen = spark.sparkContext.accumulator(0)
+    rule = quality.Rule("count", ("n_words",), lambda n: (seen.add(len(n)), n < 0)[1], "n_words < 0")
+    quality.order_rules(df, "text", [rule])
+    assert 1000 < seen.value < 3000
+    quality.order_rules(df, "text", [rule], sample_rows=300_000)
+    assert seen.value < 3000 + 8 * quality.TASK_ROWS
+
+
 assert check_pieces
