@@ -3,8 +3,8 @@
 Each stage reads what its predecessor kept and returns the columns of
 ``documents``; the last one returns the packed pieces: per piece its
 document, place, ids and sequence. ``n_chars`` follows the text where a stage
-rewrites it. Documents without an id are never dropped as copies; rows of
-equal id count as one document there and stay or go together.
+rewrites it. Copies are told by id and text: rows of equal id and different
+texts are different documents, and of rows equal in both one stays.
 """
 
 from __future__ import annotations
@@ -23,9 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group stays."""
-    found = ngram_join.components(docs)
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    return ngram_join.one_of_each(docs)
 
 
 def _recount(docs: DataFrame) -> DataFrame:
