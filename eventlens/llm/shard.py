@@ -111,6 +111,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     first_slot = counts.select("_s", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     rows = place(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), h.alias("_h"), t.alias("_t")))
     order = Window.partitionBy("_shard", "_chunk").orderBy("_h", "_t")
+    rows = rows.repartition(n_shards * chunks, "_shard", "_chunk")  # the one exchange, sized by bytes
     out = rows.withColumn("_at", F.row_number().over(order)).join(first_slot, (F.col("_shard") == F.col("_s")) & (F.col("_chunk") == F.col("_c")))
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], F.col("_shard").cast("int").alias("shard"),

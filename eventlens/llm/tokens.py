@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -63,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model
         self.byte_level, self.cache_words = byte_level, cache_words
         self.known: dict[str, bytes] = {}  # letters, marks, and whole other words after a zero character
@@ -113,12 +114,19 @@ class Encoder:
         return ids + (self._keep("\0\0" + marks, self._model(marks)) if tail is None else tail)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all ``texts`` (no nulls) and the offsets of each text's."""
+        """The ids of all ``texts`` (no nulls) and the offsets of each text's.
+        A text with a special token's string goes through the library whole."""
         texts = plain(texts)
+        special = np.zeros(len(texts), bool)
+        for s in self.special:  # in any case of letters: some files compare after normalising
+            special |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
+        if special.any():
+            return self._mixed(texts, np.flatnonzero(special), self._pipeline)
         if self.byte_level:
             odd = np.nonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))[0]
             if len(odd):
-                return self._mixed(texts, odd)
+                # the pattern also cuts after the last character before white space
+                return self._mixed(texts, odd, lambda text: b"".join(map(self._run, _CHUNK.findall(text))))
         words = space_led(texts) if self.byte_level else words_of(pc.ascii_lower(texts))
         ids = [self._piece(w) for w in words.vocabulary.to_pylist()]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -128,14 +136,15 @@ class Encoder:
         place = np.repeat(starts[words.codes] - upto[:-1], counts) + np.arange(upto[-1])
         return flat[place], upto[words.offsets]
 
-    def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _mixed(self, texts: pa.Array, odd: np.ndarray, one: Callable[[str], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``one`` gives the ids of the ``odd`` texts."""
         usual = np.setdiff1d(np.arange(len(texts)), odd)
         ids, offsets = self.encode(texts.take(pa.array(usual)))
         parts: list = [None] * len(texts)
         for i, a, e in zip(usual.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
             parts[i] = ids[a:e]
-        for i in odd.tolist():  # the pattern also cuts after the last character before white space
-            parts[i] = np.frombuffer(b"".join(map(self._run, _CHUNK.findall(texts[i].as_py()))), "<u4")
+        for i in odd.tolist():
+            parts[i] = np.frombuffer(one(texts[i].as_py()), "<u4")
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _run(self, chunk: str) -> bytes:

@@ -17,10 +17,22 @@ from eventlens.session import scratch_path
 
 def whole(name, texts):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+SPECIAL = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>", "<|ENDOFTEXT|>", "x <|endoftext|>.", "<|endoftext|", " <|endoftext|> \n <|endoftext|>", "one\n\n<|endoftext|>\n two", "plain words"]
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word_end"), ("byte_bpe_50k.json", "byte_level")])
+def test_special_strings_as_the_library_reads_them(name, kind):
+    import pyarrow as pa
+    from eventlens.llm.tokens import Encoder
+    enc = Encoder(str(P.path(name)), kind == "byte_level", 1000)
+    for texts in (SPECIAL, SPECIAL + [t or "" for t in HARD_TEXTS]):
+        ids, offsets = enc.encode(pa.array(texts))
+        assert [ids[a:e].tolist() for a, e in zip(offsets[:-1], offsets[1:])] == whole(name, texts)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
