@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
-from ...functions.rng import uniform_sql
+from ...functions.rng import permutation_sql
 from ...operators.corr import vif_prune
 from ...operators.prepare import fit_prepare
 from ...operators.schema_ops import classes_dict, classify_columns
 from ...sources.tables import table
 from .. import explain as X
+from .. import forest as FO
 from .. import inference as I
 from .. import sweep as SW
 from .. import training as T
@@ -216,9 +217,9 @@ def _f1_sql(pred, y="y"):
 
 _PERM_SQL = f"""WITH b AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS ri FROM {_PROBE_SRC}),
   reps AS (SELECT rep, j FROM range({_REPEATS}) r(rep), range(3) f(j)),
-  h AS (SELECT b.o_orderkey, reps.rep, reps.j,
-               row_number() OVER (PARTITION BY reps.rep, reps.j ORDER BY {uniform_sql('b.o_orderkey', 'reps.rep + reps.j * 1000003 + 42')}, b.o_orderkey) - 1 AS hr
-        FROM b, reps),
+  nn AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, (count(*) + CAST(ceil(sqrt(count(*))) AS BIGINT) - 1) // CAST(ceil(sqrt(count(*))) AS BIGINT) AS b FROM b),
+  q AS (SELECT b.o_orderkey, b.ri, reps.rep, reps.j, reps.rep + reps.j * 1000003 + 42 AS k, nn.n, nn.a, nn.b FROM b, reps, nn),
+  h AS (SELECT o_orderkey, rep, j, {permutation_sql('ri', 'k', 'n', 'a', 'b')} AS hr FROM q),
   p AS (SELECT h.rep, h.j, b.*, CASE WHEN h.j = 0 THEN d.o_totalprice ELSE b.o_totalprice END AS n_price,
                CASE WHEN h.j = 1 THEN d.o_custkey ELSE b.o_custkey END AS n_cust, CASE WHEN h.j = 2 THEN d.month ELSE b.month END AS n_month
         FROM h JOIN b ON h.o_orderkey = b.o_orderkey JOIN b d ON d.ri = h.hr),
@@ -250,6 +251,24 @@ def q_perm_ci(spark, sf):
                                     threshold=0.5, seed=42, sqrt_n=False)
 
 
+_AUC_SQL = _PERM_SQL[: _PERM_SQL.index("  base AS")] + f"""  alls AS (SELECT rep, feature, y, p FROM ev UNION ALL SELECT -1, 'base', y, {_z_sql()} FROM {_PROBE_SRC}),
+  g0 AS (SELECT feature, rep, p, sum(y) AS tp, sum(1 - y) AS fp FROM alls GROUP BY feature, rep, p),
+  c AS (SELECT *, sum(tp) OVER (PARTITION BY feature, rep ORDER BY p DESC) AS ctp, sum(tp) OVER (PARTITION BY feature, rep) AS pos, sum(fp) OVER (PARTITION BY feature, rep) AS neg FROM g0),
+  m AS (SELECT feature, rep, sum(fp / CAST(neg AS DOUBLE) * (ctp - tp / 2.0) / pos) AS auc FROM c GROUP BY feature, rep),
+  dr AS (SELECT feature, rep, (SELECT auc FROM m WHERE feature = 'base') - auc AS d FROM m WHERE feature <> 'base'),
+  g AS (SELECT feature, avg(d) AS mean_drop, stddev_pop(d) AS std_drop, count(d) AS n FROM dr GROUP BY feature)
+SELECT feature, round(mean_drop, 4) AS mean_drop, round(std_drop, 4) AS std_drop,
+       round(mean_drop - 1.96 * std_drop / sqrt(n), 4) AS ci_lower, round(mean_drop + 1.96 * std_drop / sqrt(n), 4) AS ci_upper,
+       CAST(mean_drop - 1.96 * std_drop / sqrt(n) > 0 AS INTEGER) AS significant FROM g"""
+
+
+@query("perm_importance_auc", _AUC_SQL)
+def q_perm_importance_auc(spark, sf):
+    """The drop of ROC-AUC per permuted feature, 30 repeats."""
+    scorer = X.LinearLogistic(PROBE, PROBE_INTERCEPT)
+    return X.permutation_importance(scorer, _probe_frame(spark, sf), _PF, Y, ID, repeats=_REPEATS, metric="auc_roc", seed=42)
+
+
 @query("directional_probe", f"""WITH b AS {_PROBE_SRC},
   s AS (SELECT stddev_pop(o_totalprice) AS sp, stddev_pop(o_custkey) AS sc, avg({_z_sql()}) AS base FROM b)
 SELECT 'o_totalprice' AS feature,
@@ -281,6 +300,25 @@ def q_shapley_sampling(spark, sf):
     return rounded(X.sampling_shapley(rf, b.test, bg, b.features, ID))
 
 
+@query("tree_shapley")
+def q_tree_shapley(spark, sf):
+    """Exact Shapley values of a random forest for every test row, against 500 training rows."""
+    b = _split(spark, sf)
+    rf = T.fit_random_forest(b.train, b.features, Y)
+    return rounded(rf.shapley(b.test, X.background_sample(b.train, ID), ID))
+
+
+@query("explanation_run")
+def q_explanation_run(spark, sf):
+    """Shapley values, features to look at, first failures and permutation importance of two fitted models."""
+    b = _split(spark, sf)
+    rf, gbt = T.fit_random_forest(b.train, b.features, Y), T.fit_gbt(b.train, b.features, Y)
+    trees = FO.from_mllib(gbt.model.stages[-1], spark)
+    models = {"RandomForest": (rf, lambda rows, bg: rf.shapley(rows, bg, ID)),
+              "GBT": (gbt, lambda rows, bg: FO.tree_shapley(trees, rows, bg, b.features, ID))}
+    return rounded(X.explain_models(models, b.test, X.background_sample(b.train, ID), b.features, Y, ID))
+
+
 @query("explain_models")
 def q_explain_models(spark, sf):
     """Permutation importance (F1, 30 repeats) of two fitted models, side by side."""

@@ -2,9 +2,8 @@
 
 * permutation importance: every (feature, repeat) evaluation is a slice of
   ONE exploded frame that is scored in one ``transform`` and reduced with
-  one grouped confusion aggregate; the column shuffle is a join of each
-  row's rank with the rank of a seeded per-row uniform (a true
-  permutation, computed with the distributed rank);
+  one grouped confusion aggregate; rows are ranked once, and a column shuffle
+  is a keyed bijection of the ranks, so it costs a join but no sort;
 * directional probe: rows x (feature, up/down) as a generator, one scoring
   pass, grouped means;
 * linear Shapley ``coef * (x - mean)``;
@@ -22,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
-from ..functions.rng import hash_uniform, uniform as seeded_uniform
+from ..functions.rng import hash_uniform, with_permutation
 from ..operators.metrics import cells_to_metrics, cum_confusion, auc_ap
 from ..operators.prefix import global_rank
 from ..operators.joins import broadcast_small
 from ..operators.reshape import importance_pivot
+from ..operators.schema_ops import select_by_variance
+from ..session import materialize
 
 
 # --- scorers defined by a formula (used for oracle-checked explanations) -----
@@ -80,31 +81,26 @@ def top_features(long: DataFrame, n: int = 15, model_col: str = "model", across:
 
 # --- permutation importance ---------------------------------------------------
 
-def permuted_frame(df: DataFrame, features: Sequence[str], id_col: str, repeats: int, seed: int = 42,
-                   uniform=None) -> DataFrame:
+def permuted_frame(df: DataFrame, features: Sequence[str], id_col: str, repeats: int, seed: int = 42) -> DataFrame:
     """Rows x (feature, repeat): all columns as in ``df`` except ``feature``,
     which holds the value of the row at the permuted position.
 
-    Row rank r(i) is the rank by id; the permutation for feature j and
-    repeat k sends row i to position h(i) = rank of ``uniform(id, seed of
-    (j, k))`` among all rows; row i takes the feature's value from the row
-    with r = h(i). All permutations are ranked in one skew-safe pass
-    partitioned by feature and repeat. ``uniform(id_column, seed_column)``
-    must accept a column seed.
+    Row rank r(i) is the rank by id, made once; the permutation of feature j
+    and repeat k is the bijection of the ranks numbered by
+    ``permutation_seed``, and row i takes the feature's value from the row at
+    the place of r(i). Nothing is ranked or written per feature and repeat.
     """
-    uniform = uniform or seeded_uniform
-    ranked = global_rank(df, [F.col(id_col)], "_r")
+    ranked = materialize(global_rank(df, [F.col(id_col)], "_r"), "ranked")
+    n = ranked.count()
     donors = ranked.select(F.col("_r").alias("_dr"), F.array(*[F.col(f).cast("double") for f in features]).alias("_dv"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_j")
-    reps = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select("*", each)
-    reps = reps.withColumn("_u", uniform(F.col(id_col), permutation_seed(F.col("_j"), F.col("repeat"), seed)))
-    hs = global_rank(reps, [F.col("_u"), F.col(id_col)], "_h", partition_by=["_j", "repeat"]).select(id_col, "_h", "repeat", "_j")
-    moved = hs.join(donors, F.col("_h") == F.col("_dr")).select(
-        id_col, "repeat", "_j", F.element_at("_dv", F.col("_j") + 1).alias("_v"))
-    joined = df.join(moved, id_col)
-    place = {f: j for j, f in enumerate(features)}
+    each = ranked.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    each = each.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    each = each.withColumn("_key", permutation_seed(F.col("_j").cast("bigint"), F.col("repeat").cast("bigint"), seed))
+    placed = with_permutation(each, "_r", "_key", max(1, n), "_h")
+    joined = placed.join(donors, F.col("_h") == F.col("_dr"))
+    value, place = F.element_at("_dv", F.col("_j") + 1), {f: j for j, f in enumerate(features)}
     return joined.select(
-        *[F.when(F.col("_j") == place[f], F.col("_v")).otherwise(F.col(f).cast("double")).alias(f)
+        *[F.when(F.col("_j") == place[f], value).otherwise(F.col(f).cast("double")).alias(f)
           if f in place else F.col(f) for f in df.columns],
         "repeat", F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_j") + 1).alias("feature"))
 
@@ -129,10 +125,12 @@ def _metric(scored: DataFrame, y: str, metric: str, threshold: float, group_cols
 
 
 def permutation_drops(scorer, df: DataFrame, features: Sequence[str], y: str, id_col: str, repeats: int = 30,
-                      metric: str = "f1", threshold: float = 0.5, seed: int = 42, uniform=None) -> DataFrame:
-    """(feature, repeat, drop) with drop = metric(original) - metric(permuted)."""
+                      metric: str = "f1", threshold: float = 0.5, seed: int = 42) -> DataFrame:
+    """(feature, repeat, drop) with drop = metric(original) - metric(permuted).
+    Only the id, the label and the features are carried."""
+    df = df.select(id_col, y, *features)
     base = _metric(scorer.score(df), y, metric, threshold, []).first()["metric"]
-    perm = permuted_frame(df, features, id_col, repeats, seed, uniform)
+    perm = permuted_frame(df, features, id_col, repeats, seed)
     m = _metric(scorer.score(perm), y, metric, threshold, ["feature", "repeat"])
     return m.select("feature", "repeat", (F.lit(float(base)) - F.col("metric")).alias("drop"))
 
@@ -153,9 +151,8 @@ def importance_ci(drops: DataFrame, sqrt_n: bool = True, digits: int | None = 4)
 
 
 def permutation_importance(scorer, df, features, y, id_col, repeats=30, metric="f1", threshold=0.5, seed=42,
-                           sqrt_n=True, uniform=None) -> DataFrame:
-    return importance_ci(permutation_drops(scorer, df, features, y, id_col, repeats, metric, threshold, seed,
-                                           uniform), sqrt_n)
+                           sqrt_n=True) -> DataFrame:
+    return importance_ci(permutation_drops(scorer, df, features, y, id_col, repeats, metric, threshold, seed), sqrt_n)
 
 
 # --- directional sensitivity -----------------------------------------------------
@@ -206,7 +203,7 @@ def sampling_shapley(scorer, rows: DataFrame, background: DataFrame, features: S
 
     Also returns per-row ``f_x`` and ``f_bg`` (mean background score over the
     permutations) so that sum(shap) = f_x - f_bg holds exactly.
-    Output: (id, feature, shap, f_x, f_bg).
+    Output: (id, feature, value, shap, f_x, f_bg).
     """
     k = len(features)
     n_bg = background.count()
@@ -232,12 +229,53 @@ def sampling_shapley(scorer, rows: DataFrame, background: DataFrame, features: S
                          for j, f in enumerate(features)],
                        # the feature switched on at step L (position L-1)
                        F.coalesce(*[F.when(F.col(f"_pos{j}") == F.col("L") - 1, F.lit(f)) for j, f in
-                                    enumerate(features)], F.lit(None).cast("string")).alias("feature"))
-    scored = scorer.score(vec).select(id_col, "perm", "L", "feature", "p")
+                                    enumerate(features)], F.lit(None).cast("string")).alias("feature"),
+                       F.coalesce(*[F.when(F.col(f"_pos{j}") == F.col("L") - 1, F.col(f)) for j, f in enumerate(features)]).alias("value"))
+    scored = scorer.score(vec).select(id_col, "perm", "L", "feature", "value", "p")
     w = Window.partitionBy(id_col, "perm").orderBy("L")  # k + 1 rows per group
     diffs = scored.withColumn("d", F.col("p") - F.lag("p").over(w)).withColumn(
         "f_bg", F.first("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) \
         .withColumn("f_x", F.last("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     contrib = diffs.where(F.col("L") > 0)
     return contrib.groupBy(id_col, "feature").agg(
-        (F.sum("d") / F.lit(n_perm)).alias("shap"), F.first("f_x").alias("f_x"), F.avg("f_bg").alias("f_bg"))
+        F.first("value").alias("value"), (F.sum("d") / F.lit(n_perm)).alias("shap"), F.first("f_x").alias("f_x"), F.avg("f_bg").alias("f_bg"))
+
+
+# --- everything about fitted models -------------------------------------------------
+
+def explain_models(models: Mapping[str, tuple], test: DataFrame, background: DataFrame, features: Sequence[str], y: str, id_col: str,
+                   requested: Sequence[str] = (), top: int = 20, dependence: int = 10, cases: int = 5, repeats: int = 30, seed: int = 42) -> DataFrame:
+    """One long table (model, kind, id, rank, feature, value, number) on the
+    Shapley values of every row of ``test``, written once per model:
+
+    * ``shap_mean_abs``: mean size per feature, ranked;
+    * ``dependence``: the features to look at, requested ones first, then by
+      importance, with at least three different values;
+    * ``case``: the contributions of the first ``cases`` failures (label 0, by
+      id), ranked by size, with the feature's value;
+    * ``perm_drop``, ``perm_low``, ``perm_high``: permutation importance (F1)
+      and its interval.
+
+    ``models``: name to (scorer, shapley), where ``shapley(rows, background)``
+    gives (id, feature, value, shap)."""
+    failures = test.where(F.col(y) == 0).orderBy(id_col).limit(cases).select(id_col)  # a report of a few cases
+    none = F.lit(None)
+    parts = []
+
+    def rows(df: DataFrame, kind: str, number: str, case=none, rank=none, value=none) -> DataFrame:
+        return df.select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), case.cast("bigint").alias("id"), rank.cast("int").alias("rank"), "feature",
+                         value.cast("double").alias("value"), F.col(number).cast("double").alias("number"))
+
+    for name, (scorer, shapley) in models.items():
+        long = materialize(shapley(test, background).select(F.lit(name).alias("model"), id_col, "feature", "value", "shap"), "shap")
+        ranked = materialize(top_features(long, top).where(F.col("model") == name), "shap-top")
+        parts += [rows(ranked, "shap_mean_abs", "importance", rank=F.col("rank")),
+                  rows(select_by_variance(test, ranked.select("feature", "importance"), requested, dependence).join(ranked.select("feature", "importance"), "feature"),
+                       "dependence", "importance", rank=F.col("position") + 1),
+                  rows(case_contributions(long, failures, id_col, top), "case", "shap", F.col(id_col), F.col("rank"), F.col("value"))]
+        perm = materialize(permutation_importance(scorer, test, features, y, id_col, repeats, seed=seed), "perm")
+        parts += [rows(perm, kind, column) for kind, column in (("perm_drop", "mean_drop"), ("perm_low", "ci_lower"), ("perm_high", "ci_upper"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

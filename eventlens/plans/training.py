@@ -21,7 +21,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -131,14 +130,11 @@ def _check_depth(depth: int | None) -> None:
 
 def fit_random_forest(train: DataFrame, features: Sequence[str], y: str, n_trees: int = 300,
                       max_depth: int | None = None, min_leaf: int = 2, balanced: bool = True, seed: int = 42):
-    """``max_depth=None`` (grow fully) maps to MLlib's maximum, 30."""
-    _check_depth(max_depth)
-    df = balanced_weight(train, y) if balanced else train
-    est = RandomForestClassifier(featuresCol=FEATURES, labelCol=y, numTrees=n_trees,
-                                 maxDepth=30 if max_depth is None else int(max_depth),
-                                 minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-                                 **({"weightCol": "w"} if balanced else {}))
-    return MLlibScorer("RandomForest", _pipeline(features, est).fit(df))
+    """A forest on binned rows (``plans.forest``); ``max_depth=None`` grows
+    fully, to any depth."""
+    from .forest import ForestScorer, fit_forest
+    trees = fit_forest(train, features, y, n_trees, max_depth, min_leaf, balanced, seed)
+    return ForestScorer("RandomForest", trees, list(features))
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], y: str, n_estimators: int = 300, max_depth: int = 6,
@@ -287,29 +283,18 @@ def linear_weights(scorer: SVMScorer) -> list[tuple[str, float]]:
 
 # --- SAMME boosting (AdaBoost / RUSBoost) -------------------------------------
 
-def _tree_column(node, features: Sequence[str]) -> Column:
-    """The prediction of a fitted tree's node as a column. Splits are of
-    numbers; what is missing goes to the right, as NaN does in MLlib."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        return F.lit(float(node.prediction()))
-    split = node.split()
-    value = F.coalesce(F.col(features[split.featureIndex()]).cast("double"), F.lit(float("nan")))
-    return F.when(value <= F.lit(float(split.threshold())), _tree_column(node.leftChild(), features)).otherwise(
-        _tree_column(node.rightChild(), features))
-
-
 @dataclass
 class BoostScorer(Scorer):
     name: str
     stages: list = field(default_factory=list)   # (alpha, PipelineModel)
+    trees: object = None
 
     def score(self, df: DataFrame) -> DataFrame:
+        from .forest import from_stages, total_column
+        if self.trees is None:  # all rounds as one table of nodes, read from the fitted trees once
+            self.trees = from_stages([(alpha, m.stages[-1]) for alpha, m in self.stages])
         total = sum(a for a, _ in self.stages) or 1.0
-        # one array of all votes: a plan of one projection, however many rounds there are
-        votes = F.array(*[F.lit(alpha) * (2 * _tree_column(m.stages[-1]._call_java("rootNode"), m.stages[0].getInputCols()) - 1)
-                          for alpha, m in self.stages])
-        d = F.aggregate(votes, F.lit(0.0), lambda acc, v: acc + v) / F.lit(total)
-        out = df.withColumn("p", sigmoid(d))
+        out = df.withColumn("p", sigmoid(total_column(self.trees, self.stages[0][1].stages[0].getInputCols()) / F.lit(total)))
         return out.select(*df.columns, "p", (F.col("p") >= 0.5).cast("int").alias("native_pred"))
 
 

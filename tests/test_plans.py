@@ -114,6 +114,8 @@ def test_sampling_shapley_additivity(spark):
     scorer = X.LinearLogistic({"a": 0.3, "b": -0.5, "c": 0.2}, 0.1)
     bg = X.background_sample(rows, "id", 10)
     sh = X.sampling_shapley(scorer, rows.where("id < 12"), bg, ["a", "b", "c"], "id", n_perm=3)
+    values = {(r["id"], r["feature"]): r["value"] for r in sh.collect()}
+    assert values == {(r["id"], f): r[f] for r in rows.where("id < 12").collect() for f in ("a", "b", "c")}
     per = sh.groupBy("id").agg(F.sum("shap").alias("s"), F.first("f_x").alias("fx"), F.first("f_bg").alias("fb"))
     for r in per.collect():
         assert abs(r["s"] - (r["fx"] - r["fb"])) < 1e-9
@@ -136,3 +138,22 @@ def test_train_and_evaluate_small(spark):
         m = T.evaluate(scorer, b.test, "y", [0.5]).first()
         assert 0 <= m["f1"] <= 1 and m["TP"] + m["FP"] + m["TN"] + m["FN"] == b.test.count()
     b.unpersist()
+
+
+def test_explanation_run(spark):
+    """The long table of one linear scorer, whose Shapley values have a closed form."""
+    rows = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 3), 1.0) for i in range(84)], "id long, y int, a double, b double, c double")
+    coef = {"a": 0.5, "b": -0.25, "c": 2.0}
+    scorer = X.LinearLogistic(coef, -1.0)
+    out = X.explain_models({"lin": (scorer, lambda r, bg: X.linear_shapley(r, coef, "id"))}, rows, rows, list(coef), "y", "id", requested=["b"], cases=2, repeats=5).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["kind"], []).append(r)
+    top = {r["feature"]: (r["rank"], round(r["number"], 6)) for r in by["shap_mean_abs"]}
+    assert top == {"a": (1, round(0.5 * 12 / 7, 6)), "b": (2, round(0.25 * 2 / 3, 6)), "c": (3, 0.0)}
+    assert sorted((r["rank"], r["feature"]) for r in by["dependence"]) == [(1, "b"), (2, "a")]
+    assert sorted((r["id"], r["rank"], r["feature"], round(r["number"], 6), r["value"]) for r in by["case"]) == [
+        (0, 1, "a", -1.5, 0.0), (0, 2, "b", 0.25, 0.0), (0, 3, "c", 0.0, 1.0), (2, 1, "a", -0.5, 2.0), (2, 2, "b", -0.25, 2.0), (2, 3, "c", 0.0, 1.0)]
+    perm = X.permutation_importance(scorer, rows, list(coef), "y", "id", 5)
+    assert {(r["feature"], r["number"]) for r in by["perm_drop"]} == {(r["feature"], r["mean_drop"]) for r in perm.collect()}
+    assert {r["feature"]: r["number"] for r in by["perm_drop"]}["c"] == 0.0

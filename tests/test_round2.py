@@ -55,6 +55,21 @@ def test_permutations_differ_by_feature_and_repeat(spark):
     assert len({tuple((p[i] - perms[0][i]) % 50 for i in range(50)) for p in perms}) == 6
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 100, 1000])
+def test_keyed_permutations_are_bijections(spark, n):
+    from eventlens.functions.rng import with_permutation
+    df = spark.range(n).withColumn("key", F.explode(F.expr("sequence(bigint(42), bigint(49))")))
+    got = {}
+    for r in with_permutation(df, "id", "key", n, "h").collect():
+        got.setdefault(r["key"], {})[r["id"]] = r["h"]
+    assert all(sorted(p.values()) == list(range(n)) for p in got.values())
+    if n == 1000:
+        places = np.array([[p[i] for i in range(n)] for _, p in sorted(got.items())])
+        assert np.abs(np.corrcoef(np.vstack([places, np.arange(n)])) - np.eye(9)).max() < 0.12
+        steps = np.diff(places, axis=1)
+        assert all(len(np.unique(s)) > 500 for s in steps) and abs((steps > 0).mean() - 0.5) < 0.05
+
+
 def test_many_events_of_one_entity(spark):
     df = spark.range(12_000).select(F.col("id").alias("k"), F.lit("e").alias("e"), F.col("id").alias("t"), (F.col("id") % 2).cast("int").alias("y"))
     out = prior_experience(df, "e", "t", "k", "y", "p", base_rate=0.5)
