@@ -22,10 +22,10 @@ _DIST_SQL = """e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, gene
                 dist2 FROM d QUALIFY rank <= 5)"""
 
 
-@query("knn_join", f"WITH {_DIST_SQL} SELECT * FROM nn")
+@query("knn_join", f"WITH {_DIST_SQL.replace(' WHERE label = 0', '')} SELECT * FROM nn")
 def q_knn_join(spark, sf):
-    """5 nearest same-class neighbours of every label-0 embedding (exact, blocked)."""
-    e = table(spark, sf, "embeddings").where("label = 0")
+    """5 nearest neighbours of every embedding (exact, pruned blocks)."""
+    e = table(spark, sf, "embeddings")
     return knn_join(e, e, "vec_id", "embedding", 5)
 
 
