@@ -169,11 +169,11 @@ def knn_join(query: DataFrame, ref: DataFrame, id_col: str, vec_col: str, k: int
     n = sizes[1] if sizes is not None else refs.count()
     texts = materialize(asked.groupBy("qv").agg(F.min("qid").alias("vid")), "knn-queries")
     distinct = texts.select(F.col("vid").alias("qid"), "qv")
-    pivots = min(MAX_PIVOTS, PIVOTS_A_BLOCK * math.ceil(n / block_rows)) if n > block_rows else 1
-    blocks, rings, at = index_blocks(refs, pivots, block_rows)
-    if len(at) == 0:
-        found = query.sparkSession.createDataFrame([], "qid long, nn_id long, dist2 double")
+    if n <= block_rows:  # one block: the first round has seen every row
+        only = [F.lit(0).alias("cell"), F.lit(0).cast("bigint").alias("sub")]
+        found = _search(distinct.select("qid", "qv", *only), refs.select("rid", "rv", *only), need, block_rows, digits)
     else:
+        blocks, rings, at = index_blocks(refs, min(MAX_PIVOTS, PIVOTS_A_BLOCK * math.ceil(n / block_rows)), block_rows)
         first = materialize(first_blocks(distinct, rings, at), "knn-first")
         near = materialize(_search(first, blocks, need, block_rows, digits), "knn-near")
         # the key is rounded: rows up to one unit of it further away may tie
