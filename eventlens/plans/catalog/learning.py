@@ -17,7 +17,6 @@ from ...operators.prepare import fit_prepare
 from ...operators.schema_ops import classes_dict, classify_columns
 from ...sources.tables import table
 from .. import explain as X
-from .. import forest as FO
 from .. import inference as I
 from .. import sweep as SW
 from .. import training as T
@@ -310,12 +309,10 @@ def q_tree_shapley(spark, sf):
 
 @query("explanation_run")
 def q_explanation_run(spark, sf):
-    """Shapley values, features to look at, first failures and permutation importance of two fitted models."""
+    """Shapley values, features to look at, first failures and permutation importance of a fitted forest."""
     b = _split(spark, sf)
-    rf, gbt = T.fit_random_forest(b.train, b.features, Y), T.fit_gbt(b.train, b.features, Y)
-    trees = FO.from_mllib(gbt.model.stages[-1], spark)
-    models = {"RandomForest": (rf, lambda rows, bg: rf.shapley(rows, bg, ID)),
-              "GBT": (gbt, lambda rows, bg: FO.tree_shapley(trees, rows, bg, b.features, ID))}
+    rf = T.fit_random_forest(b.train, b.features, Y)
+    models = {"RandomForest": (rf, lambda rows, bg: rf.shapley(rows, bg, ID))}
     return rounded(X.explain_models(models, b.test, X.background_sample(b.train, ID), b.features, Y, ID))
 
 
