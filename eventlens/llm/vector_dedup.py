@@ -13,7 +13,8 @@ sends on a star of edges for every group it has united, never the pairs.
 
 Defined cases: a vector that is null, empty, zero or holds a null, NaN or
 infinity, and one without a label or of another length than the one compared,
-links with nothing; a null id has no component and names none; rows of equal
+links with nothing; finite vectors of any magnitude are compared (each is
+scaled by its largest component first); a null id has no component and names none; rows of equal
 id are separate vectors; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -46,6 +47,7 @@ def _matrix(shard: pa.Table) -> np.ndarray:
 
 def _build(table: pa.Table) -> pa.Table:
     v = np.array(table.column("v").to_pylist(), np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     graph = Graph(v).build()
     row = {"label": table.column("label")[0].as_py(), "width": v.shape[1], "shard": table.column("shard")[0].as_py(), "shards": table.column("shards")[0].as_py(),

@@ -18,6 +18,7 @@ def brute(rows, threshold=0.93):
     for key in {(rows[i][2], len(rows[i][1])) for i in ok}:
         own = [i for i in ok if (rows[i][2], len(rows[i][1])) == key]
         x = np.array([rows[i][1] for i in own], np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         for a, b in zip(*np.nonzero(x @ x.T >= threshold)):
             if a != b:
@@ -69,6 +70,16 @@ def test_hard_vectors(spark):
     assert got == brute(rows)
 
 
+def test_magnitudes(spark):
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0001], [-1.0, 2.0, -3.0], [3.0, -2.0, 1.0]]
+    scales = [1e200, 1e-200, 1.0, 1.7e308 / 3.0001, 5e-324, -1e250]
+    rows = [(k * 10 + i, [c * s for c in v], 1) for k, s in enumerate(scales) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: tuple(r) for r in vector_dedup.near_vectors(df, shard_rows=7).collect()}
+    assert sorted(got.values()) == brute(rows)
+    assert all(got[k][1] >= 1 for k in (0, 1, 10, 11, 30, 31))
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert vector_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
