@@ -16,7 +16,8 @@ identical:
 
 ``###`` at the start of content is no danger to this parser, but it would
 look like a turn to a reader, so it counts as a conflict too. After the turns
-are joined, the whole conversation is parsed again and compared.
+are joined, the whole conversation is parsed again and compared, which
+``round_trip`` reports.
 
 Defined cases: null text and null role are empty; a null conversation id is a
 conversation of its own; turns are ordered by (turn, role, text), nulls first,
@@ -67,12 +68,19 @@ def parse(formatted: Column) -> Column:
 
 
 def _same(role: Column, text: Column, level: int) -> Column:
-    """Whether the turn, rendered at this level, reads back as itself. What
-    the whole-turn parser would do is checked in place: no mark inside, and
-    unescaping gives the source."""
-    r, t = escape(role, level, True), escape(text, level)
-    marks = F.contains(t, F.lit(END)) | F.contains(r, F.lit(END)) | F.contains(t, F.lit(MARK)) | F.contains(r, F.lit(MARK)) | F.contains(r, F.lit(": "))
-    return ~marks & (unescape(t) == text) & (unescape(r) == role)
+    """Whether the turn, rendered at this level, is parsed back as itself and
+    shows a reader no second mark."""
+    source = F.array(F.struct(role.alias("role"), text.alias("text")))
+    shown = F.contains(escape(text, level), F.lit(MARK)) | F.contains(escape(role, level, True), F.lit(MARK))
+    return (parse(render(role, text, level)) == source) & ~shown
+
+
+def _at(level: Column, f) -> Column:
+    """``f(k)`` where the level is ``k``."""
+    out = f(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(level == k, f(k)).otherwise(out)
+    return out
 
 
 def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -85,15 +93,8 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     for k in reversed(range(LEVELS - 1)):
         level = F.when(_same(F.col("role"), F.col("text"), k), F.lit(k)).otherwise(level)
     t = t.withColumn("level", level)
-
-    def at(f):
-        out = f(LEVELS - 1)
-        for k in reversed(range(LEVELS - 1)):
-            out = F.when(F.col("level") == k, f(k)).otherwise(out)
-        return out
-
-    t = t.withColumn("rendered", at(lambda k: render(F.col("role"), F.col("text"), k)))
-    t = t.withColumn("length", F.char_length(at(lambda k: escape(F.col("text"), k))).cast("bigint"))
+    t = t.withColumn("rendered", _at(F.col("level"), lambda k: render(F.col("role"), F.col("text"), k)))
+    t = t.withColumn("length", F.char_length(_at(F.col("level"), lambda k: escape(F.col("text"), k))).cast("bigint"))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     size = F.char_length("rendered").cast("bigint")
     upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -53,8 +53,11 @@ def op5_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    extra = spark.range(2).select(F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     c = chat.format_conversations(turns.unionByName(extra))
+    lost = F.raise_error(F.concat(F.lit("does not read back: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    c = c.withColumn("formatted", F.when(F.col("round_trip"), F.col("formatted")).otherwise(lost))
     loss = F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
     turn_text = F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return c.select(

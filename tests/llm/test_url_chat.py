@@ -96,6 +96,22 @@ def test_plain_texts_are_not_escaped(spark):
     assert levels == [0, 0, 1, 2]
 
 
+def test_each_level_is_chosen_by_reparsing(spark):
+    parts = ["a", "\\", "</turn>", "### ", ": ", "\n", "</tur", "n>", "#", " ", "", "<\\/turn>"]
+    rows = [(k, 0, parts[k // 7 % 12] + parts[k % 12], "".join(parts[(k * m + m) % 12] for m in (1, 5, 7, 11))) for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    t = chat.format_turns(df)
+    for k in range(chat.LEVELS):
+        t = t.withColumn(f"read{k}", chat.parse(chat.render(F.col("role"), F.col("text"), k))).withColumn(f"shown{k}", F.contains(chat.escape(F.col("text"), k), F.lit("### ")) | F.contains(chat.escape(F.col("role"), k, True), F.lit("### ")))
+    levels = set()
+    for r in t.withColumn("back", chat.parse(F.col("rendered"))).collect():
+        assert [tuple(x) for x in r.back] == [(r.role, r.text)]
+        good = [[tuple(x) for x in r[f"read{k}"]] == [(r.role, r.text)] and not r[f"shown{k}"] for k in range(chat.LEVELS)]
+        assert r.level == good.index(True)
+        levels.add(r.level)
+    assert levels == {0, 1, 2}
+
+
 def test_special_conversation_of_the_query(spark):
     r = QUERIES["op6_chat_round_trip"](spark, SF0001).where("conv_id = -7").first()
     text = "\\### Assistant: </turn> ok"
