@@ -15,6 +15,7 @@ from ...functions.rng import permutation_sql
 from ...operators.corr import vif_prune
 from ...operators.prepare import fit_prepare
 from ...operators.schema_ops import classes_dict, classify_columns
+from ...session import scratch_path
 from ...sources.tables import table
 from .. import explain as X
 from .. import inference as I
@@ -22,6 +23,7 @@ from .. import sweep as SW
 from .. import training as T
 from ..features import ORDER_FEATURES, order_model_table
 from ..registry import query, rounded
+from ..store import ModelStore
 
 CUT = 2000
 THRESHOLDS = [0.3, 0.5, 0.7]
@@ -174,7 +176,7 @@ def q_logit_analysis(spark, sf):
 @query("svm_weights")
 def q_svm_weights(spark, sf):
     tr, te, feats = _prepared(spark, sf)
-    svm = T.fit_svm(tr, feats, Y, C=1.0, kernel="linear")
+    svm = T.fit_svm(tr, feats, Y, C=1.0, kernel="linear", folds=0)  # weights need no calibration
     return rounded(spark.createDataFrame(T.linear_weights(svm), "feature string, weight double"))
 
 
@@ -357,3 +359,14 @@ def q_per_model_configs(spark, sf):
     cfgs = {"rf": dict(_RUN, rf_n_estimators=200, rf_max_depth=10), "logit": dict(_RUN, logit_C=0.1, logit_penalty="l1"),
             "ada": dict(_RUN, ada_n_estimators=300, ada_learning_rate=0.2)}
     return rounded(SW.per_model_configs(order_model_table(spark, sf), ORDER_FEATURES, Y, ID, YEAR, cfgs))
+
+
+@query("render_best")
+def q_render_best(spark, sf):
+    """Penalties and strengths of the logit swept with every fit kept, then the
+    best run's configuration, metrics, curves and importances from the kept model."""
+    data = order_model_table(spark, sf)
+    store = ModelStore(spark, scratch_path(spark, "models"))
+    grid = {"logit_C": [0.01, 0.1, 1.0, 10.0], "logit_penalty": ["l1", "l2"], "threshold": THRESHOLDS}
+    _, best = SW.grid_sweep(data, ORDER_FEATURES, Y, ID, YEAR, grid, ["Logit"], _RUN, store)
+    return rounded(SW.render_best(best, store, lambda cut: data.where(F.col(YEAR) >= cut), ORDER_FEATURES, Y, ID))

@@ -219,6 +219,13 @@ _PAIRS_SQL = " UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_corr_expr(a, b)} AS r FROM {_CORR_SRC}" for a, b in _CORR_PAIRS)
 
 
+@query("corr_kept")
+def q_corr_kept(spark, sf):
+    """Every column and whether the greedy pruning at 0.85 keeps it."""
+    kept, _ = CR.corr_prune(_corr_frame(spark, sf), _CORR_COLS, 0.85)
+    return spark.createDataFrame([(c, int(c in kept.columns)) for c in _CORR_COLS], "feature string, kept int")
+
+
 @query("corr_prune", f"""WITH p AS ({_PAIRS_SQL}),
   sym AS (SELECT col_a AS c, abs(r) AS ar FROM p UNION ALL SELECT col_b, abs(r) FROM p),
   cent AS (SELECT c, CASE WHEN count(ar) = 0 THEN NULL ELSE (sum(ar) + 1) / (count(ar) + 1) END AS m

@@ -9,7 +9,7 @@ threshold at once in the metrics step (thresholds are data, not refits).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -193,14 +193,16 @@ class PreparedScorer(Scorer):
         return self.inner.score(self.prepared.apply(whole, keep=["_row"])).select("_row.*", "p", "native_pred")
 
 
-def fit_prepared(train: DataFrame, features: Sequence[str], y: str, fit) -> PreparedScorer:
+def fit_prepared(train: DataFrame, features: Sequence[str], y: str, fit, cyclical: Mapping[str, float] | None = None) -> PreparedScorer:
     """``fit(prepared train, prepared features)`` behind the preparation of
-    linear models: columns with other values than 0 and 1 are imputed and
-    standardised with the training side's statistics."""
+    linear models, with the training side's statistics: columns of a listed
+    period become sine and cosine, the -1 of sentinel columns is a missing
+    value, continuous columns are imputed and standardised, 0/1 columns stay."""
     from ..operators.prepare import fit_prepare
-    other = train.agg(*[F.max(F.when(F.col(f).isin(0, 1), 0).otherwise(1)).alias(f"f{i}") for i, f in enumerate(features)]).first()
-    continuous = [f for i, f in enumerate(features) if other[f"f{i}"] != 0]
-    prepared = fit_prepare(train, continuous, [f for f in features if f not in continuous])
+    from ..operators.schema_ops import CYCLICAL_PERIODS, classes_dict, classify_columns
+    cyclical = CYCLICAL_PERIODS if cyclical is None else cyclical
+    classes = classes_dict(classify_columns(train, features, cyclical))
+    prepared = fit_prepare(train, classes["continuous"], classes["binary"], {c: cyclical[c] for c in classes["cyclical"]}, classes["sentinel"])
     inner = fit(prepared.apply(train, keep=[y]), prepared.names())
     return PreparedScorer(inner.name, inner, prepared)
 
@@ -219,14 +221,41 @@ def rff_columns(df: DataFrame, features: Sequence[str], n_components: int, gamma
     b = rng.uniform(0.0, 2 * math.pi, size=n_components)
     scale = math.sqrt(2.0 / n_components)
 
+    return _mapped(df, features, lambda x: scale * np.cos(x @ W + b), out)
+
+
+def sketch_columns(df: DataFrame, features: Sequence[str], n_components: int, gamma: float, degree: int = 3, coef0: float = 0.0, seed: int = 42,
+                   out: str = "rff") -> DataFrame:
+    """Tensor sketch (Pham & Pagh 2013) of the kernel
+    ``(gamma <x, y> + coef0) ** degree``: a count sketch per factor, convolved
+    by FFT. The inner product of two sketches has the kernel as its mean and a
+    variance of at most ``3 ** degree * K(x, x) K(y, y) / n_components``."""
+    rng = np.random.default_rng(seed)
+    d = len(features) + 1
+    slot = rng.integers(0, n_components, size=(degree, d))
+    sign = rng.choice([-1.0, 1.0], size=(degree, d))
+    sketches = np.zeros((degree, d, n_components))
+    for k in range(degree):
+        sketches[k, np.arange(d), slot[k]] = sign[k]
+    root, last = math.sqrt(gamma), math.sqrt(coef0)
+
+    def sketch(x: np.ndarray) -> np.ndarray:
+        x = np.hstack([root * x, np.full((len(x), 1), last)])
+        product = np.prod([np.fft.rfft(x @ s, axis=1) for s in sketches], axis=0)
+        return np.fft.irfft(product, n=n_components, axis=1)
+
+    return _mapped(df, features, sketch, out)
+
+
+def _mapped(df: DataFrame, features: Sequence[str], kernel_map, out: str) -> DataFrame:
+    """``kernel_map`` of the features' matrix, one Arrow batch at a time."""
+    width = len(features)
+
     @F.pandas_udf("array<double>")
-    def _rff(x: pd.Series) -> pd.Series:
-        X = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, d))
-        Z = scale * np.cos(X @ W + b)
-        return pd.Series(list(Z))
+    def mapped(x: pd.Series) -> pd.Series:
+        return pd.Series(list(kernel_map(np.vstack(x.to_numpy()) if len(x) else np.zeros((0, width)))))
 
-    arr = F.array(*[F.col(c).cast("double") for c in features])
-    return df.withColumn(out, array_to_vector(_rff(arr)))
+    return df.withColumn(out, array_to_vector(mapped(F.array(*[F.col(c).cast("double") for c in features]))))
 
 
 @dataclass
@@ -239,9 +268,7 @@ class SVMScorer(Scorer):
     platt: tuple
 
     def _features(self, df):
-        if self.kernel == "rbf":
-            return rff_columns(df, self.features, **self.rff)
-        return assemble(df, self.features, "rff")
+        return _svm_features(df, self.features, self.kernel, self.rff)
 
     def score(self, df: DataFrame) -> DataFrame:
         out = self.model.transform(self._features(df))
@@ -251,26 +278,69 @@ class SVMScorer(Scorer):
                           F.col("prediction").cast("int").alias("native_pred"))
 
 
+def _svm_features(df: DataFrame, features: Sequence[str], kernel: str, settings: dict | None) -> DataFrame:
+    if kernel == "rbf":
+        return rff_columns(df, features, **settings)
+    return sketch_columns(df, features, **settings) if kernel == "poly" else assemble(df, features, "rff")
+
+
+def out_of_fold(df: DataFrame, y: str, fit, margin, key: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
+    """(label, m): the margin of every row by a model fitted without the
+    row's fold. ``fit(df)`` gives a model, ``margin(model, df)`` adds ``m``.
+    The fold is a hash of ``key``, so equal rows are never on both sides and a
+    lost task draws the same fold again. A fold whose other folds lack a class
+    is scored by the model of all rows."""
+    fold = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key]), F.lit(folds)).cast("int")
+    df = df.withColumn("_fold", fold)
+    cells = df.where(F.col(y).isNotNull()).groupBy("_fold", y).agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes rows
+    whole, parts = None, []
+    for k in sorted({r["_fold"] for r in cells}):
+        if len({r[y] for r in cells if r["_fold"] != k}) < 2:
+            whole = whole or fit(df)
+            model = whole
+        else:
+            model = fit(df.where(F.col("_fold") != k))
+        parts.append(margin(model, df.where(F.col("_fold") == k)).select(F.col(y).cast("double").alias("label"), "m"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def fit_platt(margins: DataFrame) -> tuple[float, float]:
+    """(a, b) of ``p = sigmoid(a * m + b)`` from (label, m), with Platt's
+    targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2): every row counts for both
+    classes, weighted by its target."""
+    row = margins.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).first()
+    target = F.when(F.col("label") == 1, F.lit((row["n1"] + 1.0) / (row["n1"] + 2.0))).otherwise(F.lit(1.0 / (row["n0"] + 2.0)))
+    sides = F.array(F.struct(F.lit(1.0).alias("side"), target.alias("w")), F.struct(F.lit(0.0).alias("side"), (1.0 - target).alias("w")))
+    both = margins.select("m", F.explode(sides).alias("s")).select("m", "s.*")
+    model = LogisticRegression(featuresCol="mv", labelCol="side", weightCol="w", regParam=0.0, tol=1e-10).fit(assemble(both, ["m"], "mv"))
+    return float(model.coefficients[0]), float(model.intercept)
+
+
 def fit_svm(train: DataFrame, features: Sequence[str], y: str, C: float = 1.0, kernel: str = "rbf",
             gamma: float | None = None, n_components: int = 200, balanced: bool = True, seed: int = 42,
-            max_iter: int = 100):
-    """Linear or RBF SVM (hinge loss, OWLQN) with Platt scaling fitted on the
-    training margins. Polynomial and sigmoid kernels are not provided."""
-    if kernel not in ("linear", "rbf"):
-        raise ValueError(f"kernel {kernel!r} not supported (linear, rbf)")
+            max_iter: int = 100, folds: int = 5, degree: int = 3, coef0: float = 0.0):
+    """Linear, RBF (random Fourier features) or polynomial (tensor sketch)
+    SVM with hinge loss (OWLQN). The probability is a sigmoid fitted to
+    margins out of ``folds`` folds; ``folds=0`` fits none (p is the sigmoid of
+    the margin). Sigmoid kernels are not provided."""
+    if kernel not in ("linear", "rbf", "poly"):
+        raise ValueError(f"kernel {kernel!r} not supported (linear, rbf, poly)")
     gamma = gamma if gamma is not None else 1.0 / max(1, len(features))
-    rff = {"n_components": n_components, "gamma": gamma, "seed": seed} if kernel == "rbf" else None
+    settings = {"n_components": n_components, "gamma": gamma, "seed": seed} if kernel != "linear" else None
+    if kernel == "poly":
+        settings |= {"degree": degree, "coef0": coef0}
     base = balanced_weight(train, y) if balanced else train.withColumn("w", F.lit(1.0))
-    feats = rff_columns(base, features, **rff) if rff else assemble(base, features, "rff")
+    feats = _svm_features(base, features, kernel, settings)
     n = base.agg(F.sum("w")).first()[0]
-    model = LinearSVC(featuresCol="rff", labelCol=y, weightCol="w", regParam=1.0 / (C * n),
-                      standardization=False, maxIter=max_iter).fit(feats)
-    margins = model.transform(feats).select(F.col(y).cast("double").alias("label"),
-                                            vector_to_array("rawPrediction")[1].alias("m"))
-    platt_model = LogisticRegression(featuresCol="mv", labelCol="label", regParam=0.0).fit(
-        assemble(margins, ["m"], "mv"))
-    platt = (float(platt_model.coefficients[0]), float(platt_model.intercept))
-    return SVMScorer("SVM", model, tuple(features), kernel, rff, platt)
+    learner = LinearSVC(featuresCol="rff", labelCol=y, weightCol="w", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter)
+    platt = (1.0, 0.0)
+    if folds:
+        margins = out_of_fold(feats, y, learner.fit, lambda m, d: m.transform(d).withColumn("m", vector_to_array("rawPrediction")[1]), features, folds, seed)
+        platt = fit_platt(materialize(margins, "margins"))
+    return SVMScorer("SVM", learner.fit(feats), tuple(features), kernel, settings, platt)
 
 
 def linear_weights(scorer: SVMScorer) -> list[tuple[str, float]]:
@@ -288,13 +358,24 @@ class BoostScorer(Scorer):
     name: str
     stages: list = field(default_factory=list)   # (alpha, PipelineModel)
     trees: object = None
+    features: list | None = None
 
-    def score(self, df: DataFrame) -> DataFrame:
-        from .forest import from_stages, total_column
-        if self.trees is None:  # all rounds as one table of nodes, read from the fitted trees once
+    def _read_trees(self) -> None:
+        """All rounds as one table of nodes, read from the fitted trees once."""
+        from .forest import from_stages
+        if self.trees is None:
             self.trees = from_stages([(alpha, m.stages[-1]) for alpha, m in self.stages])
+            self.features = self.stages[0][1].stages[0].getInputCols()
+
+    def __getstate__(self):  # the table of nodes stands for the fitted trees
+        self._read_trees()
+        return {"name": self.name, "stages": [(alpha, None) for alpha, _ in self.stages], "trees": self.trees, "features": self.features}
+
+    def score(self, df: DataFrame) -> DataFrame:
+        from .forest import total_column
+        self._read_trees()
         total = sum(a for a, _ in self.stages) or 1.0
-        out = df.withColumn("p", sigmoid(total_column(self.trees, self.stages[0][1].stages[0].getInputCols()) / F.lit(total)))
+        out = df.withColumn("p", sigmoid(total_column(self.trees, self.features) / F.lit(total)))
         return out.select(*df.columns, "p", (F.col("p") >= 0.5).cast("int").alias("native_pred"))
 
 
