@@ -13,7 +13,7 @@ from eventlens.plans.catalog import QUERIES
 
 MODEL_LEVEL = {"train_random_forest", "train_gbt", "train_adaboost", "train_rusboost", "train_logit",
                "train_svm", "train_mlp", "one_shot", "grid_sweep", "per_model_configs", "explain_models",
-               "shapley_sampling", "logit_analysis", "backward_select", "wald_table", "svm_weights",
+               "shapley_sampling", "tree_shapley", "explanation_run", "render_best", "logit_analysis", "backward_select", "wald_table", "svm_weights",
                "background_kmeans", "vif_prune", "odds_ratios", "wald_one_flag", "odds_one_flag"}
 ARROW_ALLOWED = {"knn_join", "smote", "corr_matrix", "corr_prune", "target_corr", "sort_by_abs"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
