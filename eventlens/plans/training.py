@@ -1,5 +1,5 @@
 """Classifiers on Spark: naive baselines, MLlib learners, and the boosting
-loops MLlib lacks (SAMME AdaBoost, RUSBoost).
+MLlib lacks (SAMME AdaBoost, RUSBoost, on binned rows).
 
 Every model is a ``Scorer``: ``score(df)`` returns ``df`` plus ``p`` (the
 probability of class 1). Labels are derived as ``p >= threshold`` for every
@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -24,13 +23,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
-from ..functions.rng import hash_uniform, uniform as seeded_uniform
-from ..operators.prefix import global_rank
+from ..functions.rng import hash_uniform
 from ..session import materialize
 
 FEATURES = "features"
@@ -356,18 +353,18 @@ def linear_weights(scorer: SVMScorer) -> list[tuple[str, float]]:
 @dataclass
 class BoostScorer(Scorer):
     name: str
-    stages: list = field(default_factory=list)   # (alpha, PipelineModel)
+    stages: list = field(default_factory=list)   # (alpha, boosting.FittedTree)
     trees: object = None
     features: list | None = None
 
     def _read_trees(self) -> None:
-        """All rounds as one table of nodes, read from the fitted trees once."""
-        from .forest import from_stages
+        """All rounds as one table of nodes."""
+        from .boosting import joined
         if self.trees is None:
-            self.trees = from_stages([(alpha, m.stages[-1]) for alpha, m in self.stages])
-            self.features = self.stages[0][1].stages[0].getInputCols()
+            self.trees = joined([(alpha, m.trees) for alpha, m in self.stages])
+            self.features = self.stages[0][1].features
 
-    def __getstate__(self):  # the table of nodes stands for the fitted trees
+    def __getstate__(self):  # the table of nodes stands for the rounds' trees
         self._read_trees()
         return {"name": self.name, "stages": [(alpha, None) for alpha, _ in self.stages], "trees": self.trees, "features": self.features}
 
@@ -378,78 +375,29 @@ class BoostScorer(Scorer):
         out = df.withColumn("p", sigmoid(total_column(self.trees, self.features) / F.lit(total)))
         return out.select(*df.columns, "p", (F.col("p") >= 0.5).cast("int").alias("native_pred"))
 
+    def shapley(self, rows: DataFrame, background: DataFrame, id_col: str) -> DataFrame:
+        """Of the mean vote (between -1 and 1), not of ``p``."""
+        from .forest import tree_shapley
+        self._read_trees()
+        return tree_shapley(self.trees, rows, background, self.features, id_col, 1.0 / (sum(a for a, _ in self.stages) or 1.0))
+
 
 def fit_boost(train: DataFrame, features: Sequence[str], y: str, n_estimators: int = 200,
               learning_rate: float = 0.1, depth: int = 2, balanced: bool = True, undersample: bool = False,
-              id_col: str = "row_id", seed: int = 42, checkpoint_every: int = 10) -> BoostScorer:
-    """SAMME (Zhu et al. 2009) over depth-``depth`` trees with the sample
-    weights as a column. ``undersample=True`` is RUSBoost (Seiffert et al.
+              id_col: str = "row_id", seed: int = 42, checkpoint_every: int = 10, cuts=None) -> BoostScorer:
+    """SAMME (Zhu et al. 2009) over depth-``depth`` trees on binned rows
+    (``plans.boosting``). ``undersample=True`` is RUSBoost (Seiffert et al.
     2010): each round fits on all minority rows plus an equal number of
-    majority rows chosen by a seeded hash rank. Lineage is cut every
-    ``checkpoint_every`` rounds by writing the weights to the shared
-    checkpoint folder."""
-    df = (balanced_weight(train, y) if balanced else train.withColumn("w", F.lit(1.0)))
-    total = df.agg(F.sum("w")).first()[0] or 1.0
-    df = materialize(df.select(id_col, y, *features, (F.col("w") / F.lit(total)).alias("w")), "boost")
-    # labels never change between rounds: count the classes once (RUSBoost)
-    counts = ({r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
-              if undersample else None)
-    stages = []
-    cached: list[DataFrame] = []   # weights of recent rounds (between lineage cuts)
-    try:
-        for m in range(n_estimators):
-            fit_df = undersample_majority(df, y, id_col, seed + m, counts) if undersample else df
-            tree = _pipeline(features, DecisionTreeClassifier(featuresCol=FEATURES, labelCol=y, weightCol="w",
-                                                              maxDepth=depth, seed=seed + m))
-            model = tree.fit(fit_df)
-            pred = model.transform(df).select(id_col, y, *features, "w", F.col("prediction").alias("_pr"))
-            miss = (F.col("_pr") != F.col(y)).cast("double")
-            err_row = pred.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()
-            # this round's weights are computed and cached now; older ones can go
-            for c in cached[:-1]:
-                c.unpersist()
-            cached = cached[-1:]
-            err = float(err_row["e"] or 0.0)
-            if err >= 0.5:
-                if not stages:
-                    stages.append((1.0, model))
-                break
-            err = max(err, 1e-10)
-            alpha = learning_rate * math.log((1 - err) / err)
-            stages.append((alpha, model))
-            if err <= 1e-10:
-                break
-            # weights sum to 1, so the new sum is known from err: (1 - err) + err * e^alpha
-            new_total = (1 - err) + err * math.exp(alpha)
-            nxt = pred.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * miss) / F.lit(new_total)).drop("_pr")
-            if (m + 1) % checkpoint_every == 0:
-                df = materialize(nxt, "boost")   # lineage cut in the shared folder
-            else:
-                # cached (spills to disk; a lost block is recomputed from the last cut), so a round
-                # never recomputes the rounds before it
-                df = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-                cached.append(df)
-    finally:
-        for c in cached:
-            c.unpersist()
-    return BoostScorer("RUSBoost" if undersample else "AdaBoost", stages)
-
-
-def undersample_majority(df: DataFrame, y: str, id_col: str, seed: int,
-                         counts: dict | None = None) -> DataFrame:
-    """All minority rows plus as many majority rows, picked by the rank of a
-    seeded hash (exact count, distributed rank - no single-task sort).
-    ``counts`` (rows per class) may be passed when already known."""
-    if counts is None:
-        counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return df
-    minority = min(counts, key=lambda k: (counts[k], k))
-    n_min = counts[minority]
-    maj = df.where(F.col(y) != minority).withColumn("_h", hash_uniform(id_col, seed=seed))
-    ranked = global_rank(maj, [F.col("_h"), F.col(id_col)], "_r")
-    picked = ranked.where(F.col("_r") < n_min).drop("_h", "_r")
-    return df.where(F.col(y) == minority).unionByName(picked)
+    majority rows chosen by a seeded hash. ``cuts`` (ascending, per feature)
+    replaces the quantiles that features are binned at."""
+    from .boosting import fit
+    weights = (1.0, 1.0)
+    if balanced:
+        row = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("n1")).first()
+        weights = row["n"] / (2.0 * max(1, row["n"] - row["n1"])), row["n"] / (2.0 * max(1, row["n1"]))
+    key = F.xxhash64(F.col(id_col)) if undersample else None
+    return BoostScorer("RUSBoost" if undersample else "AdaBoost",
+                       fit(train, features, y, n_estimators, learning_rate, depth, weights, undersample, key, seed, checkpoint_every, cuts))
 
 
 # --- evaluation and split bundle -------------------------------------------------
