@@ -73,6 +73,33 @@ def q_train_rusboost(spark, sf):
     return _eval(T.fit_boost(b.train, b.features, Y, undersample=True, id_col=ID), b.test, "RUSBoost")
 
 
+_ROUND_SQL = """WITH b AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y, CAST(month(o_orderdate) AS DOUBLE) AS month,
+    CAST(o_orderpriority = '1-URGENT' AS DOUBLE) AS is_urgent, CAST(o_totalprice AS DOUBLE) AS price FROM orders),
+  n AS (SELECT count(*) / (2.0 * count(*) FILTER (WHERE y = 1)) AS w1, count(*) / (2.0 * count(*) FILTER (WHERE y = 0)) AS w0, count(*) AS n FROM b),
+  r AS (SELECT b.*, CASE WHEN y = 1 THEN w1 ELSE w0 END / n AS w FROM b, n),
+  v AS (SELECT 0 AS f, month AS x, y, w FROM r UNION ALL SELECT 1, is_urgent, y, w FROM r UNION ALL SELECT 2, price, y, w FROM r),
+  c AS (SELECT 0 AS f, CAST(i AS DOUBLE) AS cut FROM range(1, 13) t(i) UNION ALL SELECT 1, 0.0 UNION ALL SELECT 2, i * 5000.0 FROM range(1, 121) t(i)),
+  l AS (SELECT c.f, c.cut, coalesce(sum(w) FILTER (WHERE y = 0 AND x <= cut), 0) AS l0, coalesce(sum(w) FILTER (WHERE y = 1 AND x <= cut), 0) AS l1,
+               coalesce(sum(w) FILTER (WHERE y = 0 AND x > cut), 0) AS r0, coalesce(sum(w) FILTER (WHERE y = 1 AND x > cut), 0) AS r1 FROM v JOIN c ON v.f = c.f GROUP BY c.f, c.cut),
+  g AS (SELECT *, (l0 * l0 + l1 * l1) / (l0 + l1) + (r0 * r0 + r1 * r1) / (r0 + r1) - ((l0 + r0) * (l0 + r0) + (l1 + r1) * (l1 + r1)) AS gain FROM l WHERE l0 + l1 > 0 AND r0 + r1 > 0),
+  best AS (SELECT *, least(l0, l1) + least(r0, r1) AS err FROM g WHERE gain >= (SELECT max(gain) FROM g) * (1 - 1e-9) ORDER BY f, cut LIMIT 1)
+SELECT CASE f WHEN 0 THEN 'month' WHEN 1 THEN 'is_urgent' ELSE 'price' END AS feature, cut AS threshold, CAST(l1 > l0 AS INTEGER) AS left_class, CAST(r1 > r0 AS INTEGER) AS right_class,
+       round(ln((1 - err) / err), 6) AS alpha FROM best"""
+
+
+@query("boost_round", _ROUND_SQL)
+def q_boost_round(spark, sf):
+    """One SAMME round: the best weighted stump at fixed cuts, and its say."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias(Y), F.month("o_orderdate").cast("double").alias("month"),
+                                          (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("is_urgent"), F.col("o_totalprice").cast("double").alias("price"))
+    names = ["month", "is_urgent", "price"]
+    cuts = [[float(i) for i in range(1, 13)], [0.0], [5000.0 * i for i in range(1, 121)]]
+    alpha, fitted = T.fit_boost(o, names, Y, 1, 1.0, 1, id_col="o_orderkey", cuts=cuts).stages[0]
+    t = fitted.trees
+    sides = [int(t.value[child[0]] > 0) for child in (t.left, t.right)]
+    return spark.createDataFrame([(names[t.feature[0]], float(t.threshold[0]), *sides, round(alpha, 6))], "feature string, threshold double, left_class int, right_class int, alpha double")
+
+
 @query("train_logit")
 def q_train_logit(spark, sf):
     tr, te, feats = _prepared(spark, sf)

@@ -1,94 +1,145 @@
 """Statistical inference on a logistic model: Wald table, backward
 elimination, odds ratios, and the end-to-end analysis.
 
-The fit runs on Spark (``GeneralizedLinearRegression``, binomial/logit,
-IRLS). When the design is singular Spark gives no standard errors; the
-fallback fits ``LogisticRegression`` and builds X'WX with one batched
-aggregate of sums of products, then takes the pseudo-inverse on the driver
-(k x k only).
+The fit is Newton's method (IRLS) with one job an iteration: every task adds up
+X'WX, X'(y - p) and the log-likelihood of its rows, one matrix product per Arrow
+batch, and Spark sums them entry by entry; (k + 1)(k + 2) / 2 + k + 3 numbers
+reach the driver. The covariance is the inverse of the last X'WX. A singular
+design has no unique coefficients: there the pseudo-inverse gives the shortest
+steps and, as the reference table does, the standard errors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import GeneralizedLinearRegression
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corr import vif_prune
 from ..operators.prepare import fit_prepare
 from ..operators.schema_ops import classes_dict, classify_columns, drop_rare_binary
-from .training import assemble
-
-_PAIRS_PER_JOB = 128
+#: Smallest share of the largest eigenvalue that counts (of X'WX scaled to a unit diagonal; of X'WX itself in the pseudo-inverse).
+RANK_TOLERANCE, PINV_TOLERANCE = 1e-10, 1e-12
+MAX_ITERATIONS, MAX_HALVINGS = 50, 20
 
 
 def _normal_two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def wald_table(df: DataFrame, features: Sequence[str], y: str) -> list[dict]:
+@dataclass
+class Moments:
+    """Of a logit at one point: ``gram`` X'WX, ``slope`` X'(y - p), both with
+    the constant first, and the log-likelihood."""
+
+    gram: np.ndarray
+    slope: np.ndarray
+    loglik: float
+    n: int
+
+
+def logit_moments(df: DataFrame, features: Sequence[str], y: str, beta: np.ndarray) -> Moments:
+    """One pass over ``df``. A row with a missing value or label is an error."""
+    k = len(features) + 1
+    upper = np.triu_indices(k)
+    size = len(upper[0])
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate([y, *features])])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size + k + 3)  # X'WX, X'(y - p), log-likelihood, rows, incomplete rows
+        for b in batches:
+            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            label = m[:, 0].copy()
+            m[:, 0] = 1.0
+            bad = np.isnan(label) | np.isnan(m).any(axis=1)
+            m, label = m[~bad], label[~bad]
+            z = m @ beta
+            p = np.exp(-np.logaddexp(0.0, -z))
+            w = p * np.exp(-np.logaddexp(0.0, z))  # p (1 - p), not rounded to 0 early
+            sums[:size] += (m.T @ (m * w[:, None]))[upper]
+            sums[size : size + k] += m.T @ (label - p)
+            sums[size + k :] += (label * z - np.logaddexp(0.0, z)).sum(), len(m), bad.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["i", "v"])
+
+    cells = src.mapInArrow(add_up, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # size + k + 3 rows
+    sums = np.zeros(size + k + 3)
+    for r in cells:
+        sums[r["i"]] = r["v"]
+    if sums[-1]:
+        raise ValueError(f"{int(sums[-1])} rows have a missing value or label")
+    gram = np.zeros((k, k))
+    gram[upper] = sums[:size]
+    return Moments(gram + np.triu(gram, 1).T, sums[size : size + k], float(sums[-3]), int(sums[-2]))
+
+
+def covariance(gram: np.ndarray) -> np.ndarray:
+    """The inverse, or the pseudo-inverse of a singular matrix; the rank is
+    judged on a unit diagonal, so that units of columns do not matter."""
+    d = np.sqrt(np.diag(gram))
+    d = np.where(d > 0, d, 1.0)
+    scaled = gram / np.outer(d, d)
+    values = np.linalg.eigvalsh(scaled)
+    if values[0] > RANK_TOLERANCE * values[-1]:
+        return np.linalg.inv(scaled) / np.outer(d, d)
+    return np.linalg.pinv(gram, rcond=PINV_TOLERANCE, hermitian=True)
+
+
+def fit_wald(df: DataFrame, features: Sequence[str], y: str, start: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, covariance), the constant first. A step that lowers the
+    likelihood is halved. Without rows both are zero. Where a feature separates
+    the classes the coefficients have no limit and those after
+    ``MAX_ITERATIONS`` are returned, with their large standard errors."""
+    beta = np.zeros(len(features) + 1) if start is None else np.asarray(start, float)
+    at = logit_moments(df, features, y, beta)
+    for _ in range(MAX_ITERATIONS):
+        cov = covariance(at.gram)
+        step = cov @ at.slope
+        if at.slope @ step <= 1e-20 * (1.0 + abs(at.loglik)):
+            break
+        for _ in range(MAX_HALVINGS):
+            new = logit_moments(df, features, y, beta + step)
+            if new.loglik >= at.loglik - 1e-12 * (1.0 + abs(at.loglik)):
+                break
+            step = step / 2
+        else:
+            break
+        beta, last, at = beta + step, at.loglik, new
+        if abs(at.loglik - last) <= 1e-15 * (1.0 + abs(last)):  # rounding is all that is left
+            break
+    return beta, covariance(at.gram)
+
+
+def wald_table(df: DataFrame, features: Sequence[str], y: str, start: Sequence[float] | None = None) -> list[dict]:
     """Rows (feature, coef, std_err, z, p_value), intercept first as 'const'."""
-    data = assemble(df.select(*features, F.col(y).cast("double").alias("label")), features)
-    try:
-        glr = GeneralizedLinearRegression(family="binomial", link="logit", regParam=0.0, maxIter=50,
-                                          labelCol="label", featuresCol="features")
-        m = glr.fit(data)
-        s = m.summary
-        se = list(s.coefficientStandardErrors)
-        coefs = [float(m.intercept)] + [float(c) for c in m.coefficients]
-        ses = [se[-1]] + se[:-1]                      # Spark lists the intercept last
-    except Exception as e:
-        if "Std. Error" not in str(e):  # what the summary says of a singular design
-            raise
-        coefs, ses = _pinv_fallback(data, features)
+    coefs, cov = fit_wald(df, features, y, start)
     rows = []
-    for name, c, s_ in zip(["const", *features], coefs, ses):
+    for name, c, s_ in zip(["const", *features], coefs.tolist(), np.sqrt(np.maximum(np.diag(cov), 0.0)).tolist()):
         z = c / s_ if s_ and s_ > 0 else float("nan")
         rows.append({"feature": name, "coef": c, "std_err": s_, "z": z,
                      "p_value": _normal_two_sided_p(z) if not math.isnan(z) else float("nan")})
     return rows
 
 
-def _pinv_fallback(data: DataFrame, features: Sequence[str]):
-    lr = LogisticRegression(labelCol="label", featuresCol="features", regParam=0.0, maxIter=200).fit(data)
-    b0, b = float(lr.intercept), [float(v) for v in lr.coefficients]
-    z = F.lit(b0)
-    for f, c in zip(features, b):
-        z = z + F.lit(c) * F.col(f)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    w = p * (F.lit(1.0) - p)
-    cols = ["_one", *features]
-    base = data.withColumn("_one", F.lit(1.0)).withColumn("_w", w)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    xtwx = np.zeros((len(cols), len(cols)))
-    for s in range(0, len(pairs), _PAIRS_PER_JOB):
-        batch = pairs[s:s + _PAIRS_PER_JOB]
-        row = base.agg(*[F.sum(F.col("_w") * F.col(cols[i]) * F.col(cols[j])).alias(f"s{n}")
-                         for n, (i, j) in enumerate(batch)]).first()
-        for n, (i, j) in enumerate(batch):
-            xtwx[i, j] = xtwx[j, i] = row[f"s{n}"]
-    cov = np.linalg.pinv(xtwx)
-    return [b0, *b], [float(math.sqrt(max(v, 0.0))) for v in np.diag(cov)]
-
-
 def backward_select(df: DataFrame, features: Sequence[str], y: str, p_threshold: float = 0.05) -> tuple[list, list]:
     """Drop the least significant feature while its p-value >= threshold.
-    Returns (kept features, final Wald rows). The frame is cached for the loop."""
-    feats = list(features)
+    Returns (kept features, final Wald rows). The frame is cached for the loop,
+    and a fit starts at the coefficients of the one before."""
+    feats, start = list(features), None
     cached = df.select(*feats, y).cache()
     try:
         while True:
-            rows = wald_table(cached, feats, y)
+            rows = wald_table(cached, feats, y, start)
             cand = [r for r in rows if r["feature"] != "const"]
             worst = max(cand, key=lambda r: (r["p_value"] if not math.isnan(r["p_value"]) else 2.0), default=None)
             if worst is None or (not math.isnan(worst["p_value"]) and worst["p_value"] < p_threshold) or len(feats) == 1:
                 return feats, rows
             feats.remove(worst["feature"])
+            start = [r["coef"] for r in rows if r is not worst]
     finally:
         cached.unpersist()
 
