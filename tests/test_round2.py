@@ -145,3 +145,28 @@ def test_experience_bin_has_no_end(spark, tmp_path):
     got = experience_outcome(spark, str(tmp_path))
     assert not compare(got, con, EXPERIENCE_SQL)
     assert sum(r["n"] for r in got.collect()) == 1300
+
+
+def test_permuted_values_travel_without_rows(spark, monkeypatch):
+    """Every copy of a row takes the value at its rank's place under the keyed
+    bijection, nulls included, over many blocks, and no join carries rows."""
+    import numpy as np
+    from eventlens.functions.rng import permuted, with_permutation
+    from eventlens.plans import explain
+    n = 53
+    df = spark.createDataFrame([(i, i % 2, None if i % 5 == 0 else float(i), float(-i)) for i in range(n)], "id long, y int, a double, b double")
+    monkeypatch.setattr(explain, "PERMUTED_ROWS", 7)
+    out = explain.permuted_frame(df, ["a", "b"], "id", 3, seed=9)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["feature"], r["repeat"], r["id"]): (r["y"], r["a"], r["b"]) for r in out.collect()}
+    assert len(got) == n * 6
+    ranks = spark.range(n).withColumn("key", F.lit(0).cast("bigint"))
+    for j, f in enumerate(["a", "b"]):
+        for k in range(3):
+            key = explain.permutation_seed(j, k, 9)
+            h = {r["id"]: r["h"] for r in with_permutation(ranks.withColumn("key", F.lit(key).cast("bigint")), "id", "key", n, "h").collect()}
+            there = permuted(np.arange(n), key, n)
+            assert there.tolist() == [h[i] for i in range(n)] and permuted(there, key, n, back=True).tolist() == list(range(n))
+            for i in range(n):
+                a, b = (h[i] if f == "a" else i), (h[i] if f == "b" else i)
+                assert got[f, k, i] == (i % 2, None if a % 5 == 0 else float(a), float(-b))
