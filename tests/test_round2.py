@@ -170,3 +170,19 @@ def test_permuted_values_travel_without_rows(spark, monkeypatch):
             for i in range(n):
                 a, b = (h[i] if f == "a" else i), (h[i] if f == "b" else i)
                 assert got[f, k, i] == (i % 2, None if a % 5 == 0 else float(a), float(-b))
+
+
+def test_grouped_auc_needs_no_table_of_scores(spark, monkeypatch):
+    """Exact whatever the ranges are, with ties over their edges, one class, and null scores."""
+    from eventlens.operators.metrics import auc_ap, cum_confusion
+    from eventlens.plans import explain
+    rng = np.random.default_rng(4)
+    rows = [(f, k, int(rng.integers(0, 2)) if (f, k) != ("b", 1) else 1, None if i % 50 == 0 else float(rng.integers(0, 9 if k else 10**9)) / 10) for f in "ab" for k in range(2) for i in range(400)]
+    scored = spark.createDataFrame(rows, "feature string, repeat int, y int, p double").repartition(5)
+    keys = ["feature", "repeat"]
+    want = {(r["feature"], r["repeat"]): r["auc_roc"] for r in auc_ap(cum_confusion(scored, "y", "p", keys), keys).collect()}
+    monkeypatch.setattr(explain, "cum_confusion", None)
+    for edges in ([], [0.4], [0.1, 0.2, 0.2, 0.5, 3e7, 7e7]):
+        got = {(r["feature"], r["repeat"]): r["metric"] for r in explain.grouped_auc(scored, "y", edges, ["b", "a"]).collect()}
+        assert got.keys() == want.keys() and got["b", 1] is None and want["b", 1] is None
+        assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want if want[k] is not None)
