@@ -1,5 +1,7 @@
 """Pruned kNN join against all distances."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -62,3 +64,26 @@ def test_few_blocks_are_visited(spark):
     bound = near.groupBy("qid").agg({"dist2": "max", "nn_id": "count"}).selectExpr("qid AS q", "if(`count(nn_id)` >= 6, sqrt(`max(dist2)`), double('inf')) AS reach")
     more = knn.further_blocks(first.join(bound, first.qid == bound.q), rings, pivots)
     assert more.count() + 4000 < 4000 * rings.count() / 10
+
+
+def test_memory_of_one_task():
+    """The distances of a full block are never held at once (134 MB each time)."""
+    rng = np.random.default_rng(5)
+    v, ids = rng.normal(0, 1, (knn.BLOCK_ROWS, 8)), np.arange(knn.BLOCK_ROWS)
+    tracemalloc.start()
+    got = knn._nearest(v, v, ids, ids, 3, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert len(got) == 3 * len(v) and (got["qid"].to_numpy()[::3] == ids).all()
+
+
+def test_routes_come_without_vectors(spark):
+    """Where no block is ruled out there is a route for each query and block."""
+    rng = np.random.default_rng(6)
+    refs = spark.createDataFrame([(i, rng.normal(0, 1, 16).tolist()) for i in range(200)], "rid long, rv array<double>")
+    _, rings, pivots = knn.index_blocks(refs, 8, 16)
+    query = refs.selectExpr("rid AS qid", "rv AS qv")
+    first = knn.first_blocks(query, rings, pivots).selectExpr("*", "double('inf') AS reach")
+    more = knn.further_blocks(first, rings, pivots)
+    assert more.columns == ["qid", "cell", "sub"] and more.count() == 200 * (rings.count() - 1)
