@@ -11,9 +11,10 @@ pruning steps are k x k and run on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,6 @@ def pair_moments(df: DataFrame, cols: Sequence[str], only_with: int | None = Non
     per pair by a grouped aggregate; nothing is gathered in one task.
     Output: (a, b, n, s_a, s_aa, s_ab) with a, b column indexes.
     """
-    import pandas as pd
     k = len(cols)
     means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
@@ -43,24 +43,27 @@ def pair_moments(df: DataFrame, cols: Sequence[str], only_with: int | None = Non
     ia, ib = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
     wanted = (ia == only_with) | (ib == only_with) if only_with is not None else np.ones((k, k), bool)
 
-    def moments(batches):
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, k, k))
-        for pdf in batches:
-            X = pdf.to_numpy(dtype=float, na_value=np.nan)
+        t = slice(None) if only_with is None else slice(only_with, only_with + 1)
+        for b in batches:
+            X = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - shift
             M = ~np.isnan(X)
-            X0 = np.where(M, X - shift, 0.0)
-            Mf = M.astype(float)
-            if only_with is None:
-                sums += np.stack([Mf.T @ Mf, X0.T @ Mf, (X0 * X0).T @ Mf, X0.T @ X0])
-            else:
-                t = only_with
-                sums[:, :, t] += np.stack([Mf.T @ Mf[:, t], X0.T @ Mf[:, t], (X0 * X0).T @ Mf[:, t], X0.T @ X0[:, t]])
-                row = np.stack([Mf[:, t] @ Mf, X0[:, t] @ Mf, (X0[:, t] ** 2) @ Mf, X0[:, t] @ X0])
-                row[:, t] = 0.0  # in the column already
+            if only_with is None and M.all():  # every pair has the same rows
+                for i, v in enumerate((np.full(k, float(len(X))), X.sum(axis=0), (X * X).sum(axis=0))):
+                    sums[i] += v[:, None]
+                sums[3] += X.T @ X
+                continue
+            X0, Mf = np.where(M, X, 0.0), M.astype(float)
+            sums[:, :, t] += np.stack([Mf.T @ Mf[:, t], X0.T @ Mf[:, t], (X0 * X0).T @ Mf[:, t], X0.T @ X0[:, t]])
+            if only_with is not None:
+                row = np.stack([Mf[:, t].T @ Mf, X0[:, t].T @ Mf, (X0[:, t] ** 2).T @ Mf, X0[:, t].T @ X0])
+                row[:, 0, only_with] = 0.0  # in the column already
                 sums[:, t, :] += row
-        yield pd.DataFrame({"a": ia[wanted], "b": ib[wanted], **{n: s[wanted] for n, s in zip(("n", "s_a", "s_aa", "s_ab"), sums)}})
+        yield pa.record_batch({"a": pa.array(ia[wanted], pa.int32()), "b": pa.array(ib[wanted], pa.int32()),
+                               **{n: pa.array(s[wanted]) for n, s in zip(("n", "s_a", "s_aa", "s_ab"), sums)}})
 
-    part = src.mapInPandas(moments, "a int, b int, n double, s_a double, s_aa double, s_ab double")
+    part = src.mapInArrow(moments, "a int, b int, n double, s_a double, s_aa double, s_ab double")
     return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "s_a", "s_aa", "s_ab")])
 
 
