@@ -52,3 +52,38 @@ def test_pair_moments_are_those_of_the_pairs(spark, with_nulls):
             both = ~np.isnan(p) & ~np.isnan(q)
             p, q = p[both], q[both]
             assert np.allclose([r["n"], r["s_a"], r["s_aa"], r["s_ab"]], [len(p), p.sum(), (p * p).sum(), p @ q])
+
+
+def _training_rows(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 4)).round(2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=600) > 0).astype(int)
+    return spark.createDataFrame([(i, int(v), *map(float, r)) for i, (v, r) in enumerate(zip(y, x))], "id long, y int, a double, b double, c double, d double").coalesce(2).cache()
+
+
+def test_forests_of_less_depth_are_the_deepest_cut_off(spark):
+    from eventlens.plans.forest import fit_forest, store_forests
+    df, names = _training_rows(spark), list("abcd")
+    # nodes of more than 60 rows are split level by level, so the cuts lie above and inside the gathered subtrees
+    made = store_forests(df, names, "y", 5, [1, 3, 6, None], local_rows=60, trees_at_once=3)
+    for depth, n in ((1, 5), (3, 2), (6, 4), (None, 5)):
+        alone = fit_forest(df, names, "y", n, depth, local_rows=60, trees_at_once=3)
+        cut = made[depth].first(n).read()
+        x = np.array([r[:] for r in df.select(*names).collect()], float)
+        assert len(cut.feature) == len(alone.feature) and np.array_equal(cut.total(x), alone.total(x))
+
+
+def test_sweep_grows_the_forests_of_common_rows_once(spark, monkeypatch):
+    from eventlens.plans import forest, sweep
+    df = _training_rows(spark).selectExpr("id", "y", "a", "b", "c", "d", "IF(id % 4 = 0, 2012, 2005) AS year")
+    calls, grow = [], forest.store_forests
+    monkeypatch.setattr(forest, "store_forests", lambda *a, **k: calls.append(a[3:5]) or grow(*a, **k))
+    grid = {"rf_n_estimators": [3, 5], "rf_max_depth": [2, 4], "threshold": [0.4, 0.5]}
+    base = {"apply_smote": False}
+    results, _ = sweep.grid_sweep(df, list("abcd"), "y", "id", "year", grid, ["RandomForest"], base)
+    assert len(calls) == 1 and calls[0][0] == 5 and sorted(calls[0][1]) == [2, 4]
+    got = {(r["rf_n_estimators"], r["rf_max_depth"], r["threshold"]): (r["TP"], r["FP"], r["auc_roc"]) for r in results.collect()}
+    assert len(got) == 8
+    for n, depth in ((3, 2), (5, 4)):
+        alone = sweep.run_config(df, list("abcd"), "y", "id", "year", {**base, "rf_n_estimators": n, "rf_max_depth": depth}, ["RandomForest"], [0.4, 0.5])
+        assert {r["threshold"]: (r["TP"], r["FP"], r["auc_roc"]) for r in alone.collect()} == {t: got[n, depth, t] for t in (0.4, 0.5)}
