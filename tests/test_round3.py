@@ -87,3 +87,20 @@ def test_sweep_grows_the_forests_of_common_rows_once(spark, monkeypatch):
     for n, depth in ((3, 2), (5, 4)):
         alone = sweep.run_config(df, list("abcd"), "y", "id", "year", {**base, "rf_n_estimators": n, "rf_max_depth": depth}, ["RandomForest"], [0.4, 0.5])
         assert {r["threshold"]: (r["TP"], r["FP"], r["auc_roc"]) for r in alone.collect()} == {t: got[n, depth, t] for t in (0.4, 0.5)}
+
+
+def test_fits_take_as_many_partitions_as_rows_fill(spark, monkeypatch):
+    from eventlens.plans import training
+    df = spark.range(100).repartition(32)
+    assert training.fewer_partitions(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(training, "PARTITION_ROWS", 30)
+    assert training.fewer_partitions(df).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(training, "PARTITION_ROWS", 1)
+    assert training.fewer_partitions(df).rdd.getNumPartitions() == 32
+    fitted = []
+    monkeypatch.setattr(training.LinearSVC, "fit", lambda self, d: fitted.append(d.rdd.getNumPartitions()) or "model")
+    training.fit_svm(df.selectExpr("double(id) AS a", "int(id % 2) AS y"), ["a"], "y", kernel="linear", folds=0)
+    assert fitted == [32]
+    monkeypatch.setattr(training, "PARTITION_ROWS", 1 << 14)
+    training.fit_svm(df.selectExpr("double(id) AS a", "int(id % 2) AS y"), ["a"], "y", kernel="linear", folds=0)
+    assert fitted == [32, 1]
