@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,56 @@ def test_levels_summed_by_cells_and_sorted_grow_the_same_nodes(depth):
             assert options[feature, cut] == pytest.approx(max(options.values()), rel=1e-9)
             todo += [(a, rows[bins[rows, feature] <= cut], left_levels - 1), (b, rows[bins[rows, feature] > cut], left_levels - 1)]
     assert seen == len(nodes)
+
+
+@pytest.mark.parametrize("repeats", [7, 300])
+def test_permuted_rows_walk_down_together(repeats):
+    """Against every permuted row on its own, with splits above the subtrees."""
+    from eventlens.plans import forest as FO
+    rng = np.random.default_rng(6)
+    n, width = 200, 4
+    bins = rng.integers(0, [255, 3, 40, 2], (2000, width)).astype(np.uint8)
+    bins[rng.random(bins.shape) < 0.05] = FO.MISSING
+    y = ((bins[:, 0] > 100) ^ (rng.random(2000) < 0.3)).astype(int)
+    packed = FO._packed_piece(*FO._grown(bins, y, np.ones(2000, int), (1.0, 1.0), 0, 1, 1000, 2, 1, 42))
+    other = FO._packed_piece(*FO._grown(bins[::2], 1 - y[::2], np.ones(1000, int), (1.0, 1.0), 1, 4, 1000, 2, 1, 42))
+    last = FO._packed_piece(np.array([-1]), np.array([0]), np.array([0]), np.array([0.25]))
+    trees = [FO._joined([], [(0, *packed)]), FO._joined([(0, 0, 90, 1, 2), (2, 2, 10, 3, 4)], [(1, *packed), (3, *last), (4, *other)])]
+    rows = bins[:n]
+    moved = np.stack([rows[rng.permutation(n)].T for _ in range(repeats)], axis=2).transpose(1, 0, 2)
+
+    def plain(tree, x):
+        node = 0
+        while tree[0][node] >= 0:
+            node = tree[2][node] if x[tree[0][node]] <= tree[1][node] else tree[3][node]
+        return tree[4][node]
+
+    block = FO._Permuted(rows, np.ascontiguousarray(moved))
+    for tree in map(FO._walkable, trees):
+        block.add(tree)
+    got = block.spread(block.sums())
+    assert np.allclose(sum(FO._binned_total(FO._walkable(t), rows) for t in trees), [sum(plain(t, x) for t in trees) for x in rows])
+    for i in range(0, n, 9):
+        for j in range(width):
+            for k in range(0, repeats, 3):
+                x = rows[i].copy()
+                x[j] = moved[i, j, k]
+                assert got[i, j, k] == pytest.approx(sum(plain(t, x) for t in trees))
+
+
+def test_permutation_drops_of_a_stored_forest(spark, labelled, monkeypatch):
+    """As those of the exploded rows, which are not made."""
+    from eventlens.plans import explain as X
+    from eventlens.plans import forest as FO
+    names = ["a", "b", "c"]
+    stored = FO.store_forest(labelled, names, "y", 9, None, 2, local_rows=1500)
+    test = labelled.where("id % 3 = 0").withColumn("y", F.when(F.col("id") % 50 > 0, F.col("y")))
+    monkeypatch.setattr(FO, "PERMUTED_SLAB", 500)
+    monkeypatch.setattr(FO, "PERMUTED_BLOCK", 100)
+    monkeypatch.setattr(FO, "PERMUTED_NODES", stored.nodes() // 3)
+    order = ["c", "a", "b"]
+    want = X.permutation_drops(FO.ForestScorer("RF", stored.read(), names), test, order, "y", "id", 4, threshold=0.41)
+    monkeypatch.setattr(X, "permuted_frame", None)
+    got = X.permutation_drops(FO.ForestScorer("RF", stored, names), test, order, "y", "id", 4, threshold=0.41)
+    a, b = ({(r["feature"], r["repeat"]): r["drop"] for r in d.collect()} for d in (want, got))
+    assert len(a) == 12 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and any(a.values())
