@@ -116,3 +116,23 @@ def test_permutation_drops_of_a_stored_forest(spark, labelled, monkeypatch):
     got = X.permutation_drops(FO.ForestScorer("RF", stored, names), test, order, "y", "id", 4, threshold=0.41)
     a, b = ({(r["feature"], r["repeat"]): r["drop"] for r in d.collect()} for d in (want, got))
     assert len(a) == 12 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and any(a.values())
+
+
+def test_explanation_run_takes_every_learner(labelled, monkeypatch):
+    """Small settings here; the query's own are the functions' defaults."""
+    from functools import partial
+    from eventlens.plans.catalog import QUERIES, learning
+    names, T = ["a", "b", "c"], learning.T
+    rows = labelled.select(F.col("id").alias(learning.ID), "y", F.coalesce("a", F.lit(0.0)).alias("a"), "b", "c")
+    bundle = T.SplitBundle(rows.where("o_orderkey % 10 > 0"), rows.where("o_orderkey % 100 = 0"), names, "y", learning.ID)
+    monkeypatch.setattr(learning, "_split", lambda *a: bundle)
+    monkeypatch.setattr(learning, "rounded", lambda df: df)
+    for fn, small in (("fit_random_forest", {"n_trees": 2}), ("fit_gbt", {"n_estimators": 2, "max_depth": 2}), ("fit_boost", {"n_estimators": 2}), ("fit_logit", {"max_iter": 3}),
+                      ("fit_svm", {"max_iter": 2, "n_components": 4, "folds": 2}), ("fit_mlp", {"max_iter": 2, "hidden": (3,)})):
+        monkeypatch.setattr(T, fn, partial(getattr(T, fn), **small))
+    monkeypatch.setattr(learning.X, "sampling_shapley", partial(learning.X.sampling_shapley, n_perm=1))
+    monkeypatch.setattr(learning.X, "explain_models", partial(learning.X.explain_models, repeats=2))
+    out = QUERIES["explanation_run"](labelled.sparkSession, "").groupBy("model", "kind").count().toPandas()
+    assert set(out.model) == {"RandomForest", "GBT", "AdaBoost", "RUSBoost", "Logit", "SVM", "MLP"}
+    assert set(out.kind) == {"shap_mean_abs", "dependence", "case", "perm_drop", "perm_low", "perm_high"}
+    assert (out[out.kind == "shap_mean_abs"]["count"] == 3).all() and (out[out.kind == "case"]["count"] == 15).all()
