@@ -136,3 +136,21 @@ def test_explanation_run_takes_every_learner(labelled, monkeypatch):
     assert set(out.model) == {"RandomForest", "GBT", "AdaBoost", "RUSBoost", "Logit", "SVM", "MLP"}
     assert set(out.kind) == {"shap_mean_abs", "dependence", "case", "perm_drop", "perm_low", "perm_high"}
     assert (out[out.kind == "shap_mean_abs"]["count"] == 3).all() and (out[out.kind == "case"]["count"] == 15).all()
+
+
+def test_neighbours_and_routes_are_not_broadcast(spark, monkeypatch):
+    """Tables with rows for each query meet by sort and merge, however small their files."""
+    from eventlens.operators import knn
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    plans, plain = {}, knn.materialize
+    monkeypatch.setattr(knn, "materialize", lambda d, tag: (plans.setdefault(tag, d._jdf.queryExecution().executedPlan().toString()), plain(d, tag))[1])
+    out = knn.knn_join(df, df, "id", "v", 3, block_rows=40)
+    got = {(r["id"], r["rank"]): r["nn_id"] for r in out.collect()}
+    for i in range(0, 300, 29):
+        d = np.round(((x - x[i]) ** 2).sum(1), 6)
+        want = [int(j) for j in np.lexsort((np.arange(300), d)) if j != i][:3]
+        assert [got[i, k] for k in (1, 2, 3)] == want
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [qid" in plans["knn-routes"] and "SortMergeJoin [qid" in plans["knn-found"]
