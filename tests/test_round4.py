@@ -154,3 +154,19 @@ def test_neighbours_and_routes_are_not_broadcast(spark, monkeypatch):
         assert [got[i, k] for k in (1, 2, 3)] == want
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [qid" in plans["knn-routes"] and "SortMergeJoin [qid" in plans["knn-found"]
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """Two fits wait for each other; one after the other they never meet."""
+    import threading
+    from eventlens.plans import training
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(200)], "x double, y int")
+    met = threading.Barrier(2)
+
+    def fit(rows):
+        met.wait(60)
+        return rows.count()
+
+    out = training.out_of_fold(df, "y", fit, lambda model, d: d.withColumn("m", F.lit(float(model))), ["x"], folds=2).toPandas()
+    sizes = out.groupby("m").size()
+    assert len(out) == 200 and all(m == 200 - n for m, n in sizes.items())
